@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES = ()
+from lorikeet.llm import p2, p5
+
+_MODULES = (p2, p5)
 
 
 def queries() -> dict:
