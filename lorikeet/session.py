@@ -28,15 +28,23 @@ def local_session(cpus: int | None = None, app: str = "lorikeet", **conf: str) -
     return b.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset (tests, a laptop) is a temporary one made.
+    Only where that is unset (tests, a laptop) is a temporary one made.
     """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorikeet-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
     sc = df.sparkSession.sparkContext
-    jsc = sc._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lorikeet-checkpoint-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
