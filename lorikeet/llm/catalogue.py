@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import p2, p5
+from lorikeet.llm import p2, p5, p8
 
-_MODULES = (p2, p5)
+_MODULES = (p2, p5, p8)
 
 
 def queries() -> dict:
