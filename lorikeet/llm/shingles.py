@@ -1,25 +1,24 @@
-"""Word shingles as hashes, MinHash bands and exact set similarity."""
+"""Word shingles as hashes, MinHash bands and set overlaps, whole batches at a time.
 
-from __future__ import annotations
+Sets travel as Arrow list columns of 64-bit hashes and are handled as one flat
+array with offsets, so the Python side runs a fixed number of vector operations
+per batch, whatever the number of rows.
+"""
 
-import re
+from __future__ import annotations
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORDS = re.compile(r"[^\W_]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[str]:
-    """Longest runs of letters and digits, in lower case."""
-    return _WORDS.findall((text or "").lower())
-
-
-def word_hash(w: str) -> int:
-    return xxhash.xxh3_64_intdigest(w)
+def word_hashes(text: Column | str) -> Column:
+    """Hashes of the longest runs of letters and digits, in lower case; null for null."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.transform(found, lambda w: F.xxhash64(w))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,45 +30,86 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """One hash for every k consecutive word hashes."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        acc = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            acc = mix(acc * _PRIME + h[j : j + n])
-    return acc
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets (from 0) of a list column; null lists are empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if column.null_count:
+        column = column.fill_null([])
+    off = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]].view(np.uint64), off - off[0]
+
 
+def lists(values: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
-def shingle_hashes(ws: list[str], k: int) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; a shorter text is one shingle."""
-    if not ws:
-        return np.empty(0, dtype=np.int64)
-    h = np.fromiter(map(word_hash, ws), dtype=np.uint64, count=len(ws))
-    return np.unique(window_hashes(h, min(k, len(h)))).view(np.int64)
 
+def shingle_sets(values: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row the sorted distinct hashes of its k-word shingles.
 
-def band_keys(sets: list[np.ndarray], bands: int, rows: int) -> list[np.ndarray]:
-    """LSH keys per set: one hash for each band of MinHash rows; none for an empty set."""
-    out = []
+    A row of fewer than k words is one shingle, an empty row has none.
+    """
+    size = np.diff(offsets)
+    n = len(values)
+    count = np.where(size >= k, size - k + 1, np.minimum(size, 1))
+    row = np.repeat(np.arange(len(size)), count)
+    first = np.repeat(offsets[:-1] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(int(count.sum()))
+    end = np.repeat(offsets[1:], count)
+    acc = np.zeros(len(first), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(k):
+            at = first + j
+            here = at < end
+            nxt = mix(acc * _PRIME + values[np.minimum(at, max(n - 1, 0))] if n else acc)
+            acc = np.where(here, nxt, acc)
+    order = np.lexsort((acc.view(np.int64), row))
+    acc, row = acc[order], row[order]
+    new = np.ones(len(acc), dtype=bool)
+    new[1:] = (acc[1:] != acc[:-1]) | (row[1:] != row[:-1])
+    acc, row = acc[new], row[new]
+    return acc, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(size)))))
+
+
+def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys per row, equal for equal sets: sums of independent hashes."""
+    out = np.zeros((len(offsets) - 1, 2), dtype=np.uint64)
+    full = np.diff(offsets) > 0
+    with np.errstate(over="ignore"):
+        for j, seed in enumerate((np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F))):
+            if full.any():
+                out[full, j] = np.add.reduceat(mix(values ^ seed), offsets[:-1][full])
+    return out.view(np.int64)
+
+
+def band_keys(values: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """LSH keys per row: one hash for each band of MinHash rows; none for an empty row."""
+    full = np.diff(offsets) > 0
+    starts = offsets[:-1][full]
+    out = np.zeros((int(full.sum()), bands), dtype=np.uint64)
     with np.errstate(over="ignore"):
         seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _PRIME)
-        for s in sets:
-            if not len(s):
-                out.append(np.empty(0, dtype=np.int64))
-                continue
-            m = mix(s.view(np.uint64)[None, :] ^ seeds[:, None]).min(axis=1).reshape(bands, rows)
-            acc = np.arange(bands, dtype=np.uint64)
-            for j in range(rows):
-                acc = mix(acc * _PRIME + m[:, j])
-            out.append(acc.view(np.int64))
-    return out
-
-
-def jaccard(a: str, b: str) -> Column:
-    """Exact similarity of two array columns of distinct values; 1 for two empty ones."""
-    both = F.size(F.array_intersect(a, b))
-    total = F.size(F.col(a)) + F.size(F.col(b)) - both
-    return F.when(total == 0, F.lit(1.0)).otherwise(both / total)
+        for b in range(bands):
+            acc = np.full(len(out), b, dtype=np.uint64)
+            for r in range(rows):
+                if len(out):
+                    acc = mix(acc * _PRIME + np.minimum.reduceat(mix(values ^ seeds[b * rows + r]), starts))
+            out[:, b] = acc
+    return out.reshape(-1), np.concatenate(([0], np.cumsum(np.where(full, bands, 0))))
+
+
+def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Common elements per row of two columns of sorted distinct lists.
+
+    Every element of the one list is probed in the other by binary search; the
+    row number is folded into the key so that one search serves the whole batch.
+    """
+    (va, oa), (vb, ob) = flat(a), flat(b)
+    n = len(oa) - 1
+    ra, rb = np.repeat(np.arange(n), np.diff(oa)), np.repeat(np.arange(n), np.diff(ob))
+    with np.errstate(over="ignore"):
+        key = lambda v, r: mix(v + r.astype(np.uint64) * _PRIME)
+        ka, kb = key(va, ra), np.sort(key(vb, rb))
+    if not len(ka) or not len(kb):
+        return np.zeros(n, dtype=np.int64)
+    at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+    return np.bincount(ra[kb[at] == ka], minlength=n)
