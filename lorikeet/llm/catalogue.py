@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import p2, p5, p8, p9
+from lorikeet.llm import p2, p3, p5, p6, p7, p8, p9
 
-_MODULES = (p2, p5, p8, p9)
+_MODULES = (p2, p3, p5, p6, p7, p8, p9)
 
 
 def queries() -> dict:
