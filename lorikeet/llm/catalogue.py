@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorikeet.llm import p2, p3, p5, p6, p7, p8, p9, p10
+from lorikeet.llm import p2, p3, p4, p5, p6, p7, p8, p9, p10
 
-_MODULES = (p2, p3, p5, p6, p7, p8, p9, p10)
+_MODULES = (p2, p3, p4, p5, p6, p7, p8, p9, p10)
 
 
 def queries() -> dict:
