@@ -9,17 +9,21 @@ all shingles in one global order of length:
   ``T`` shingles have no partner;
 * Divide: a record's ``T - c`` longest lists are its long lists, all others its
   short ones.  Only the short lists are merged; a partner occurs at least ``c``
-  times in the short lists of both;
-* Skip: for the few partners that do, the rest is decided by binary search of
-  the one record's elements in the other, which never touches the long lists.
+  times in the short lists of both (``c`` is a share of the record's size, so that
+  chance meetings of long records don't suffice);
+* every posting carries a parity sketch of its whole set, whose differing bits
+  bound the difference of two sets from below: a bound that never loses a link
+  ends most chance meetings in the lists of a formulaic collection at once;
+* Skip: for the few partners left, the rest is decided by binary search of the
+  one record's elements in the other, which never touches the long lists.
 
 In Spark terms: exact copies are collapsed to one representative first (equal
-shingle sets); list lengths are a combined count per shingle; the merge of short
-lists is a self-join on the shingle followed by a count per pair, both sorted
-and spilling, and adaptive execution splits long lists across tasks; the probe is
-one vectorised search per Arrow batch.  Hot shingles are long lists and never
-merged, so a clause found in a third of all records costs no quadratic work
-unless these records really are alike.
+shingle sets); list lengths are a combined count per shingle; the short lists are
+merged in cells of bounded size, spread by hash and ordered by record size, so a
+list of any length is the work of many tasks; bounds and probes are vector
+operations on Arrow batches.  Hot shingles are long lists and never merged, so a
+clause found in a third of all records costs no quadratic work unless these
+records really are alike.
 
 Edge cases: null keys and texts and records under ``min_words`` words take no
 part; rows with equal key count once (the smallest text); an empty table gives
@@ -36,14 +40,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorikeet.llm.components import components
-from lorikeet.llm.shingles import flat, lists, overlaps, set_keys, shingle_sets, word_hashes
+from lorikeet.llm.shingles import flat, lists, overlaps, parity_sketch, set_keys, shingle_sets, word_hashes
 from lorikeet.session import cut_lineage
 
-SHINGLE, THRESHOLD, MIN_WORDS, SHORT_HITS = 5, 0.8, 1, 2
+SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 1
+#: Times that a partner must occur in the short lists, as a share of the shingles.
+HITS = 0.1
+#: Words of 64 bits in a parity sketch.
+LANES = 8
+#: Longest list, or block of one, whose postings meet each other in one place.
+CELL = 4096
+#: Pairs looked at in one vector operation.
+PAIRS = 1 << 18
+
+_SKETCH = [f"sketch{k}" for k in range(LANES)]
 
 
 def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_words: int) -> DataFrame:
-    """``key, sid, n, sh``: per record its set id, size and sorted shingle hashes."""
+    """``key, set, n, sh``: per record its set's 128-bit hash, size and sorted shingle hashes."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
     rows = df.select(col(key).cast("string").alias("key"), word_hashes(col(text)).alias("w")).where("key is not null").where(F.size("w") >= max(1, min_words))
     rows = rows.groupBy("key").agg(F.min("w").alias("w"))
@@ -53,33 +67,94 @@ def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_w
             v, o = shingle_sets(*flat(b.column(1)), k)
             keys = set_keys(v, o)
             sid = pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["a", "b"])
-            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o)), lists(v, o)], names=["key", "sid", "n", "sh"])
-
-    return rows.mapInArrow(run, "key string, sid struct<a:bigint,b:bigint>, n bigint, sh array<bigint>")
-
+            sketch = parity_sketch(v, o, LANES)
+            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o)), lists(v, o), *(pa.array(sketch[:, k]) for k in range(LANES))], names=["key", "set", "n", "sh", *_SKETCH])
+
+    return rows.mapInArrow(run, "key string, set struct<a:bigint,b:bigint>, n bigint, sh array<bigint>, " + ", ".join(f"{c} bigint" for c in _SKETCH))
+
+
+def _meet(threshold: float):
+    """Merges short lists: pairs of postings of one cell that pass all bounds."""
+    most = (1 - threshold) / (1 + threshold)
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        get = lambda c: t.column(c).to_numpy()
+        tok, i, j, n, sid, block = map(get, ("t", "i", "j", "n", "sid", "block"))
+        sketch = np.stack([get(c) for c in _SKETCH], axis=1).view(np.uint64)
+        new = np.ones(len(tok), dtype=np.int64)
+        new[1:] = (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        group = np.cumsum(new)
+        order = group * (1 << 32) + n
+        # Rows of a cell lie in order of size, so partners within the size bound follow closely.
+        last = np.searchsorted(order, group * (1 << 32) + np.floor(n / threshold + 1e-9).astype(np.int64), side="right")
+        count = last - np.arange(len(tok)) - 1
+        ends = np.cumsum(count)
+        lo = 0
+        while lo < len(tok):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            c = count[lo:hi]
+            x = np.repeat(np.arange(lo, hi), c)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
+            ok = (i[x] == j[x]) | (block[x] != block[y])
+            x, y = x[ok], y[ok]
+            total = n[x] + n[y]
+            differ = np.zeros(len(x), dtype=np.int64)
+            for half in np.split(np.arange(LANES), 2):
+                differ += np.bitwise_count(sketch[np.ix_(x, half)] ^ sketch[np.ix_(y, half)]).sum(axis=1, dtype=np.int64)
+                ok = differ <= most * total + 1e-9
+                x, y, total, differ = x[ok], y[ok], total[ok], differ[ok]
+            a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
+            if len(a):
+                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.minimum(n[x], n[y]))], names=["sid_x", "sid_y", "n"])
+            lo = hi
 
-def similar_sets(sets: DataFrame, threshold: float, hits: int = SHORT_HITS) -> DataFrame:
-    """``a, b, similarity`` of all pairs ``a < b`` of distinct sets ``(sid, n, sh)``."""
-    tokens = sets.select("sid", "n", F.explode("sh").alias("t"))
-    length = tokens.groupBy("t").agg(F.count("*").alias("len")).where("len > 1")
-    need = F.ceil(F.col("n") * threshold - 1e-9)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, i, j = (b.column(c).to_numpy() for c in ("t", "i", "j"))
+            edge = np.flatnonzero((t != t[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(edge[-1]) + 1 if len(edge) else 0
+            if held:
+                h = held[0]
+                same = all(h.column(c)[0].as_py() == x[0] for c, x in (("t", t), ("i", i), ("j", j)))
+                if cut or not same:  # else the cell goes on
+                    held.append(b.slice(0, cut))
+                    yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+            elif cut:
+                yield from pairs(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+        if held:
+            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of all pairs ``a < b`` of distinct sets ``(sid, n, sh, sketch...)``."""
+    tokens = sets.select("sid", F.explode("sh").alias("t"))
+    length = tokens.groupBy("t").agg(F.count("*").cast("int").alias("len")).where("len > 1")
+    need = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
     divided = (
         tokens.join(length, "t")
-        .groupBy("sid", "n")
+        .groupBy("sid")
         .agg(F.array_sort(F.collect_list(F.struct("len", "t"))).alias("ts"))  # one record's own shingles
+        .join(sets.select("sid", "n", *_SKETCH), "sid")
         .where(F.size("ts") >= need)
-        .select("sid", "n", F.least(F.lit(hits), need).alias("c"), F.slice("ts", F.lit(1), F.size("ts") - need.cast("int") + F.least(F.lit(hits), need.cast("int"))).alias("short"))
-    )
-    short = cut_lineage(divided.select("sid", "n", "c", F.explode("short.t").alias("t")))
-    x, y = (short.select("t", *(F.col(c).alias(f"{c}_{s}") for c in ("sid", "n", "c"))) for s in "xy")
-    shorter, longer = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    pairs = (
-        x.join(y, "t")
-        .where((F.col("sid_x") < F.col("sid_y")) & (shorter >= longer * threshold - 1e-9))
-        .groupBy("sid_x", "sid_y")
-        .agg(F.count("*").alias("hits"), F.min(F.least("c_x", "c_y")).alias("c"))
-        .where(F.col("hits") >= F.col("c"))
     )
+    hits = F.ceil(F.col("n") * HITS).cast("int")
+    short = F.slice("ts", F.lit(1), F.greatest(F.lit(0), F.size("ts") - need + hits))
+    posting = divided.select("sid", F.col("n").cast("int").alias("n"), *_SKETCH, F.explode(short).alias("p"))
+    # Lists over CELL long are cut into blocks, and every two blocks meet in one cell.
+    posting = posting.select("p.t", "sid", "n", F.ceil(F.col("p.len") / CELL).cast("int").alias("m"), *_SKETCH)
+    posting = posting.withColumn("block", F.when(F.col("m") > 1, F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(0).cast("int"))
+    posting = posting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", *_SKETCH)
+    cells = cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n")
+    met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, n int")
+    pairs = met.groupBy("sid_x", "sid_y").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= hits)
     left = sets.select(F.col("sid").alias("sid_x"), F.col("sh").alias("sh_x"))
     right = sets.select(F.col("sid").alias("sid_y"), F.col("sh").alias("sh_y"))
     both = pairs.select("sid_x", "sid_y").join(left, "sid_x").join(right, "sid_y").select("sid_x", "sid_y", "sh_x", "sh_y")
@@ -93,15 +168,17 @@ def similar_sets(sets: DataFrame, threshold: float, hits: int = SHORT_HITS) -> D
             keep = pa.array(sim >= threshold - 1e-9)
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sim).filter(keep)], names=["a", "b", "similarity"])
 
-    key = "struct<a:bigint,b:bigint>"
-    return both.mapInArrow(probe, f"a {key}, b {key}, similarity double")
+    return both.mapInArrow(probe, "a bigint, b bigint, similarity double")
 
 
 def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """``members (key, sid)`` and ``links (a, b, similarity)`` between set ids."""
     rows = cut_lineage(shingled(df, key, text, k, min_words))
-    sets = rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("sh").alias("sh"))
-    return rows.select("key", "sid"), similar_sets(sets, threshold)
+    sets = rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", *_SKETCH)))
+    # A written id is eight bytes wide in every posting, and can't collide.
+    sets = cut_lineage(sets.withColumn("sid", F.monotonically_increasing_id()))
+    members = rows.select("key", "set").join(sets.select("set", "sid"), "set").select("key", "sid")
+    return members, similar_sets(sets.drop("set"), threshold)
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -97,19 +97,40 @@ def band_keys(values: np.ndarray, offsets: np.ndarray, bands: int, rows: int) ->
     return out.reshape(-1), np.concatenate(([0], np.cumsum(np.where(full, bands, 0))))
 
 
+def parity_sketch(values: np.ndarray, offsets: np.ndarray, lanes: int) -> np.ndarray:
+    """Per row ``lanes`` words of bits, each the parity of the elements hashed to it.
+
+    Bits in which two sketches differ are at most as many as elements in which
+    the two sets differ.
+    """
+    with np.errstate(over="ignore"):
+        h = mix(values ^ np.uint64(0x2545F4914F6CDD1D))
+    bit = np.uint64(1) << (h & np.uint64(63))
+    lane = ((h >> np.uint64(6)) % np.uint64(lanes)).astype(np.int64)
+    out = np.zeros((len(offsets) - 1, lanes), dtype=np.uint64)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    np.bitwise_xor.at(out, (row, lane), bit)
+    return out.view(np.int64)
+
+
 def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     """Common elements per row of two columns of sorted distinct lists.
 
-    Every element of the one list is probed in the other by binary search; the
-    row number is folded into the key so that one search serves the whole batch.
+    Every element of the one list is probed in the other by binary search.  The row
+    number takes the upper bits of the key, so one search serves the batch, and as
+    the lists are sorted so are the probes.  50 bits of each hash decide.
     """
     (va, oa), (vb, ob) = flat(a), flat(b)
     n = len(oa) - 1
-    ra, rb = np.repeat(np.arange(n), np.diff(oa)), np.repeat(np.arange(n), np.diff(ob))
-    with np.errstate(over="ignore"):
-        key = lambda v, r: mix(v + r.astype(np.uint64) * _PRIME)
-        ka, kb = key(va, ra), np.sort(key(vb, rb))
-    if not len(ka) or not len(kb):
-        return np.zeros(n, dtype=np.int64)
-    at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
-    return np.bincount(ra[kb[at] == ka], minlength=n)
+    out = np.zeros(n, dtype=np.int64)
+    for lo in range(0, n, 1 << 13):
+        hi = min(n, lo + (1 << 13))
+        keys = []
+        for v, o in ((va, oa), (vb, ob)):
+            row = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(o[lo : hi + 1]))
+            keys.append((row << 50) | ((v[o[lo] : o[hi]].view(np.int64) >> 14) + (1 << 49)))
+        ka, kb = keys
+        if len(ka) and len(kb):
+            at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
+            out[lo:hi] = np.bincount(ka[kb[at] == ka] >> 50, minlength=hi - lo)
+    return out
