@@ -2,7 +2,7 @@
 
 The features of a token depend on the token alone and on single neighbours, so
 the scores of all distinct tokens of a batch are computed once and gathered for
-all positions by vector operations.  Lines where no token comes near an entity
+all positions by vector operations.  Stretches where no token comes near an entity
 label are done with that.  The others are chains; within one text, positions
 with the same uncommon word are joined by skip edges, and loopy message passing
 lets them agree before the chains are decoded.
@@ -24,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorikeet.llm import crf
-from lorikeet.llm.pii_tokens import AROUND, LABELS, context_features, token_features, tokens
+from lorikeet.llm.pii_tokens import AROUND, LABELS, context_features, iterate, kind_of, strings, token_features
 
-#: A line is decoded if some token's best entity score is within this of O's.
-NEAR = 6.0
+#: A token comes near an entity if its best entity score is within this of O's, and
+#: so many tokens on either side are decoded with it.
+NEAR, MARGIN = 1.0, 10
 #: Log potential that two occurrences of one uncommon word share for agreeing kinds.
 AGREE = 0.8
 _KIND_OF = ["", *(x[2:] for x in LABELS[1:])]
@@ -45,81 +46,100 @@ class Tagger:
         self.trans, self.start = np.array(m["trans"]), np.array(m["start"])
         self.zero = np.zeros(len(LABELS))
         self.agree = AGREE * np.array([[float(a == b) for b in _KIND_OF] for a in _KIND_OF])
-        self.edge = np.stack([self.weights.get(f"{o}edge", self.zero) for o in AROUND])
+        self.edge = np.stack([self.weights.get(f"{o}edge", self.zero) for o in AROUND]).astype(np.float32)
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[tuple[str, str], int] = {}
+        self.index: dict[str, int] = {"\n": 0}
         self.scores: list[np.ndarray] = []
-        self.table = np.empty((0, 1 + len(AROUND), len(LABELS)))
+        self.table = np.zeros((1, 1 + len(AROUND), len(LABELS)), dtype=np.float32)
 
-    def _score(self, s: str, kind: str) -> np.ndarray:
-        w, z = self.weights, self.zero
+    def _score(self, s: str) -> np.ndarray:
+        w, z, kind = self.weights, self.zero, kind_of(s)
         ctx = context_features(s, kind, self.known)
         return np.stack([sum((w.get(f, z) for f in token_features(s, kind, self.known)), z), *(sum((w.get(f"{o}{f}", z) for f in ctx), z) for o in AROUND)])
 
+    def _rows(self, flat: list[str]) -> np.ndarray:
+        """The score row of every token; row 0 is a line end."""
+        index = self.index
+        rows = list(map(index.get, flat))
+        if None in rows:
+            first = len(self.table)
+            for s in dict.fromkeys(s for s, r in zip(flat, rows) if r is None):
+                index[s] = first + len(self.scores)
+                self.scores.append(self._score(s))
+            self.table = np.concatenate([self.table, np.stack(self.scores).astype(np.float32)])
+            self.scores = []
+            rows = list(map(index.__getitem__, flat))
+        return np.array(rows, dtype=np.int64)
+
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of all items of each text."""
         if len(self.index) > self.MOST:
             self.reset()
-        index, scores = self.index, self.scores
-        per_text: list[list[tuple[int, int, str]]] = []
-        ids, lines = [], []  # per token: score row; per line: (text, first token in text, tokens, first id)
-        for k, t in enumerate(texts):
-            ts = tokens(t) if t else []
-            per_text.append(ts)
-            first = 0
-            for i, (a, b, kind) in enumerate(ts):
-                if kind == "line":
-                    if i > first:
-                        lines.append((k, first, i - first, len(ids) - (i - first)))
-                    first = i + 1
-                    continue
-                key = (t[a:b], kind)
-                row = index.get(key)
-                if row is None:
-                    row = index[key] = len(scores)
-                    scores.append(self._score(*key))
-                ids.append(row)
-            if len(ts) > first:
-                lines.append((k, first, len(ts) - first, len(ids) - (len(ts) - first)))
+        flat: list[str] = []
+        n_tokens = []
+        for t in texts:
+            ts = strings(t) if t else []
+            flat += ts
+            n_tokens.append(len(ts))
         out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-        if not ids:
+        rows = self._rows(flat)
+        text_of = np.repeat(np.arange(len(texts)), n_tokens)
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(n_tokens) - n_tokens, n_tokens)
+        # A line is a run of tokens of one text between line ends.
+        brk = rows == 0
+        brk[1:] |= text_of[1:] != text_of[:-1]
+        line = np.cumsum(brk)
+        keep = rows != 0
+        at, line, text_of, place = rows[keep], line[keep], text_of[keep], place[keep]
+        if not len(at):
             return out
-        if len(scores) > len(self.table):
-            self.table = np.concatenate([self.table, np.stack(scores[len(self.table) :])])
-        at = np.array(ids)
-        u = self.table[at, 0].copy()
-        size = np.array([x[2] for x in lines])
-        start = np.array([x[3] for x in lines])
-        line_of = np.repeat(np.arange(len(lines)), size)
-        inside = np.arange(len(at)) - start[line_of]
+        u = self.table[at, 0]
+        n = len(at)
         for j, o in enumerate(AROUND):
-            ok = (inside + o >= 0) & (inside + o < size[line_of])
-            src = np.flatnonzero(ok)
-            u[src] += self.table[at[src + o], 1 + j]
-            u[~ok] += self.edge[j]
+            ok = np.zeros(n, dtype=bool)
+            near = np.zeros(n, dtype=np.int64)
+            if abs(o) < n:
+                here, there = (slice(0, n - o), slice(o, n)) if o > 0 else (slice(-o, n), slice(0, n + o))
+                ok[here] = line[here] == line[there]
+                near[here] = at[there]
+            u += np.where(ok[:, None], self.table[near, 1 + j], self.edge[j])
         margin = u[:, 1:].max(1) - u[:, 0]
-        hot = np.maximum.reduceat(margin, start) > -NEAR
-        texts_hot: dict[int, list[int]] = {}
-        for li in np.flatnonzero(hot).tolist():
-            texts_hot.setdefault(lines[li][0], []).append(li)
-        for k, own in texts_hot.items():
-            chains = [u[lines[li][3] : lines[li][3] + lines[li][2]] for li in own]
-            edges = self._edges(texts[k], per_text[k], [lines[li] for li in own])
+        start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        size = np.diff(np.append(start, n))
+        # Stretches around the tokens that come near an entity are the chains.
+        hot = np.flatnonzero(margin > -NEAR)
+        lo_of, hi_of = np.repeat(start, size)[hot], np.repeat(start + size, size)[hot]
+        mark = np.zeros(n + 1, dtype=np.int64)
+        np.add.at(mark, np.maximum(hot - MARGIN, lo_of), 1)
+        np.add.at(mark, np.minimum(hot + MARGIN + 1, hi_of), -1)
+        inside = np.cumsum(mark[:-1]) > 0
+        first = np.flatnonzero(inside & np.concatenate(([True], ~inside[:-1] | (line[1:] != line[:-1]))))
+        last = np.flatnonzero(inside & np.concatenate((~inside[1:] | (line[1:] != line[:-1]), [True]))) + 1
+        inner = ~np.isin(first, start)
+        u[first[inner]] += (self.trans[0] - self.start).astype(np.float32)
+        own: dict[int, list[tuple[int, int]]] = {}
+        for a, b, k in zip(first.tolist(), last.tolist(), text_of[first].tolist()):
+            own.setdefault(k, []).append((a, b))
+        for k, parts in own.items():
+            spans = [m.span() for m in iterate(texts[k])]
+            places = [place[a:b].tolist() for a, b in parts]
+            chains = [u[a:b].astype(np.float64) for a, b in parts]
+            edges = self._edges(texts[k], [[spans[p] for p in ps] for ps in places])
             labels = crf.skip_chain(chains, edges, self.trans, self.start, self.agree) if edges else [crf.viterbi(c, self.trans, self.start) for c in chains]
-            for li, ys in zip(own, labels):
-                out[k] += self._items(per_text[k][lines[li][1] : lines[li][1] + lines[li][2]], ys.tolist())
+            for ps, ys in zip(places, labels):
+                if ys.any():
+                    out[k] += self._items([spans[p] for p in ps], ys.tolist())
         return out
 
-    def _edges(self, text: str, ts: list, lines: list) -> list[tuple[int, int, int, int]]:
+    def _edges(self, text: str, parts: list[list[tuple[int, int]]]) -> list[tuple[int, int, int, int]]:
         """Skip edges between consecutive occurrences of an uncommon word."""
         last: dict[str, tuple[int, int]] = {}
         edges = []
-        for c, (_, first, n, _) in enumerate(lines):
-            for i in range(n):
-                a, b, kind = ts[first + i]
-                if kind == "word" and b - a > 2 and (w := text[a:b].lower()) not in self.known:
+        for c, spans in enumerate(parts):
+            for i, (a, b) in enumerate(spans):
+                if b - a > 2 and text[a].isalpha() and (w := text[a:b].lower()) not in self.known and kind_of(w) == "word":
                     if w in last:
                         edges.append((*last[w], c, i))
                     last[w] = (c, i)
@@ -128,7 +148,7 @@ class Tagger:
     def _items(self, ts: list, ys: list[int]) -> list[tuple[int, int, str]]:
         out: list[tuple[int, int, str]] = []
         last = 0
-        for (a, b, _), y in zip(ts, ys):
+        for (a, b), y in zip(ts, ys):
             if y:
                 kind = _KIND_OF[y]
                 if out and last and _KIND_OF[last] == kind and LABELS[y][0] == "I":

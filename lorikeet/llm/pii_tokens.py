@@ -26,12 +26,23 @@ _PATTERNS = (
     ("sign", r"[^\w\s]|_"),
 )
 _TOKEN = re.compile("|".join(f"(?P<{k}>{p})" for k, p in _PATTERNS), re.IGNORECASE)
-_TYPES = [k for k, _ in _PATTERNS]
+# Most words can begin none of the composite tokens; they are taken first.
+_PLAIN = rf"(?!{_DIGIT_WORD}\b)[^\W\d_]{{3,}}(?=[\s,;:?!)])(?!\s?[@\[({{]|\sat\s)"
+_ALL = re.compile("|".join([_PLAIN, *(f"(?:{p})" for _, p in _PATTERNS)]), re.IGNORECASE)
+
+#: The tokens of a text as strings, and as matches.
+strings, iterate = _ALL.findall, _ALL.finditer
+
+
+def kind_of(s: str) -> str:
+    """The type of a token from its string."""
+    m = _TOKEN.fullmatch(s)
+    return m.lastgroup if m else "word" if s[0].isalpha() else "sign"
 
 
 def tokens(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of every token."""
-    return [(m.start(), m.end(), m.lastgroup) for m in _TOKEN.finditer(text)]
+    return [(m.start(), m.end(), kind_of(m.group())) for m in iterate(text)]
 
 
 def shape(s: str, kind: str) -> str:
