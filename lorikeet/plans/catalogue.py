@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorikeet.plans import p1
+from lorikeet.plans import p1, reference
 
-_MODULES = (p1,)
+_MODULES = (reference, p1)
 
 
 def queries() -> dict:
