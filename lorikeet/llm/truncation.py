@@ -10,8 +10,7 @@ behind the text (dots of omission, dashes, brackets, emphasis, emoji, broken
 characters) are taken off first.  What is left is cut if
 
 * its last token is no known word but a proper prefix of known words, or
-* it ends with an abbreviation, or with a bare number and a point that never end
-  a sentence elsewhere, or
+* it ends with an abbreviation that never ends a sentence elsewhere, or
 * it has no sentence end and is neither a list line known to be complete nor a
   short phrase whose last words are known to end sentences and whose length is
   none at which values pile up (a field limit).
@@ -49,7 +48,7 @@ _STRIP = "\"'“”‘’«»()[]{}<>.,;:!?।…*_-–—`"
 _ADDED = regex.compile(r"(?:[\s\p{Cf}\p{Cc}\p{So}\p{Sk}\p{Mn}�\"'“”‘’«»()\[\]{}*_~`>|…—–\-]|(?<![.])[.]{2,3}(?![.])|(?<=[.!?।])[.]{2,3})+\Z")
 #: What a value with a clean sentence end looks like; the rest is looked at closer.
 _CLEAN = r"[\p{L}\p{N}\)%][.!?।][\s\"”’»)\]*]*$"
-_DOUBTFUL = r"(^|[^\p{L}\p{N}.,/-])(\p{N}+|\p{L}{1,4}(\.\p{L})?)\.[\s\"”’»)\]*]*$"
+_DOUBTFUL = r"(^|[^\p{L}\p{N}.,/-])\p{L}{1,6}(\.\p{L})?\.[\s\"”’»)\]*]*$"
 
 _FEATURES = "token string, pair string, item string, ended boolean, doubtful boolean, n_words int, size int, prompted boolean"
 
@@ -106,8 +105,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             c = core(t)
             last = c.rsplit(None, 1)[-1] if c.strip() else ""
             ended = c[-1:] in ("." , "!", "?", "।")
-            abbreviated = last.lower() in ABBREVIATIONS and len(c.split()) > 3
-            doubtful = ended and (abbreviated or bool(re.fullmatch(r"\d+\.", last)))
+            doubtful = ended and last.lower() in ABBREVIATIONS and len(c.split()) > 3
             line = c.rsplit("\n", 1)[-1]
             m = _BULLET.match(line) if "\n" in c else None
             w = word_key(last)
