@@ -45,14 +45,18 @@ def is_heading(line: Column | str) -> Column:
     ``.``, is all upper case, is title case of at most 8 words, or contains a
     section keyword.  Null gives null.
     """
-    s = strip(line)
+    return stripped_is_heading(strip(line))
+
+
+def stripped_is_heading(s: Column) -> Column:
+    """``is_heading`` of a line that is stripped already."""
     n = word_count(s)
-    cased = s.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]")
-    upper = cased & s.rlike(r"\p{Lu}") & ~s.rlike(r"[\p{Ll}\p{Lt}]")
+    upper = s.rlike(r"\p{Lu}") & ~s.rlike(r"[\p{Ll}\p{Lt}]")
     title = s.rlike(r"[\p{Lu}\p{Lt}]") & ~s.rlike(r"(^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}") & ~s.rlike(r"[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]")
-    keyword = reduce(lambda a, b: a | b, (F.lower(s).contains(k) for k in SECTION_KEYWORDS))
+    keyword = F.lower(s).rlike("|".join(SECTION_KEYWORDS))
     numbered = s.rlike(r"(?U)^(\d+[.)]|[IVX]+\.)")
-    return (s != "") & (((n <= 12) & ~s.endswith(".")) | numbered | upper | (title & (n <= 8)) | keyword)
+    # "Or" ends at the first true test, so the cheap ones come first.
+    return (s != "") & ((~s.endswith(".") & (n <= 12)) | keyword | numbered | upper | (title & (n <= 8)))
 
 
 def rewrite_question(question: Column | str) -> Column:

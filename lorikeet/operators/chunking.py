@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorikeet.functions.text import is_heading, strip
+from lorikeet.functions.text import strip, stripped_is_heading
 
 SIZE, OVERLAP, DEFAULT_SECTION = 512, 0.15, "General"
 
@@ -19,7 +19,8 @@ SIZE, OVERLAP, DEFAULT_SECTION = 512, 0.15, "General"
 def lines(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, line_no, line, is_heading`` of every line, split at ``\\n`` only."""
     parts = F.split(F.col(text), "\n", -1)
-    return df.select(F.col(key).alias("key"), F.posexplode(parts).alias("line_no", "line")).withColumn("is_heading", is_heading("line"))
+    ls = df.select(F.col(key).alias("key"), F.posexplode(parts).alias("line_no", "line")).withColumn("_s", strip("line"))
+    return ls.withColumn("is_heading", stripped_is_heading(F.col("_s"))).drop("_s")
 
 
 def _fold(text: Column) -> Column:
@@ -40,7 +41,8 @@ def _fold(text: Column) -> Column:
             F.when(heading | blank, flushed(acc)).otherwise(acc["done"]).alias("done"),
         ).cast(kind)
 
-    marked = F.transform(F.split(text, "\n", -1), lambda x: F.struct(strip(x).alias("s"), is_heading(x).alias("h")))
+    stripped = F.transform(F.split(text, "\n", -1), strip)
+    marked = F.transform(stripped, lambda x: F.struct(x.alias("s"), stripped_is_heading(x).alias("h")))
     return F.aggregate(marked, zero, step, flushed)
 
 

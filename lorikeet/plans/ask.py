@@ -8,24 +8,44 @@ network.
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorikeet.functions import text as T
-from lorikeet.operators.embedding import DIM, token_buckets
+from lorikeet.operators.embedding import DIM
 from lorikeet.operators.search import concatenated, cosine, scoped_collections, weighted_rerank
 
+_TOKEN = re.compile("[a-z0-9]+")
 NO_MATCH = "No relevant policy content found for this question."
 DIRECT_REPLY = "Please ask a question about your policy documents."
 
 
+def _hashed(texts: pd.Series) -> pd.Series:
+    bucket: dict[str, int] = {}
+
+    def one(t: str | None) -> np.ndarray | None:
+        if t is None:
+            return None
+        ids = []
+        for w in _TOKEN.findall(t.lower()):
+            if w not in bucket:
+                bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIM
+            ids.append(bucket[w])
+        return np.bincount(np.array(ids, dtype=np.int64), minlength=DIM).astype(np.float64)
+
+    return texts.map(one)
+
+
 def hashed_vector(text: Column | str) -> Column:
-    """Dense hashed counts of a text, as the search operator takes them."""
-    b = token_buckets(text)
-    return F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda k: F.size(F.filter(b, lambda x: x == k)).cast("double"))
+    """Dense hashed token counts of a text, equal to ``token_buckets``; null for null."""
+    return F.pandas_udf(_hashed, "array<double>")(text)
 
 
 @dataclass(frozen=True)
