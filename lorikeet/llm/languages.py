@@ -13,6 +13,9 @@ FUNCTION_WORDS = {
     "fr": "le la les des du de et est pour que dans un une sur avec pas sont qui quand comment jours mois si aux au ou lorsque oui non sauf puis",
 }
 
+# Signs that speak for a language.
+SIGNS = {"es": "ñ¿¡áíóú", "de": "äöüß", "fr": "àâçèêëîïôœùû"}
+
 # Names of languages in requests for an answer in one of them.
 LANGUAGE_NAMES = {
     "en": "english inglés englisch anglais अंग्रेज़ी अंग्रेजी",
@@ -42,6 +45,10 @@ def language(text: str) -> str | None:
     count = dict.fromkeys(FUNCTION_WORDS, 0)
     for lang in chain.from_iterable(map(_OF.get, filter(_OF.__contains__, _WORD.findall(text.lower())))):
         count[lang] += 1
+    if not text.isascii():
+        low = set(text.lower())
+        for lang, signs in SIGNS.items():
+            count[lang] += len(low.intersection(signs))
     first, second = sorted(count.values())[:-3:-1]
     return max(count, key=count.get) if first > second else None
 

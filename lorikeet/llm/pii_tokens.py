@@ -19,7 +19,7 @@ _PATTERNS = (
     ("said", rf"\b{_DIGIT_WORD}(?:[\s,-]+{_DIGIT_WORD}){{6,}}\b"),
     ("code", r"[^\W\d_]{1,5}[-/]\d[\w/-]*|[^\W\d_]\d{1,2}\.\d+"),
     ("iden", r"\b[^\W\d_]{1,6}\d{4,9}[^\W\d_]?\b|\b[^\W\d_]{2}\s\d\d\s\d\d\s\d\d\s[^\W\d_]\b"),
-    ("digs", r"(?:\+\s?|\(\s?)?\d(?:\)?[\s.-]{0,2}\(?\d){6,}(?![\d,]|\.\d)"),
+    ("digs", r"(?:\+\s?|\(\s?)?\d(?:\)?[\s.-]{0,2}\(?\d){6,}(?!\d|[.,]\d)"),
     ("numb", r"\d+(?:[.,/:]\d+)*[^\W\d_]?\b|\d+"),
     ("word", r"(?:[^\W\d_]|[ऀ-ॣॱ-ॿ])+(?:['’-](?:[^\W\d_]|[ऀ-ॿ])+)*"),
     ("line", r"\n"),

@@ -25,7 +25,7 @@ from lorikeet.llm.pii_tokens import AROUND, KINDS, LABELS, context_features, tok
 
 OUT = Path(__file__).with_name("pii_model.json")
 #: Most rows read per table, and most texts without any item used as counter-examples.
-MOST_ROWS, MOST_PLAIN = 40_000, 2500
+MOST_ROWS, MOST_PLAIN, BRIEF = 40_000, 2500, 60
 
 _N = r"((?:[A-Z][\w'’-]+) (?:[A-Z]\. )?(?:de )?[A-Z][\w'’-]+|[A-Z][\w'’-]+, [A-Z][\w'’-]+)"
 _INTRO = [r"My name is {}", r"i am {} ph", r"^{} here", r"details: {},", r"father {},", r"daughter {} \(", r"covered for {}\?", r"Me llamo {} y", r"Ich heiße {},", r"Patient {} was", r"Member {} \(ID", r"kin {},", r"Mrs {} asked", r"Insured: {},", r"sent by {} from", r"regards\n{}"]
@@ -156,7 +156,8 @@ def main(folder: str) -> None:
             masks.setdefault(re.sub(r"\d+", "9", t)[:60], (t, s))
     plain = list(masks.values())
     rnd.shuffle(plain)
-    plain = plain[:MOST_PLAIN]
+    brief = [x for x in plain if len(x[0]) <= BRIEF][:MOST_PLAIN]  # headings look most like names
+    plain = brief + [x for x in plain if len(x[0]) > BRIEF][:MOST_PLAIN]
     print(f"{len(given)} and {len(family)} name parts, {len(some)} texts with items, {len(plain)} without")
     held = {t for t, _ in some if rnd.random() < 0.2}
     count: Counter = Counter()
@@ -169,7 +170,7 @@ def main(folder: str) -> None:
         for a, b, k in tokens(t):
             if k == "word" and any(lo <= a < hi and kind == "name" for lo, hi, kind in s):
                 inside[t[a:b].lower()] += 1
-    known = {w for w, n in count.items() if n >= 5 and inside[w] == 0} | set(re.findall(r"[a-z]+", _STREET)) | {"house", "flat", "plot", "no", "pin", "de"}
+    known = {w for w, n in count.items() if n >= 3 and inside[w] == 0} | set(re.findall(r"[a-z]+", _STREET)) | {"house", "flat", "plot", "no", "pin", "de"}
     sample = [(t, s) for t, s in some if t not in held] + [(t, s) for t, s in plain]
     copies = [changed(t, s, rnd) for t, s in sample if s for _ in range(2)]
     copies += [(t.lower(), s) for t, s in rnd.sample(plain, len(plain) // 5) if len(t.lower()) == len(t)] + [(t.upper(), s) for t, s in rnd.sample(plain, len(plain) // 10) if len(t.upper()) == len(t)]

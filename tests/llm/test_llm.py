@@ -398,3 +398,10 @@ def test_abuse(spark):
         assert (score[k] >= THRESHOLD) == (k < len(bad)), t
     assert score[900] == 0
     assert score_texts(df.limit(0), "key", "text").count() == 0
+
+
+@pytest.mark.parametrize("text,want", [("¿Cubre la póliza la resonancia si la prima esté pagada?", "es"), ("Wird die Dialyse bezahlt?", "de"), ("le délai est dépassé pour l'assuré", "fr"), ("How long is it?", "en"), ("क्या यह शामिल है?", "hi"), ("401 - 22", None), ("", None), ("Zelda", None)])
+def test_language(text, want):
+    from lorikeet.llm.languages import language
+
+    assert language(text) == want
