@@ -102,6 +102,42 @@ def parsed_indices(reply: Column | str, n: Column, k: int) -> Column:
     return F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(first)
 
 
+def strict_indices(reply: Column | str, n: Column, k: int) -> Column:
+    """Positions of a comma list read strictly, the other re-ranker's form.
+
+    Any part that is no integer, or lies before the first chunk when counted from
+    the end, gives the first ``k`` positions; positions of ``n`` and more are
+    dropped even if nothing is left.  Negative numbers count from the end.
+    """
+    parts = F.slice(F.transform(F.split(reply, ","), lambda x: strip(x)), 1, k)
+    whole = F.forall(F.transform(F.split(reply, ","), lambda x: strip(x)), lambda x: x.rlike(r"^[+-]?[0-9]{1,18}$"))
+    numbers = F.filter(F.transform(parts, lambda x: x.try_cast("bigint")), lambda x: x < n)
+    placed = F.transform(numbers, lambda x: F.when(x < 0, x + n).otherwise(x))
+    first = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), lambda x: x < n)
+    return F.when(F.coalesce(whole, F.lit(False)) & ~F.exists(placed, lambda x: x < 0), placed).otherwise(first)
+
+
+def context_string(chunks: Column) -> Column:
+    """All chunks with document, section and content, a rule after each; empty for none."""
+    one = lambda c: F.concat(F.lit("[Document: "), F.coalesce(c["document"], F.lit("None")), F.lit("]\n[Section: "), F.coalesce(c["section"], F.lit("None")), F.lit("]\nContent: "), F.coalesce(c["text"], F.lit("None")), F.lit(f"\n{RULE}\n"))
+    return F.coalesce(F.array_join(F.transform(chunks, one), "\n"), F.lit(""))
+
+
+def shown_answer(answer: Column | str) -> Column:
+    """The answer as it is shown; a default for an empty one."""
+    c = F.col(answer) if isinstance(answer, str) else answer
+    return F.when(c.isNull() | (c == ""), "No answer returned.").otherwise(c)
+
+
+def shown_justification(justification: Column | str, sources: Column | str) -> Column:
+    """The justification followed by its sources as they are shown, or a default."""
+    j = F.coalesce(justification, F.lit(""))
+    src = F.col(sources) if isinstance(sources, str) else sources
+    listed = F.concat(F.lit("Sources:\n"), F.array_join(F.transform(src, lambda x: F.concat(F.lit("- "), F.coalesce(x["document"], F.lit("null")), F.lit(" :: "), F.coalesce(x["section"], F.lit("null")))), "\n"))
+    both = F.when(F.coalesce(F.size(src), F.lit(0)) > 0, F.when(j != "", F.concat(j, F.lit("\n\n"), listed)).otherwise(listed)).otherwise(j)
+    return F.when(both == "", "No justification returned.").otherwise(both)
+
+
 def preview(text: Column | str, size: int = 200) -> Column:
     """The first characters and ``...``, which is always added."""
     return F.concat(F.substring(text, 1, size), F.lit("..."))

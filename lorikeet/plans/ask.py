@@ -24,6 +24,7 @@ from lorikeet.operators.search import concatenated, cosine, scoped_collections,
 
 _TOKEN = re.compile("[a-z0-9]+")
 NO_MATCH = "No relevant policy content found for this question."
+WEB_REPLY = "The documents hold no answer, and web search is not enabled."
 DIRECT_REPLY = "Please ask a question about your policy documents."
 
 
@@ -105,3 +106,8 @@ def ask(questions: DataFrame, index: DataFrame, models: Models = Models(), top:
         F.array().cast("array<struct<document:string,section:string,text:string>>").alias("sources"), F.lit(0).alias("n_chunks"), F.lit(False).alias("is_weak"), F.lit(True).alias("success"),
     )
     return rag_out.unionByName(direct)
+
+
+def web_answers(questions: DataFrame) -> DataFrame:
+    """Placeholder rows of the web route: no sources, not successful."""
+    return questions.select("query_id", F.lit("web_scraping").alias("route"), F.lit(WEB_REPLY).alias("answer"), F.lit(False).alias("success"))

@@ -15,6 +15,7 @@ HOT_USER = "branch.kiosk01"
 QUERY_TEXT = "how long is the waiting period for cataract surgery in the policy"
 EVERY = 50
 REPLIES = ["4,2,0", "4, 2,0\nbecause", "Chunk 1 and 2", "-1,3", "1,1,1", "9,8,7,6,5,0", "none", "", "3,1,4,0,2,1"]
+STRICT = ["4,2,0", " 1 , 3", "-1,0", "9,8", "1,x", "", "0,1,2,3,4,0", "-6,1"]
 ROUTES = ["RAG", " rag. ", "direct", "Direct answer", "rag or direct", "unsure", ""]
 WORDS = ["Abcdefghij1k", "abcdefghij1k", "ABCDEFGHIJ1K", "Abcdefghijkl", "Ab1", "Größe1234567", ""]
 
@@ -123,6 +124,22 @@ def prompt_listing(spark: SparkSession, d: str) -> DataFrame:
     return x.select("document", F.md5(T.listing(F.col("cs"), 0, "Content")).alias("rerank_md5"), F.md5(T.listing(F.col("cs"), 1, "Text")).alias("answer_md5"))
 
 
+def context_strings(spark: SparkSession, d: str) -> DataFrame:
+    c = _first_chunks(spark, d)
+    named = F.transform("cs", lambda c: F.struct(F.col("document").alias("document"), c["section"].alias("section"), c["text"].alias("text")))
+    return c.select("document", F.md5(T.context_string(named)).alias("context_md5"))
+
+
+def rerank_index_strict(spark: SparkSession, d: str) -> DataFrame:
+    r = spark.createDataFrame(list(enumerate(STRICT)), "reply_id int, reply string")
+    return r.select("reply_id", F.array_join(T.strict_indices("reply", F.lit(5).cast("bigint"), 5).cast("array<string>"), ",").alias("picked"))
+
+
+def answer_display(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_history").select("id", "answer", "justification", "sources").distinct()
+    return q.select("id", T.shown_answer("answer").alias("answer"), T.shown_justification("justification", "sources").alias("justification"))
+
+
 def history_top50(spark: SparkSession, d: str) -> DataFrame:
     h = store.newest(table(spark, d, "query_history"), F.col("username") == HOT_USER, "created_at", "id", 50)
     h = store.with_defaults(h, sources=F.array().cast(h.schema["sources"].dataType))
@@ -224,7 +241,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_cosine_top15, knn_per_query, weak_match_flag, combined_scope_concat, weighted_rerank, heading_lines, paragraphs, token_windows, chunk_ids,
-        hash_embed_knn, rerank_index_parse, answer_parse, source_preview, prompt_listing, history_top50, activity_top100, recent_queries_top5, files_by_scope,
+        hash_embed_knn, rerank_index_parse, rerank_index_strict, answer_parse, answer_display, source_preview, prompt_listing, context_strings, history_top50, activity_top100, recent_queries_top5, files_by_scope,
         user_point_lookup, exists_check, upsert_overlay, insert_absent, replace_latest_personal, delete_matching, json_metadata, route_normalise,
         question_routes, glossary_rewrite, password_rules, lockout_fold, ask_pipeline,
     )
@@ -315,6 +332,17 @@ ORACLE = {
         t as (select *, row_number() over (partition by document order by length(chunk_id), chunk_id) as rk from c qualify rk <= 5)
         select document, md5(string_agg(chr(10) || 'Chunk ' || (rk - 1) || ':' || chr(10) || 'Section: ' || coalesce(section, 'None') || chr(10) || 'Content: ' || text || chr(10) || repeat('-', 80) || chr(10), '' order by rk)) as rerank_md5,
           md5(string_agg(chr(10) || 'Chunk ' || rk || ':' || chr(10) || 'Section: ' || coalesce(section, 'None') || chr(10) || 'Text: ' || text || chr(10) || repeat('-', 80) || chr(10), '' order by rk)) as answer_md5 from t group by document""",
+    "context_strings": """with c as (select distinct chunk_id, metadata.document_name as document, metadata.section_heading as section, text from chunk where chunk_id is not null and text is not null and metadata.document_name is not null),
+        t as (select *, row_number() over (partition by document order by length(chunk_id), chunk_id) as rk from c qualify rk <= 5)
+        select document, md5(string_agg('[Document: ' || document || ']' || chr(10) || '[Section: ' || coalesce(section, 'None') || ']' || chr(10) || 'Content: ' || text || chr(10) || repeat('-', 80) || chr(10), chr(10) order by rk)) as context_md5 from t group by document""",
+    "rerank_index_strict": f"""with r(reply_id, reply) as (values {_values(STRICT)}), p as (select reply_id, list_transform(string_split(reply, ','), lambda x: trim(x)) as t from r),
+        v as (select reply_id, len(list_filter(t, lambda x: not regexp_matches(x, '^[+-]?[0-9]+$'))) > 0 as bad, list_filter(list_transform(list_slice(t, 1, 5), lambda x: try_cast(x as bigint)), lambda x: x < 5) as i from p),
+        w as (select reply_id, bad, list_transform(i, lambda x: case when x < 0 then x + 5 else x end) as i from v)
+        select reply_id, array_to_string(case when bad or len(list_filter(i, lambda x: x < 0)) > 0 then [0, 1, 2, 3, 4] else i end, ',') as picked from w""",
+    "answer_display": """with q as (select distinct id, answer, justification, sources from query_history),
+        s as (select id, answer, coalesce(justification, '') as j, case when len(sources) > 0 then 'Sources:' || chr(10) || array_to_string(list_transform(sources, lambda x: '- ' || coalesce(x.document, 'null') || ' :: ' || coalesce(x.section, 'null')), chr(10)) end as l from q)
+        select id, case when answer is null or answer = '' then 'No answer returned.' else answer end as answer,
+          case when l is null and j = '' then 'No justification returned.' when l is null then j when j = '' then l else j || chr(10) || chr(10) || l end as justification from s""",
     "history_top50": f"select id, question, answer, coalesce(len(sources), 0)::int as n_sources, coalesce(epoch_us(created_at), -1) as created_us from (select * from query_history where username = '{HOT_USER}' {_NEWEST} limit 50)",
     "activity_top100": f"""select id, event_type, {_strip("concat_ws(': ', resource_type, resource_id)")} as resource, coalesce(metadata, '{{}}') as metadata, coalesce(epoch_us(created_at), -1) as created_us
         from (select * from audit_events where username = '{HOT_USER}' {_NEWEST} limit 100)""",

@@ -8,6 +8,7 @@ library.  A file that fails gives a null text and its error, never a failed job.
 from __future__ import annotations
 
 import io
+import os
 import zipfile
 from collections.abc import Callable
 from xml.etree import ElementTree
@@ -93,3 +94,15 @@ def append_chunks(chunks: DataFrame, path: str) -> None:
         old = spark.read.parquet(path).select("collection", "chunk_id")
         chunks = chunks.join(old, ["collection", "chunk_id"], "left_anti")
     chunks.write.mode("append").partitionBy("collection").parquet(path)
+
+
+def write_chunk_json(chunks: DataFrame, path: str) -> None:
+    """Chunks as JSON lines, one object per chunk with its nested metadata."""
+    chunks.select("chunk_id", "text", "metadata").write.mode("errorifexists").json(path)
+
+
+def safe_path(base: str, name: str) -> str | None:
+    """The path of a file inside ``base``, or None if the name leads out of it."""
+    root = os.path.realpath(base)
+    full = os.path.realpath(os.path.join(root, name))
+    return full if os.path.commonpath([root, full]) == root and full != root else None

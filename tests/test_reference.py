@@ -180,6 +180,15 @@ def test_files(spark, tmp_path):
     assert collection_table(spark, path, ["none"]).count() == 0
 
 
+def test_json_sink_and_paths(spark, tmp_path):
+    from lorikeet.sources.files import safe_path, write_chunk_json
+
+    df = spark.createDataFrame([("x_0", "t\nü", ("x", None))], "chunk_id string, text string, metadata struct<document_name:string,section_heading:string>")
+    write_chunk_json(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).select("chunk_id", "text", "metadata.document_name").first() == ("x_0", "t\nü", "x")
+    assert safe_path(str(tmp_path), "a.pdf") and safe_path(str(tmp_path), "../a.pdf") is None and safe_path(str(tmp_path), "/etc/passwd") is None
+
+
 def test_streaming_ingest(spark, tmp_path):
     from lorikeet.sources.files import collection_table
     from lorikeet.streaming.ingest import document_stream, ingest
