@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN, MAX_ITEMS, BLOCK = 12, 4096, 16
+RUN, MAX_ITEMS, BLOCK = 12, 512, 16
 K1, B = 1.2, 0.75
 _EPS = 1e-6
 

@@ -366,7 +366,7 @@ def test_leaks(spark, monkeypatch):
     ddf = spark.createDataFrame(docs, "d long, t string").withColumn("item_id", F.lit("clash"))
     idf = spark.createDataFrame(items, "i long, p string").withColumn("doc_id", F.lit("clash"))
     want = leaks_brute(docs, [x for x in items if x[1]], 12)
-    for most in (4096, 20):
+    for most in (512, 20):
         monkeypatch.setattr(leaks, "MAX_ITEMS", most)
         rows = leaks.find_leaks(ddf, "d", "t", idf, "i", "p").collect()
         assert sorted((r.doc_id, r.item_id) for r in rows) == sorted(want) and want
