@@ -45,15 +45,18 @@ from lorikeet.session import cut_lineage
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 1
 #: Times that a partner must occur in the short lists, as a share of the shingles.
-HITS = 0.1
+HITS = 0.04
 #: Words of 64 bits in a parity sketch.
 LANES = 8
 #: Longest list, or block of one, whose postings meet each other in one place.
 CELL = 4096
 #: Pairs looked at in one vector operation.
-PAIRS = 1 << 18
+PAIRS = 1 << 15
 
+#: Sets of more shingles carry a sketch twice as wide, in these further words.
+LONG = 400
 _SKETCH = [f"sketch{k}" for k in range(LANES)]
+_MORE = [f"more{k}" for k in range(LANES)]
 
 
 def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_words: int) -> DataFrame:
@@ -67,10 +70,13 @@ def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_w
             v, o = shingle_sets(*flat(b.column(1)), k)
             keys = set_keys(v, o)
             sid = pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["a", "b"])
-            sketch = parity_sketch(v, o, LANES)
-            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o)), lists(v, o), *(pa.array(sketch[:, k]) for k in range(LANES))], names=["key", "set", "n", "sh", *_SKETCH])
+            wide = parity_sketch(v, o, 2 * LANES)
+            # The narrow sketch is the wide one folded, so the upper half tells both.
+            narrow, upper = wide[:, :LANES] ^ wide[:, LANES:], np.where((np.diff(o) > LONG)[:, None], wide[:, LANES:], 0)
+            words = [pa.array(np.ascontiguousarray(x[:, k])) for x in (narrow, upper) for k in range(LANES)]
+            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o)), lists(v, o), *words], names=["key", "set", "n", "sh", *_SKETCH, *_MORE])
 
-    return rows.mapInArrow(run, "key string, set struct<a:bigint,b:bigint>, n bigint, sh array<bigint>, " + ", ".join(f"{c} bigint" for c in _SKETCH))
+    return rows.mapInArrow(run, "key string, set struct<a:bigint,b:bigint>, n bigint, sh array<bigint>, " + ", ".join(f"{c} bigint" for c in _SKETCH + _MORE))
 
 
 def _meet(threshold: float):
@@ -80,7 +86,12 @@ def _meet(threshold: float):
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         get = lambda c: t.column(c).to_numpy()
         tok, i, j, n, sid, block = map(get, ("t", "i", "j", "n", "sid", "block"))
-        sketch = np.stack([get(c) for c in _SKETCH], axis=1).view(np.uint64)
+        halves = [np.stack([get(c) for c in part], axis=1).view(np.uint64) for part in (_SKETCH[: LANES // 2], _SKETCH[LANES // 2 :])]
+        more = np.stack([get(c) for c in _MORE], axis=1).view(np.uint64)
+        lower = np.concatenate(halves, axis=1) ^ more
+        plain = not (i != j).any()
+        kept: list[tuple] = []
+        n_kept = 0
         new = np.ones(len(tok), dtype=np.int64)
         new[1:] = (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.cumsum(new)
@@ -93,20 +104,34 @@ def _meet(threshold: float):
         while lo < len(tok):
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
             c = count[lo:hi]
-            x = np.repeat(np.arange(lo, hi), c)
-            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(c) - c, c)
-            ok = (i[x] == j[x]) | (block[x] != block[y])
-            x, y = x[ok], y[ok]
-            total = n[x] + n[y]
-            differ = np.zeros(len(x), dtype=np.int64)
-            for half in np.split(np.arange(LANES), 2):
-                differ += np.bitwise_count(sketch[np.ix_(x, half)] ^ sketch[np.ix_(y, half)]).sum(axis=1, dtype=np.int64)
-                ok = differ <= most * total + 1e-9
-                x, y, total, differ = x[ok], y[ok], total[ok], differ[ok]
-            a, b = np.minimum(sid[x], sid[y]), np.maximum(sid[x], sid[y])
-            if len(a):
-                yield pa.record_batch([pa.array(a), pa.array(b), pa.array(np.minimum(n[x], n[y]))], names=["sid_x", "sid_y", "n"])
+            x = np.repeat(np.arange(lo, hi, dtype=np.int32), c)
+            y = np.arange(len(x), dtype=np.int32)
+            y += np.repeat((np.arange(lo + 1, hi + 1) - np.cumsum(c) + c).astype(np.int32), c)
+            if not plain:
+                ok = (i[x] == j[x]) | (block[x] != block[y])
+                x, y = x[ok], y[ok]
+            # Allowed difference in bits, less what the halves looked at so far differ in.
+            room = np.floor(most * (n.take(x) + n.take(y)) + 1e-9).astype(np.int32)
+            for half in halves:
+                room -= np.bitwise_count(half.take(x, axis=0) ^ half.take(y, axis=0)).sum(axis=1, dtype=np.int32)
+                ok = np.flatnonzero(room >= 0)
+                x, y, room = x.take(ok), y.take(ok), room.take(ok)
+            both = np.flatnonzero((n.take(x) > LONG) & (n.take(y) > LONG))
+            if len(both):
+                u, v = x.take(both), y.take(both)
+                differ = sum(np.bitwise_count(w.take(u, axis=0) ^ w.take(v, axis=0)).sum(axis=1, dtype=np.int32) for w in (lower, more))
+                ok = np.ones(len(x), dtype=bool)
+                ok[both] = differ <= most * (n[u] + n[v]) + 1e-9
+                x, y = x[ok], y[ok]
+            if len(x):
+                kept.append((x, y))
+                n_kept += len(x)
             lo = hi
+            if n_kept and (n_kept > 50_000 or lo >= len(tok)):
+                x, y = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+                a, b = sid[x], sid[y]
+                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(n[x], n[y]))], names=["sid_x", "sid_y", "n"])
+                kept, n_kept = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -141,17 +166,17 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         tokens.join(length, "t")
         .groupBy("sid")
         .agg(F.array_sort(F.collect_list(F.struct("len", "t"))).alias("ts"))  # one record's own shingles
-        .join(sets.select("sid", "n", *_SKETCH), "sid")
+        .join(sets.select("sid", "n", *_SKETCH, *_MORE), "sid")
         .where(F.size("ts") >= need)
     )
     hits = F.ceil(F.col("n") * HITS).cast("int")
     short = F.slice("ts", F.lit(1), F.greatest(F.lit(0), F.size("ts") - need + hits))
-    posting = divided.select("sid", F.col("n").cast("int").alias("n"), *_SKETCH, F.explode(short).alias("p"))
+    posting = divided.select("sid", F.col("n").cast("int").alias("n"), *_SKETCH, *_MORE, F.explode(short).alias("p"))
     # Lists over CELL long are cut into blocks, and every two blocks meet in one cell.
-    posting = posting.select("p.t", "sid", "n", F.ceil(F.col("p.len") / CELL).cast("int").alias("m"), *_SKETCH)
+    posting = posting.select("p.t", "sid", "n", F.ceil(F.col("p.len") / CELL).cast("int").alias("m"), *_SKETCH, *_MORE)
     posting = posting.withColumn("block", F.when(F.col("m") > 1, F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(0).cast("int"))
     posting = posting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", *_SKETCH)
+    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", *_SKETCH, *_MORE)
     cells = cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n")
     met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, n int")
     pairs = met.groupBy("sid_x", "sid_y").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= hits)
@@ -174,7 +199,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """``members (key, sid)`` and ``links (a, b, similarity)`` between set ids."""
     rows = cut_lineage(shingled(df, key, text, k, min_words))
-    sets = rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", *_SKETCH)))
+    sets = rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", *_SKETCH, *_MORE)))
     # A written id is eight bytes wide in every posting, and can't collide.
     sets = cut_lineage(sets.withColumn("sid", F.monotonically_increasing_id()))
     members = rows.select("key", "set").join(sets.select("set", "sid"), "set").select("key", "sid")

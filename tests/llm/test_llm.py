@@ -75,7 +75,11 @@ def test_near_records(spark, monkeypatch, k, threshold, cell):
             p = rnd.randrange(len(ws))
             ws[p : p + rnd.randrange(2)] = [rnd.choice(WORDS) + "x"]
         rows.append((f"r{i:03}", " ".join(ws)))
-    rows += [("copy1", rows[0][1]), ("copy2", rows[0][1].upper()), ("short", "one two"), ("e", ""), ("n", None), (None, rows[0][1]), rows[3], ("long", text_of(rnd, 3000))]
+    rows += [("copy1", rows[0][1]), ("copy2", rows[0][1].upper()), ("short", "one two"), ("e", ""), ("n", None), (None, rows[0][1]), rows[3]]
+    for k in range(4):
+        ws = [rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(900)]
+        rows.append((f"long{k}", " ".join(ws)))
+        rows.append((f"long{k}x", " ".join(w if rnd.random() > 0.02 * k else "new" for w in ws)))
     df = spark.createDataFrame(rows, "key string, text string").withColumns({"sid": F.lit(1), "set": F.lit("x"), "n": F.lit(0)})
     members, links = N.near_records(df, "key", "text", k, threshold, 10)
     own = {a: shingles(t, k) for a, t in rows if a and t and len(re.findall(r"[^\W_]+", t)) >= 10}
