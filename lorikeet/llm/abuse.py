@@ -119,7 +119,8 @@ def model_grams(texts: DataFrame) -> dict[str, int]:
         yield flush()
 
     words = texts.where("text is not null").mapInArrow(count, "w string, n bigint").where(F.col("w").rlike(MODEL_WORD)).groupBy("w").agg(F.sum("n").alias("n")).where("n > 1")
-    padded = words.select(F.concat(F.lit("^" * (ORDER - 1)), "w", F.lit("$")).alias("w"), F.ceil(F.sqrt("n")).alias("n"))
+    # Sixty-fourths: rounding up would favour rare words the more, the smaller the corpus.
+    padded = words.select(F.concat(F.lit("^" * (ORDER - 1)), "w", F.lit("$")).alias("w"), F.round(64 * F.sqrt("n")).cast("bigint").alias("n"))
     at = F.explode(F.sequence(F.lit(ORDER), F.length("w"))).alias("k")
     size = F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("j")
     grams = padded.select("w", "n", at).select("w", "n", "k", size).select(F.substring("w", F.col("k") - F.col("j") + 1, F.col("j")).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n"))

@@ -2,11 +2,14 @@
 
 A disguised token is a lattice: every written sign offers the letters it may
 stand for (itself, look-alikes, any letter for a star, nothing for a separator,
-one or two letters for a long run).  A Viterbi beam walks the lattice under a
-character language model whose counts come from the whole corpus's words and the
-lexicon.  The final choice weighs the channel: plain words are hardly ever
-disguised, so a path is accepted only if it spells a lexicon word and scores
-within ``CHANNEL`` of the best path.
+one or two letters for a long run).  The lattice is walked through a trie of the
+lexicon, which gives every lexicon word it spells.  A character language model,
+whose counts come from the whole corpus's words and the lexicon, scores these
+words and, by a Viterbi pass over states of the last ``ORDER - 1`` letters, the
+best of all paths; neither is pruned.  The final choice weighs the channel: plain
+words are hardly ever disguised, so a lexicon word is accepted only if it scores
+within ``CHANNEL`` of the best path.  The corpus's counts are scaled to the total
+``MASS``, so the weight of a lexicon word is the same share at every size.
 """
 
 from __future__ import annotations
@@ -16,11 +19,14 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import regex
 
 from lorikeet.llm.abuse_words import LEET
 
-ORDER, BEAM, CHANNEL, MOST_SIGNS = 4, 400, 9.0, 40
+ORDER, CHANNEL, MOST_SIGNS = 4, 9.0, 40
+#: Total count of the corpus's words in the language model, and count of each lexicon word.
+MASS, LEXICON_COUNT = 36_000.0, 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 _CF = regex.compile(r"\p{Cf}+")
@@ -53,12 +59,26 @@ def gram_counts(words: dict[str, int]) -> Counter:
 class Restorer:
     def __init__(self, grams: dict[str, int], lexicon: set[str]) -> None:
         self.lexicon = lexicon
-        own = gram_counts({w: 20 for w in lexicon if w.isalpha()})
-        self.grams = Counter(grams)
-        self.grams.update(own)
+        self.trie: dict = {}
+        for w in lexicon:
+            node = self.trie
+            for ch in w:
+                node = node.setdefault(ch, {})
+            node["$"] = w
+        scale = MASS / max(1, grams.get("$", 0))
+        self.grams = Counter({g: n * scale for g, n in grams.items()})
+        self.grams.update(gram_counts({w: LEXICON_COUNT for w in lexicon if w.isalpha()}))
         self.total = Counter()
         for g, n in self.grams.items():
             self.total[g[:-1]] += n
+        # The same counts by order, as codes of letters, for the tensors of ``_model``.
+        self.code = {ch: k for k, ch in enumerate(sorted({ch for g in self.grams for ch in g}))}
+        self.by_order = []
+        for size in range(1, ORDER + 1):
+            gs = [g for g in self.grams if len(g) == size]
+            codes = np.array([[self.code[ch] for ch in g] for g in gs], dtype=np.int64).reshape(-1, size)
+            self.by_order.append((codes, np.array([self.grams[g] for g in gs]), np.array([self.total[g[:-1]] for g in gs])))
+        self.models: dict[str, np.ndarray] = {}
         self.cache: dict[str, str | None] = {}
 
     def _logp(self, context: str, ch: str) -> float:
@@ -106,26 +126,91 @@ class Restorer:
         self.cache[token] = word = self._decode(token)
         return word
 
-    def _decode(self, token: str) -> str | None:
-        steps = self.lattice(token)
-        if not steps:
-            return None
-        beam = {"": 0.0}
+    def _spelled(self, steps: list[tuple[str, ...]]) -> set[str]:
+        """Every lexicon word among the paths of a lattice."""
+        nodes = {id(self.trie): self.trie}
         for alts in steps:
-            nxt: dict[str, float] = {}
-            for s, score in beam.items():
+            nxt = {}
+            for node in nodes.values():
                 for a in alts:
-                    t, p = s, score
+                    to = node
+                    for ch in a:
+                        to = to.get(ch) if to is not None else None
+                    if to is not None:
+                        nxt[id(to)] = to
+            if not nxt:
+                return set()
+            nodes = nxt
+        return {node["$"] for node in nodes.values() if "$" in node}
+
+    def _model(self, letters: str) -> np.ndarray:
+        """``_logp`` of every letter, and of the end, behind every context of ``letters``."""
+        if letters in self.models:
+            return self.models[letters]
+        signs = "^" + letters + "$"
+        n = len(signs)
+        local = np.full(len(self.code) + 1, -1)
+        for k, ch in enumerate(signs):
+            local[self.code.get(ch, len(self.code))] = k
+        local[-1] = -1
+        p = np.full((1,) * (ORDER - 1) + (n,), 1.0 / 40)
+        for size, (codes, count, totals) in enumerate(self.by_order, 1):
+            at = local[codes]
+            ok = (at >= 0).all(axis=1)
+            own = np.zeros((n,) * size)
+            own[tuple(at[ok].T)] = count[ok]
+            total = np.zeros((n,) * (size - 1))
+            if size == 1:
+                total[()] = self.total.get("", 0)
+            else:
+                at = local[codes[:, :-1]]
+                ok = (at >= 0).all(axis=1)
+                total[tuple(at[ok].T)] = totals[ok]
+            p = (own.reshape((1,) * (ORDER - size) + own.shape) + 2.0 * p) / (total[..., None].reshape((1,) * (ORDER - size) + total.shape + (1,)) + 2.0)
+        p = np.log(np.broadcast_to(p, (n,) * ORDER))
+        if len(self.models) > 8:
+            self.models.clear()
+        self.models[letters] = p
+        return p
+
+    def _best(self, steps: list[tuple[str, ...]]) -> float:
+        """The highest score of any path of a lattice: exact, one state per last three letters."""
+        letters = "".join(sorted({ch for alts in steps for a in alts for ch in a}))
+        model = self._model(letters)
+        at = {ch: k for k, ch in enumerate(letters, 1)}
+        n = len(letters) + 2
+        state = np.full((n,) * (ORDER - 1), -np.inf)
+        state[(0,) * (ORDER - 1)] = 0.0
+
+        def write(s: np.ndarray, ks: list[int]) -> np.ndarray:
+            out = np.full_like(s, -np.inf)
+            out[..., ks] = (s[..., None] + model[..., ks]).max(axis=0)
+            return out
+
+        for alts in steps:
+            nxt = state if "" in alts else np.full_like(state, -np.inf)
+            if ones := [at[a] for a in alts if len(a) == 1]:
+                nxt = np.maximum(nxt, write(state, ones))
+            for a in alts:
+                if len(a) > 1:
+                    s = state
                     for ch in a:
-                        p += self._logp(("^" * ORDER + t)[-(ORDER - 1) :], ch)
-                        t += ch
-                    if p > nxt.get(t, -math.inf):
-                        nxt[t] = p
-            beam = dict(sorted(nxt.items(), key=lambda x: -x[1])[:BEAM]) if len(nxt) > BEAM else nxt
-        done = {s: p + self._logp(("^" * ORDER + s)[-(ORDER - 1) :], "$") for s, p in beam.items()}
-        best = max(done.values())
-        hits = [(p, s) for s, p in done.items() if s in self.lexicon and p >= best - CHANNEL]
-        return max(hits)[1] if hits else None
+                        s = write(s, [at[ch]])
+                    nxt = np.maximum(nxt, s)
+            state = nxt
+        return float((state + model[..., n - 1]).max())
+
+    def score(self, word: str) -> float:
+        s = "^" * (ORDER - 1) + word + "$"
+        return sum(self._logp(s[k - ORDER + 1 : k], s[k]) for k in range(ORDER - 1, len(s)))
+
+    def _decode(self, token: str) -> str | None:
+        steps = self.lattice(token)
+        words = self._spelled(steps) if steps else None
+        if not words:
+            return None
+        p, word = max((self.score(w), w) for w in words)
+        return word if p >= self._best(steps) - CHANNEL else None
 
     def restore(self, text: str) -> str:
         """A folded text with its disguised lexicon words written out."""

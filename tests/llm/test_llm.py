@@ -404,6 +404,27 @@ def test_abuse(spark):
     assert score_texts(df.limit(0), "key", "text").count() == 0
 
 
+def test_restoring_is_exact_at_every_size(sf):
+    import itertools
+    import math
+
+    import pyarrow.parquet as pq
+
+    from lorikeet.llm.abuse import LEXICON, MODEL_WORD
+    from lorikeet.llm.deobfuscate import Restorer, gram_counts
+
+    counts = Counter(w for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist() for w in (t or "").lower().split() if re.match(MODEL_WORD, w))
+    starred = {w: w[0] + "*" * (len(w) - 2) + w[-1] for w in LEXICON if re.fullmatch("[a-z]{3,10}", w)}
+    for times in (1, 100, 10_000):
+        r = Restorer(gram_counts({w: math.ceil(math.sqrt(n * times)) for w, n in counts.items()}), set(LEXICON))
+        assert [s for s in starred.values() if r.decode(s) is None] == []
+    assert r.decode("i******e") == "imbecile"
+    for token in ("f**k", "b@5t@rd", "idioooot", "mo.ron", "1d10t", "हरा.मी", "caf3é*"):
+        steps = r.lattice(token)
+        paths = {"".join(x) for x in itertools.product(*steps)}
+        assert r._spelled(steps) == paths & r.lexicon and math.isclose(r._best(steps), max(map(r.score, paths)))
+
+
 @pytest.mark.parametrize("text,want", [("¿Cubre la póliza la resonancia si la prima esté pagada?", "es"), ("Wird die Dialyse bezahlt?", "de"), ("le délai est dépassé pour l'assuré", "fr"), ("How long is it?", "en"), ("क्या यह शामिल है?", "hi"), ("401 - 22", None), ("", None), ("Zelda", None)])
 def test_language(text, want):
     from lorikeet.llm.languages import language
