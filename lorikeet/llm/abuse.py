@@ -3,7 +3,8 @@
 1. The corpus's words are counted in one combined pass; their character n-grams
    (bounded by the alphabet) are the language model of the restorer.
 2. Every text is folded, disguised words are restored (``deobfuscate``), and an
-   automaton over all risk words finds the sentences worth a look in one scan.
+   automaton over all risk words, and over a piece that each threat or group
+   phrase requires, finds the sentences worth a look in one scan.
 3. Such a sentence is scored by the classes of its words: insults aimed at a
    person, threats, demeaned groups, sexual words.  A text scores as its worst
    sentence; from ``THRESHOLD`` on it is listed.
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from re import _parser as sre
 
 import ahocorasick
 import pyarrow as pa
@@ -38,7 +40,37 @@ _STRONG, _INSULT, _TARGET, _GROUP, _DEMEAN = (frozenset(x) for x in (W.STRONG, W
 _SEXUAL, _SUGGESTIVE, _AROUSE, _HARMLESS = (frozenset(x) for x in (W.SEXUAL, W.SUGGESTIVE, W.AROUSE, W.HARMLESS))
 _ADDRESSED = frozenset(W.ADDRESSED)
 LEXICON = _STRONG | _INSULT | _ADDRESSED | _SEXUAL | {w for w in _SUGGESTIVE | _DEMEAN | _GROUP if len(w) > 3}
-_TRIGGERS = _STRONG | _INSULT | _ADDRESSED | _SEXUAL | _DEMEAN | frozenset("naked sex ass asses strip ride lick moaned desnuda nackten nackt seins yourself die choke hell cancer burn rot break kill teeth bat screw miss deserve mueras matar infierno verrecke fresse gueule crève mourir चुप मर ruin trust hire breed disease stinks thrown mouth where cleaner hang slit watch".split())
+#: Every word that a score can come from, as a whole word.  GROUP and AROUSE only count beside another one.
+_TRIGGERS = _STRONG | _INSULT | _ADDRESSED | _SEXUAL | _SUGGESTIVE | _DEMEAN
+
+
+def required(pattern: str) -> frozenset[str]:
+    """Literals of which every match of a pattern contains one: the longest choice that its parts offer."""
+
+    def of(items: Iterable) -> frozenset[str]:
+        choices, run = [], ""
+        for op, arg in items:
+            if op is sre.LITERAL:
+                run += chr(arg)
+                continue
+            if op is sre.AT:  # a boundary has no width
+                continue
+            choices.append(frozenset([run.strip()]))
+            run = ""
+            if op is sre.SUBPATTERN:
+                choices.append(of(arg[-1]))
+            elif op is sre.BRANCH:
+                choices.append(frozenset().union(*map(of, arg[1])))
+            elif op is sre.MAX_REPEAT and arg[0] > 0:
+                choices.append(of(arg[2]))
+        choices.append(frozenset([run.strip()]))
+        return max(choices, key=lambda ws: min(map(len, ws)))
+
+    return of(sre.parse(pattern))
+
+
+#: Pieces of text that a threat or a group phrase can't do without, anywhere in a word.
+_PIECES = frozenset().union(*map(required, W.THREATS + W.GROUP_PHRASES))
 
 
 def score_sentence(s: str) -> float:
@@ -73,8 +105,8 @@ class Scorer:
     def __init__(self, grams: dict[str, int]) -> None:
         self.restorer = Restorer(grams, set(LEXICON))
         self.machine = ahocorasick.Automaton()
-        for w in _TRIGGERS:
-            self.machine.add_word(w, len(w))
+        for w in _TRIGGERS | _PIECES:
+            self.machine.add_word(w, 0 if w in _PIECES else len(w))
         self.machine.make_automaton()
 
     def passages(self, text: str) -> list[tuple[float, str]]:
@@ -83,7 +115,7 @@ class Scorer:
         hits = []
         n = len(t)
         for end, size in self.machine.iter(t):
-            if (end + 1 == n or not t[end + 1].isalpha()) and (end < size or not t[end - size].isalpha()):
+            if not size or (end + 1 == n or not t[end + 1].isalpha()) and (end < size or not t[end - size].isalpha()):
                 hits.append(end)
         if not hits:
             return []

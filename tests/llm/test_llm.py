@@ -425,6 +425,35 @@ def test_restoring_is_exact_at_every_size(sf):
         assert r._spelled(steps) == paths & r.lexicon and math.isclose(r._best(steps), max(map(r.score, paths)))
 
 
+def test_every_scored_word_and_pattern_passes_the_gate():
+    from lorikeet.llm import abuse as A
+    from lorikeet.llm import abuse_words as W
+
+    scorer = A.Scorer({})
+    looked = []
+    score, A.score_sentence = A.score_sentence, lambda s: looked.append(s) or score(s)
+    try:
+        for w in {*W.STRONG, *W.INSULT, *W.ADDRESSED, *W.SEXUAL, *W.SUGGESTIVE, *W.DEMEAN}:
+            looked.clear()
+            scorer.passages(f"so {w}, then")
+            assert looked, w
+        patterns = {
+            "i will hurt you": A._THREATS, "i'll beat you": A._THREATS, "wait outside, i come with a knife": A._THREATS, "ich bring dich um": A._THREATS, "sale con": A._THREATS, "find you and break": A._THREATS, "hope she will choke": A._THREATS,
+            "keep women out of here, they are bad": A._PHRASES, "foreigners stink like hell": A._PHRASES, "women don't deserve": A._PHRASES, "jews are a disease": A._PHRASES, "foreigners breed like": A._PHRASES,
+        }
+        for s, pattern in patterns.items():
+            looked.clear()
+            scorer.passages(s)
+            assert pattern.search(s) and looked, s
+    finally:
+        A.score_sentence = score
+    assert max(scorer.passages("Sexy nude pics, click tonight."))[0] >= A.THRESHOLD
+    for p in W.THREATS + W.GROUP_PHRASES:
+        pieces = A.required(p)
+        assert pieces and min(map(len, pieces)) > 2, p
+    assert A.required(r"\b(?:ab|cde?f)\b.{0,9}x+gh?i*j") == {"ab", "cd"}
+
+
 @pytest.mark.parametrize("text,want", [("¿Cubre la póliza la resonancia si la prima esté pagada?", "es"), ("Wird die Dialyse bezahlt?", "de"), ("le délai est dépassé pour l'assuré", "fr"), ("How long is it?", "en"), ("क्या यह शामिल है?", "hi"), ("401 - 22", None), ("", None), ("Zelda", None)])
 def test_language(text, want):
     from lorikeet.llm.languages import language
