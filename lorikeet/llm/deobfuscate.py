@@ -10,6 +10,11 @@ best of all paths; neither is pruned.  The final choice weighs the channel: plai
 words are hardly ever disguised, so a lexicon word is accepted only if it scores
 within ``CHANNEL`` of the best path.  The corpus's counts are scaled to the total
 ``MASS``, so the weight of a lexicon word is the same share at every size.
+
+Every token with letters and a look-alike or star, at its edges too, or a separator
+inside is decoded.  Not read as disguises: stars around an emphasised stretch, a
+possessive, a single letter beside digits only (a code or unit), and one or two
+letters beside stars that are the likelier word by themselves.
 """
 
 from __future__ import annotations
@@ -30,12 +35,20 @@ MASS, LEXICON_COUNT = 36_000.0, 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 _CF = regex.compile(r"\p{Cf}+")
+_OUT = r"\s,;:?\"“”()\[\]"
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: {1,2}[^\W\d_])+(?![^\W_])(?: {2,4}[^\W\d_](?: [^\W\d_])+(?![^\W_]))*")
 _SIGNED = re.compile(r"[^\s\w.,;:?\"“”()\[\]]?[a-z@$*!#0-9€+|]*[*@$#€|!][a-z@$*!#0-9€+|]+")
+#: Words between two equal marks of emphasis; these stars hide nothing.
+_EMPHASIS = re.compile(r"(?<![^\s(\[\"“])(\*{1,3})(?=[^\s*])([^\n]{0,2000}?[^\s*])\1(?![^\s.,;:!?)\]\"”])")
+_EDGE = ".!'-"
+_MARKS = "".join(re.escape(c) for c in LEET) + "*"
+#: Tokens with a look-alike or star anywhere or a separator inside, and tokens with a long run.
+_MARKED = re.compile(rf"(?<![^{_OUT}])[^{_OUT}{_MARKS}._\-·']*+(?:[{_MARKS}]|[._\-·']+(?=[^{_OUT}._\-·']))[^{_OUT}]*+")
 _RUN = re.compile(r"([a-z])\1\1")
-_DOT = re.compile(r"[._\-·](?<=[a-z].)(?=[a-z])")
-_LEET = re.compile(r"[0134578](?=[a-z])(?<=[a-z].)")
-_TOKEN = re.compile(r"[^\s,;:?\"“”()\[\]]+")
+_RUNS = re.compile(rf"(?<![^{_OUT}])[^{_OUT}]*?([a-z])\1\1[^{_OUT}]*+")
+_LETTER = re.compile(r"[^\W\d_]")
+#: One letter before or behind nothing but digits is a code or a unit (P19, 5g), not a word.
+_CODE = re.compile(r"[\W_]*(?:[^\W\d_][\W\d_]*|[\W\d_]*[^\W\d_])[\W_]*")
 
 
 def fold(text: str) -> str:
@@ -210,12 +223,14 @@ class Restorer:
         if not words:
             return None
         p, word = max((self.score(w), w) for w in words)
+        # Two letters beside stars may as well be a short plain word with a footnote.
+        plain = token.strip("*")
+        if plain != token and len(plain) < 3 and plain.isalpha() and self.score(plain) > p:
+            return None
         return word if p >= self._best(steps) - CHANNEL else None
 
     def restore(self, text: str) -> str:
         """A folded text with its disguised lexicon words written out."""
-        spans: list[tuple[int, int, str]] = []
-
         def spaced(m: re.Match) -> str:
             words = [w.replace(" ", "") for w in re.split(r" {2,}", m.group())]
             found = [self.decode(w) or (w if w in self.lexicon else None) for w in words]
@@ -223,26 +238,32 @@ class Restorer:
 
         if "  " in text or " " in text:
             text = _SPACED.sub(spaced, text)
+        if text.count("*") > 1:
+            text = _EMPHASIS.sub(self._plain, text)
         if any(c in text for c in "*@$#€|!"):
             text = _SIGNED.sub(lambda m: self.decode(m.group()) or m.group(), text)
-        marks = [m.start() for r in (_RUN, _DOT, _LEET) for m in r.finditer(text)]
-        if not marks:
-            return text
-        last = -1
-        for at in sorted(marks):
-            if at < last:
-                continue
-            lo = max(text.rfind(" ", 0, at), text.rfind("\n", 0, at)) + 1
-            m = _TOKEN.match(text, lo)
-            while m and m.end() <= at:
-                m = _TOKEN.search(text, m.end())
-            if m and m.start() <= at:
-                last = m.end()
-                core = m.group().strip(".!'-")
-                if core.isalpha() or len(core) <= MOST_SIGNS + 10:
-                    w = self.decode(core)
-                    if w and w != core:
-                        spans.append((m.start(), m.end(), w + m.group()[len(m.group().rstrip(".!'-")) :]))
-        for a, b, w in reversed(spans):
-            text = text[:a] + w + text[b:]
-        return text
+        text = _MARKED.sub(self._written, text)
+        return _RUNS.sub(self._written, text) if _RUN.search(text) else text
+
+    def _plain(self, m: re.Match) -> str:
+        """An emphasised stretch without its marks, unless both ends are disguised words."""
+        words = m.group().split()
+        disguised = len(words) > 1 and self.decode(words[0]) and self.decode(words[-1])
+        return m.group() if disguised else m.group(2)
+
+    def _written(self, m: re.Match) -> str:
+        """A marked token with its word written out; signs at its edges may belong to it or not."""
+        token = m.group()
+        core = token.strip(_EDGE)
+        if not _LETTER.search(core) or len(core) > MOST_SIGNS + 10 and not core.isalpha():
+            return token
+        if any(c.isdigit() for c in core) and _CODE.fullmatch(core) or core.endswith("'s") and core[:-2].isalpha():
+            return token  # a code, or a possessive
+        at = token.index(core)
+        before, behind = token[:at], token[at + len(core) :]
+        if core in self.lexicon:
+            return token
+        for left, word, right in ((before, core, behind), ("", before + core, behind), (before, core + behind, ""), ("", token, "")):
+            if found := self.decode(word):
+                return left + found + right
+        return token

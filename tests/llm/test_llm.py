@@ -454,6 +454,22 @@ def test_every_scored_word_and_pattern_passes_the_gate():
     assert A.required(r"\b(?:ab|cde?f)\b.{0,9}x+gh?i*j") == {"ab", "cd"}
 
 
+def test_marks_at_edges_and_doubled_are_decoded():
+    from lorikeet.llm.abuse import LEXICON
+    from lorikeet.llm.deobfuscate import Restorer, gram_counts
+
+    r = Restorer(gram_counts(dict.fromkeys([*WORDS, "it", "do", "bold"], 50)), set(LEXICON))
+    for token, word in {
+        "a55hole": "asshole", "pu55y": "pussy", "b00bs": "boobs", "5lut": "slut", "1diot": "idiot", "fa66ot": "faggot", "bitche$": "bitches", "idiot$": "idiots", "fuc*": "fuck", "*diot": "idiot", "!diot": "idiot",
+        "mo.ron.": "moron.", "sh-it": "shit", "sh'it": "shit", "(5lut)": "(slut)", "sh1t!": "shit!", "5h17": "shit", "*diot or fuc*": "idiot or fuck",
+    }.items():
+        assert r.restore(f"you {token} there") == f"you {word} there"
+    for plain in ("p19", "p-19", "19p", "dog's", "idiot!", "do*", "don't", "pre-existing", "2022-03-19", "a.b@home.test"):
+        assert r.restore(f"you {plain} there") == f"you {plain} there"
+    assert r.restore("**it is bold** and *bold*") == "it is bold and bold"
+    assert r.restore("x" * 50_000 + "1 *a " + "a1," * 20_000)
+
+
 @pytest.mark.parametrize("text,want", [("¿Cubre la póliza la resonancia si la prima esté pagada?", "es"), ("Wird die Dialyse bezahlt?", "de"), ("le délai est dépassé pour l'assuré", "fr"), ("How long is it?", "en"), ("क्या यह शामिल है?", "hi"), ("401 - 22", None), ("", None), ("Zelda", None)])
 def test_language(text, want):
     from lorikeet.llm.languages import language
