@@ -2,7 +2,8 @@
 
 A disguised token is a lattice: every written sign offers the letters it may
 stand for (itself, look-alikes, any letter for a star, nothing for a separator,
-one or two letters for a long run).  The lattice is walked through a trie of the
+one or two letters for a long run; eight or more stars any number of letters up to
+their own).  The lattice is walked through a trie of the
 lexicon, which gives every lexicon word it spells.  A character language model,
 whose counts come from the whole corpus's words and the lexicon, scores these
 words and, by a Viterbi pass over states of the last ``ORDER - 1`` letters, the
@@ -72,6 +73,7 @@ def gram_counts(words: dict[str, int]) -> Counter:
 class Restorer:
     def __init__(self, grams: dict[str, int], lexicon: set[str]) -> None:
         self.lexicon = lexicon
+        self.longest = max(map(len, lexicon), default=0)
         self.trie: dict = {}
         for w in lexicon:
             node = self.trie
@@ -115,7 +117,8 @@ class Restorer:
                 j += 1
             run = j - i
             if ch == "*":
-                out.extend([tuple(LETTERS)] * run if run < 8 else [tuple(LETTERS) + ("",)] * 8)
+                # No lexicon word has more letters than the longest.
+                out.extend([tuple(LETTERS)] * run if run < 8 else [(*LETTERS, "")] * min(run, self.longest))
             elif ch in " ._-·'":
                 out.append(("",))
             elif ch in LEET:

@@ -470,6 +470,22 @@ def test_marks_at_edges_and_doubled_are_decoded():
     assert r.restore("x" * 50_000 + "1 *a " + "a1," * 20_000)
 
 
+def test_long_runs_of_stars_offer_every_letter(sf):
+    import pyarrow.parquet as pq
+
+    from lorikeet.llm.abuse import LEXICON, MODEL_WORD
+    from lorikeet.llm.deobfuscate import Restorer, gram_counts
+
+    counts = Counter(w for t in pq.read_table(f"{sf}/documents.parquet").column("text").to_pylist() for w in (t or "").lower().split() if re.match(MODEL_WORD, w))
+    r = Restorer(gram_counts({w: round(64 * n**0.5) for w, n in counts.items()}), set(LEXICON))
+    assert r.decode("m**********r") == "motherfucker"
+    for w in LEXICON:
+        if re.fullmatch("[a-z]{10,}", w):
+            assert r.decode(w[0] + "*" * (len(w) - 2) + w[-1]) is not None, w
+    # more stars than hidden letters, and than any word has
+    assert r.decode("motherf***************") == r.decode("motherf" + "*" * 60) == "motherfucker"
+
+
 @pytest.mark.parametrize("text,want", [("¿Cubre la póliza la resonancia si la prima esté pagada?", "es"), ("Wird die Dialyse bezahlt?", "de"), ("le délai est dépassé pour l'assuré", "fr"), ("How long is it?", "en"), ("क्या यह शामिल है?", "hi"), ("401 - 22", None), ("", None), ("Zelda", None)])
 def test_language(text, want):
     from lorikeet.llm.languages import language
