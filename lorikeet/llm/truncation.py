@@ -13,7 +13,9 @@ characters) are taken off first.  What is left is cut if
 * it ends with an abbreviation that never ends a sentence elsewhere, or
 * it has no sentence end and is neither a list line known to be complete nor a
   short phrase whose last words are known to end sentences and whose length is
-  none at which values pile up (a field limit).
+  none at which values pile up (a field limit, of any size).  Values of one
+  length and the same last two words count once there: a limit cuts anywhere,
+  while a repeated phrase or one form with other numbers has one ending.
 
 All evidence is looked up by joins on the key, so vocabulary and evidence may
 grow with the corpus.  Null and empty texts, placeholders, finished lists, short
@@ -38,7 +40,7 @@ from lorikeet.session import cut_lineage
 
 #: A phrase without sentence end may be complete up to this many words.
 PHRASE_WORDS = 8
-#: A length is a field limit if this many unended values, and this share of all around it, have it.
+#: A length is a field limit if this many unended values of different endings, and this share of all around it, have it.
 LIMIT_VALUES, LIMIT_SHARE, AROUND = 4, 0.5, 4
 
 _SENTENCE = re.compile(r"(?<=[.!?।])[\"”’»)\]*]*\s+")
@@ -147,9 +149,9 @@ def find_truncated(values: DataFrame) -> DataFrame:
     for kind_, column, out in (("w", "token", "n_word"), ("t", "token", "n_longer"), ("p", "pair", "n_pair"), ("i", "item", "n_item")):
         close = lookup(close, kind_, column, out)
     open_ = close.where("not ended and not prompted and n_words > 0")
-    sizes = open_.groupBy("size").agg(F.count("*").alias("n"))
+    sizes = open_.select("size", "pair").distinct().groupBy("size").agg(F.count("*").alias("n"))
     around = sizes.select(F.explode(F.sequence(F.col("size") - AROUND, F.col("size") + AROUND)).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("near"))
-    limits = sizes.join(around, "size").where((F.col("n") >= LIMIT_VALUES) & (F.col("n") >= LIMIT_SHARE * F.col("near")) & (F.col("size") >= 100)).select("size", F.lit(True).alias("at_limit"))
+    limits = sizes.join(around, "size").where((F.col("n") >= LIMIT_VALUES) & (F.col("n") >= LIMIT_SHARE * F.col("near"))).select("size", F.lit(True).alias("at_limit"))
     close = close.join(limits, "size", "left")
 
     inside_word = (F.col("n_word") == 0) & (F.col("n_longer") > 0)

@@ -291,6 +291,22 @@ def test_cut_texts(spark):
     assert {rows[i][0] for i, d in found.items() if d == "truncated_answer"} == {*got, "copy"}  # no question here
 
 
+def test_short_field_limits_are_evidence(spark):
+    from lorikeet.llm.truncation import find_truncated
+
+    ends = ["regional office", "consent note", "claims desk", "hearing aids", "waiting period", "home nursing"]
+    rows = [(f"full{k}", f"The member turns to the {e}. The desk pays {k} rupees per eye. It is closed.") for k, e in enumerate(ends)]
+    # cut at 40 characters, behind words that end sentences elsewhere
+    limit = [(f"cut{k}", ("The desk refunds abcdefghijklmnopqrst"[: 39 - len(e)].rstrip().ljust(39 - len(e), "x") + " " + e)) for k, e in enumerate(ends)]
+    assert {len(t) for _, t in limit} == {40}
+    # one form with other numbers, and a phrase said often, pile up too
+    forms = [(f"form{k}", f"{k} rupees per eye") for k in range(10, 60)] + [(f"same{k}", "To the claims desk") for k in range(50)]
+    alone = [("alone", "Turn to the home nursing")]
+    words = [("words", " ".join(t for _, t in limit) + " To Turn rupees end.")]
+    df = spark.createDataFrame([(k, t, None) for k, t in rows + limit + forms + alone + words], "key string, text string, prompt string")
+    assert sorted(r.key for r in find_truncated(df).collect()) == sorted(k for k, _ in limit)
+
+
 # ---- 8: encoding
 
 
