@@ -32,26 +32,59 @@ def local_session(cpus: int | None = None, app: str = "lorikeet", **conf: str) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) is a temporary one made.
+    A local master may do without; there, and only there, a temporary one is made.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    held = sc._jsc.sc().getCheckpointDir()
+    if held.isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lorikeet-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+        held = sc._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+_WRITTEN: dict[str, None] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
-    Lost executors then cost no more than the tasks they ran, and the planner
-    knows the size of what it reads.  The tables go when the session ends.
+    Lost executors then cost no more than the tasks they ran.  ``release`` deletes
+    one such table, ``end_query`` all; what is left goes when the session ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lorikeet-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _WRITTEN.pop(path, None)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table of ``cut_lineage`` that no later step reads, such as a round's input."""
+    if path := table.__dict__.get("written_at"):
+        _delete(table.sparkSession, path)
+
+
+def end_query(spark: SparkSession) -> int:
+    """Delete all intermediate tables once a query's result is written; gives their number.
+
+    DataFrames that read them can't be run again.
+    """
+    paths = list(_WRITTEN)
+    for p in paths:
+        _delete(spark, p)
+    return len(paths)
