@@ -17,8 +17,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from re import _parser as sre
+from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from lorikeet.llm import abuse_words as W
 from lorikeet.llm.deobfuscate import ORDER, Restorer, fold
+from lorikeet.llm.literals import required
 
 THRESHOLD = 1.0
 #: Words of more letters or other alphabets don't enter the language model.
@@ -44,31 +44,6 @@ LEXICON = _STRONG | _INSULT | _ADDRESSED | _SEXUAL | {w for w in _SUGGESTIVE | _
 _TRIGGERS = _STRONG | _INSULT | _ADDRESSED | _SEXUAL | _SUGGESTIVE | _DEMEAN
 
 
-def required(pattern: str) -> frozenset[str]:
-    """Literals of which every match of a pattern contains one: the longest choice that its parts offer."""
-
-    def of(items: Iterable) -> frozenset[str]:
-        choices, run = [], ""
-        for op, arg in items:
-            if op is sre.LITERAL:
-                run += chr(arg)
-                continue
-            if op is sre.AT:  # a boundary has no width
-                continue
-            choices.append(frozenset([run.strip()]))
-            run = ""
-            if op is sre.SUBPATTERN:
-                choices.append(of(arg[-1]))
-            elif op is sre.BRANCH:
-                choices.append(frozenset().union(*map(of, arg[1])))
-            elif op is sre.MAX_REPEAT and arg[0] > 0:
-                choices.append(of(arg[2]))
-        choices.append(frozenset([run.strip()]))
-        return max(choices, key=lambda ws: min(map(len, ws)))
-
-    return of(sre.parse(pattern))
-
-
 #: Pieces of text that a threat or a group phrase can't do without, anywhere in a word.
 _PIECES = frozenset().union(*map(required, W.THREATS + W.GROUP_PHRASES))
 

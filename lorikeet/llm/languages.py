@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 # Frequent function words by language.
 FUNCTION_WORDS = {
@@ -30,7 +29,7 @@ for _lang, _ws in FUNCTION_WORDS.items():
     for _w in _ws.split():
         _OF.setdefault(_w, []).append(_lang)
 _NAME = {n: lang for lang, names in LANGUAGE_NAMES.items() for n in names.split()}
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W_]+")
 _LETTERS = re.compile(r"[^\W\d_]")
 _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 _ASKS = re.compile(
@@ -38,14 +37,17 @@ _ASKS = re.compile(
 )
 
 
-def language(text: str) -> str | None:
-    """``en es de fr hi``, or None where nothing tells or two are equally likely."""
-    if not text.isascii() and (n := len(_DEVANAGARI.findall(text))) and 3 * n > len(_LETTERS.findall(text)):
+def language_of(text: str, words: list[str]) -> str | None:
+    """``language`` of a text whose folded words are known."""
+    plain = text.isascii()
+    if not plain and (n := len(_DEVANAGARI.findall(text))) and 3 * n > len(_LETTERS.findall(text)):
         return "hi"
     count = dict.fromkeys(FUNCTION_WORDS, 0)
-    for lang in chain.from_iterable(map(_OF.get, filter(_OF.__contains__, _WORD.findall(text.lower())))):
-        count[lang] += 1
-    if not text.isascii():
+    for w in words:
+        if w in _OF:
+            for lang in _OF[w]:
+                count[lang] += 1
+    if not plain:
         low = set(text.lower())
         for lang, signs in SIGNS.items():
             count[lang] += len(low.intersection(signs))
@@ -53,6 +55,11 @@ def language(text: str) -> str | None:
     return max(count, key=count.get) if first > second else None
 
 
+def language(text: str) -> str | None:
+    """``en es de fr hi``, or None where nothing tells or two are equally likely."""
+    return language_of(text, _WORD.findall(text.casefold()))
+
+
 def asked_language(question: str) -> set[str]:
     """Languages that a question asks to be answered in."""
     return {_NAME[(m["a"] or m["b"]).lower()] for m in _ASKS.finditer(question)}

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorikeet.llm.copies import is_copy, is_empty
-from lorikeet.llm.languages import asked_language, language
+from lorikeet.llm.copies import copies, says_nothing, words
+from lorikeet.llm.languages import asked_language, language_of
+from lorikeet.llm.literals import Gate
 from lorikeet.llm.truncation import find_truncated
 
 DEFECTS = ("empty_answer", "copies_question", "refusal", "truncated_answer", "other_language")
@@ -55,33 +56,38 @@ COURTESIES = [
     r"lo siento|disculpe|gracias.{0,30}|consulte\b.{0,60}|leider|entschuldigung.{0,40}|danke.{0,30}|bitte wenden\b.{0,60}|désolé.{0,30}|merci.{0,30}|क्षमा करें|धन्यवाद.{0,30}|कृपया\b.{0,60}",
 ]
 
-_REFUSAL = re.compile("|".join(p for ps in REFUSALS.values() for p in ps), re.IGNORECASE | re.DOTALL)
+_PATTERNS = [p for ps in REFUSALS.values() for p in ps]
+_REFUSAL = re.compile("|".join(_PATTERNS), re.IGNORECASE | re.DOTALL)
+_MAY_REFUSE = Gate(_PATTERNS)
 _COURTESY = re.compile(r"\W*(?:" + "|".join(COURTESIES) + r")\W*", re.IGNORECASE | re.DOTALL)
 _SENTENCES = re.compile(r"(?<=[.!?।])\s+|\n+")
 
 
 def is_refusal(answer: str) -> bool:
     """Whether every sentence declines, fails, finds nothing or is polite, and one does not only the last."""
+    if not _MAY_REFUSE(answer.lower()):
+        return False
     refused = False
     for s in _SENTENCES.split(answer.strip()):
         if not s.strip():
             continue
-        if len(s) <= 300 and _REFUSAL.search(s):
+        if _MAY_REFUSE(s.lower()) and _REFUSAL.search(s):
             refused = True
-        elif not (len(s) <= 160 and _COURTESY.fullmatch(s)) and any(c.isalnum() for c in s):
+        elif not _COURTESY.fullmatch(s) and any(c.isalnum() for c in s):
             return False
     return refused
 
 
 def own_defect(question: str | None, answer: str | None) -> str | None:
     """The defect that the pair alone shows, truncation left out."""
-    if is_empty(answer):
+    if answer is None or says_nothing(a := words(answer)):
         return "empty_answer"
-    if question is not None and is_copy(question, answer):
+    q = [] if question is None else words(question)
+    if copies(q, a):
         return "copies_question"
     if is_refusal(answer):
         return "refusal"
-    if question is not None and (a := language(answer)) and (q := language(question)) and a != q and a not in asked_language(question):
+    if q and (la := language_of(answer, a)) and (lq := language_of(question, q)) and la != lq and la not in asked_language(question):
         return "other_language"
     return None
 

@@ -9,16 +9,20 @@ Only values without a clean sentence end are looked at closer.  Signs added
 behind the text (dots of omission, dashes, brackets, emphasis, emoji, broken
 characters) are taken off first.  What is left is cut if
 
-* its last token is no known word but a proper prefix of known words, or
-* it ends with an abbreviation that never ends a sentence elsewhere, or
-* it has no sentence end and is neither a list line known to be complete nor a
-  short phrase whose last words are known to end sentences and whose length is
-  none at which values pile up (a field limit, of any size).  Values of one
+* its last token is no known word but a proper prefix of known words: the trie
+  decides, whatever else speaks for a complete text; or
+* it ends with an abbreviation that never ends a sentence elsewhere; or
+* it has no sentence end, its last token tells nothing to the trie, and it is
+  neither a list line nor a short phrase that may stand as it is.  A list line may
+  if it is a finished line elsewhere, a phrase of at most ``PHRASE_WORDS`` words if
+  its last two words end sentences elsewhere, and both if their last token is a
+  word of its own (a name, a code) that no known word continues.  None may at a
+  length at which values pile up (a field limit, of any size).  Values of one
   length and the same last two words count once there: a limit cuts anywhere,
   while a repeated phrase or one form with other numbers has one ending.
 
-All evidence is looked up by joins on the key, so vocabulary and evidence may
-grow with the corpus.  Null and empty texts, placeholders, finished lists, short
+All evidence is looked up by merging joins on the key, so vocabulary and evidence
+may grow with the corpus.  Null and empty texts, placeholders, finished lists, short
 complete phrases and copies of the prompt are no cases; repeated rows give one
 row; an empty table gives none.
 """
@@ -34,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorikeet.llm.copies import is_copy, is_empty
+from lorikeet.llm.copies import copies, says_nothing, words
 from lorikeet.llm.split import ABBREVIATIONS
 from lorikeet.session import cut_lineage
 
@@ -47,7 +51,7 @@ _SENTENCE = re.compile(r"(?<=[.!?।])[\"”’»)\]*]*\s+")
 _BULLET = re.compile(r"\s*(?:[-*•–·]|\d{1,3}[.)])\s+(.*\S)\s*\Z")
 _DIGITS = re.compile(r"\d+")
 _STRIP = "\"'“”‘’«»()[]{}<>.,;:!?।…*_-–—`"
-_ADDED = regex.compile(r"(?:[\s\p{Cf}\p{Cc}\p{So}\p{Sk}\p{Mn}�\"'“”‘’«»()\[\]{}*_~`>|…—–\-]|(?<![.])[.]{2,3}(?![.])|(?<=[.!?।])[.]{2,3})+\Z")
+_ADDED = regex.compile(r"(?:[\s\p{Cf}\p{Cc}\p{So}\p{Sk}\ufe00-\ufe0f�\"'“”‘’«»()\[\]{}*_~`>|…—–\-]|(?<![.])[.]{2,3}(?![.])|(?<=[.!?।])[.]{2,3})+\Z")
 #: What a value with a clean sentence end looks like; the rest is looked at closer.
 _CLEAN = r"[\p{L}\p{N}\)%][.!?।][\s\"”’»)\]*]*$"
 _DOUBTFUL = r"(^|[^\p{L}\p{N}.,/-])\p{L}{1,6}(\.\p{L})?\.[\s\"”’»)\]*]*$"
@@ -68,7 +72,21 @@ def pair_key(sentence: str) -> str | None:
 
 def core(text: str) -> str:
     """The text without signs added behind it; a closing bracket of its own stays out too."""
-    return _ADDED.sub("", text)
+    end = len(text)
+    while end and not text[end - 1].isalnum():
+        end -= 1
+    m = _ADDED.search(text, end)
+    return text[: m.start()] if m else text
+
+
+def last_words(text: str, end: int) -> str:
+    """The last two white-space words before a position, whatever their length."""
+    reach = 80
+    while True:
+        ws = text[max(0, end - reach) : end].rsplit(None, 2)
+        if len(ws) == 3 or reach >= end:
+            return " ".join(ws[-2:])
+        reach *= 2
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             tokens.update(t.split()[:-1])
             for m in _SENTENCE.finditer(t):
-                before = t[max(0, m.start() - 80) : m.start()]
+                before = last_words(t, m.start())
                 if (m.end() == len(t) or not t[m.end()].isdigit() or before[-2:-1].isdigit()) and (p := pair_key(before)):
                     pairs[p] += m.end() < len(t)
             if "\n" in t:
@@ -112,7 +130,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = _BULLET.match(line) if "\n" in c else None
             w = word_key(last)
             token = None if not w or any(ch.isdigit() for ch in w) or not any(ch.isalpha() for ch in w) else w
-            prompted = is_empty(t) or prompt is not None and is_copy(prompt, t)
+            prompted = says_nothing(ws := words(t)) or prompt is not None and copies(words(prompt), ws)
             rows.append((token, pair_key(c), m[1].lower() if m else None, ended, doubtful, len(c.split()), len(t), prompted))
         kinds = [pa.string()] * 3 + [pa.bool_()] * 2 + [pa.int32()] * 2 + [pa.bool_()]
         cols = list(zip(*rows)) if rows else [[]] * 8
@@ -135,27 +153,33 @@ def find_truncated(values: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .select(F.lit("t").alias("kind"), "key", "n")
     )
-    clean = F.col("text").rlike(_CLEAN) & ~F.col("text").rlike(_DOUBTFUL)
+    # The end alone tells whether a value must be looked at closer, where it is judged whole.
+    end = F.substring("text", -48, 48)
+    clean = end.rlike(_CLEAN) & ~end.rlike(_DOUBTFUL)
     close = cut_lineage(values.where(~clean).select("key", "text", "prompt").mapInArrow(_describe, f"key {kind}, {_FEATURES}"))
 
     ask = lambda k, c: F.struct(F.lit(k).alias("kind"), F.col(c).alias("key"))
     asked = close.select(F.explode(F.array(ask("w", "token"), ask("t", "token"), ask("p", "pair"), ask("i", "item"))).alias("q")).select("q.kind", "q.key").where("key is not null").distinct()
-    known = cut_lineage(seen.unionByName(trie).join(asked, ["kind", "key"], "left_semi"))
+    # Vocabulary and evidence grow with the data: these joins sort and merge.
+    known = cut_lineage(seen.unionByName(trie).join(asked.hint("merge"), ["kind", "key"], "left_semi"))
 
     def lookup(df: DataFrame, kind: str, column: str, out: str) -> DataFrame:
         side = known.where(F.col("kind") == kind).select(F.col("key").alias(column), F.col("n").alias(out))
-        return df.join(side, column, "left").withColumn(out, F.coalesce(out, F.lit(0)))
+        return df.join(side.hint("merge"), column, "left").withColumn(out, F.coalesce(out, F.lit(0)))
 
     for kind_, column, out in (("w", "token", "n_word"), ("t", "token", "n_longer"), ("p", "pair", "n_pair"), ("i", "item", "n_item")):
         close = lookup(close, kind_, column, out)
     open_ = close.where("not ended and not prompted and n_words > 0")
     sizes = open_.select("size", "pair").distinct().groupBy("size").agg(F.count("*").alias("n"))
     around = sizes.select(F.explode(F.sequence(F.col("size") - AROUND, F.col("size") + AROUND)).alias("size"), "n").groupBy("size").agg(F.sum("n").alias("near"))
-    limits = sizes.join(around, "size").where((F.col("n") >= LIMIT_VALUES) & (F.col("n") >= LIMIT_SHARE * F.col("near"))).select("size", F.lit(True).alias("at_limit"))
-    close = close.join(limits, "size", "left")
-
-    inside_word = (F.col("n_word") == 0) & (F.col("n_longer") > 0)
-    listed = F.col("item").isNotNull() & (F.col("n_item") > 0)
-    phrase = F.col("item").isNull() & (F.col("n_words") <= PHRASE_WORDS) & (F.col("n_pair") > 0) & F.col("at_limit").isNull()
+    limits = sizes.join(around.hint("merge"), "size").where((F.col("n") >= LIMIT_VALUES) & (F.col("n") >= LIMIT_SHARE * F.col("near"))).select("size", F.lit(True).alias("at_limit"))
+    close = close.join(limits.hint("merge"), "size", "left")
+
+    unknown = F.col("token").isNotNull() & (F.col("n_word") == 0)
+    inside_word = unknown & (F.col("n_longer") > 0)
+    # A last word that the corpus doesn't know tells nothing about sentences: only the trie speaks against it.
+    item, free = F.col("item").isNotNull(), F.col("at_limit").isNull()
+    listed = item & ((F.col("n_item") > 0) | unknown & free)
+    phrase = ~item & (F.col("n_words") <= PHRASE_WORDS) & ((F.col("n_pair") > 0) | unknown) & free
     cut = F.when(F.col("prompted") | (F.col("n_words") == 0), False).when(F.col("ended"), F.col("doubtful") & (F.col("n_pair") == 0)).otherwise(inside_word | ~(listed | phrase))
     return close.where(cut).select("key").distinct()

@@ -248,6 +248,8 @@ def test_split_table(spark):
         ("What is covered?", "No.", None), ("What is covered?", "Not covered.", None), ("What is covered?", "No, it is excluded.", None),
         ("What is the limit for this?", "Die Abteilung hat das Rezept geprüft und für die Dialyse freigegeben.", "other_language"), ("What is the limit for this? (reply in German)", "Die Abteilung hat das Rezept geprüft und für die Dialyse freigegeben.", None),
         (None, "Die Abteilung hat das Rezept geprüft.", None), ("", "Fine for all of them.", None),
+        ("Is it covered?", "is it covered", "copies_question"), ("उत्तर क्या है?", "उत्तर", "empty_answer"),
+        ("What is covered?", "Having read " + "every clause and " * 40 + "schedule, I cannot help with that request. " + "Please contact the desk.", "refusal"),
     ],
 )
 def test_own_defects(question, answer, want):
@@ -291,6 +293,37 @@ def test_cut_texts(spark):
     assert {rows[i][0] for i, d in found.items() if d == "truncated_answer"} == {*got, "copy"}  # no question here
 
 
+@pytest.mark.parametrize("longer,cut", [("limits", True), ("charges", False)])
+def test_trie_decides(spark, longer, cut):
+    """An unknown last token is a cut only where known words go on from it: the same
+    values are complete in a corpus without such a word."""
+    from lorikeet.llm.truncation import find_truncated
+
+    rows = [(f"full{k}", f"The desk sends all {longer} of the room within {k} days.\n- Hearing aids\n- Home nursing") for k in range(9)]
+    rows += [("phrase", "Room lim"), ("line", "Due:\n- Hearing aids\n- Room lim")]
+    df = spark.createDataFrame([(k, t, None) for k, t in rows], "key string, text string, prompt string")
+    assert sorted(r.key for r in find_truncated(df).collect()) == (["line", "phrase"] if cut else [])
+
+
+def test_sentence_end_evidence_of_any_length(spark):
+    from lorikeet.llm.truncation import find_truncated, last_words
+
+    long = "x" * 200
+    assert last_words(f"a {long} {long}. b", 404) == f"{long} {long}."
+    rows = [("full", f"Ask the {long} {long}. It is closed."), ("same", f"{long} {long}"), ("other", f"{long} desk")]
+    rows += [("desk", "The desk is closed.")]
+    df = spark.createDataFrame([(k, t, None) for k, t in rows], "key string, text string, prompt string")
+    assert [r.key for r in find_truncated(df).collect()] == ["other"]
+
+
+def test_gate_loses_no_refusal():
+    from lorikeet.llm import pairs as P
+
+    assert not P._MAY_REFUSE.open
+    for s in ("it went wrong", "no hay información", "nicht gefunden: es findet sich dazu nichts", "i won’t be able to say", "उत्तर नहीं दे सकते"):
+        assert not P._REFUSAL.search(s) or P._MAY_REFUSE(s), s
+
+
 def test_short_field_limits_are_evidence(spark):
     from lorikeet.llm.truncation import find_truncated
 
@@ -442,6 +475,7 @@ def test_restoring_is_exact_at_every_size(sf):
 
 
 def test_every_scored_word_and_pattern_passes_the_gate():
+    from lorikeet.llm.literals import required
     from lorikeet.llm import abuse as A
     from lorikeet.llm import abuse_words as W
 
@@ -465,9 +499,9 @@ def test_every_scored_word_and_pattern_passes_the_gate():
         A.score_sentence = score
     assert max(scorer.passages("Sexy nude pics, click tonight."))[0] >= A.THRESHOLD
     for p in W.THREATS + W.GROUP_PHRASES:
-        pieces = A.required(p)
+        pieces = required(p)
         assert pieces and min(map(len, pieces)) > 2, p
-    assert A.required(r"\b(?:ab|cde?f)\b.{0,9}x+gh?i*j") == {"ab", "cd"}
+    assert required(r"\b(?:ab|cde?f)\b.{0,9}x+gh?i*j") == {"ab", "cd"}
 
 
 def test_marks_at_edges_and_doubled_are_decoded():
