@@ -3,27 +3,32 @@
 Two records are linked if the Jaccard similarity of their word-shingle sets is
 at least ``threshold``.  A record with ``n`` shingles needs at least ``T =
 ceil(threshold * n)`` in common with any partner, so with the inverted lists of
-all shingles in one global order of length:
-
-* lists of length one can be left out at once; records that keep fewer than
-  ``T`` shingles have no partner;
-* Divide: a record's ``T - c`` longest lists are its long lists, all others its
-  short ones.  Only the short lists are merged; a partner occurs at least ``c``
-  times in the short lists of both (``c`` is a share of the record's size, so that
-  chance meetings of long records don't suffice);
-* every posting carries a parity sketch of its whole set, whose differing bits
-  bound the difference of two sets from below: a bound that never loses a link
-  ends most chance meetings in the lists of a formulaic collection at once;
-* Skip: for the few partners left, the rest is decided by binary search of the
-  one record's elements in the other, which never touches the long lists.
+all shingles in one global order, short lists first:
+
+* shingles that nobody else has are left out; a record that keeps fewer than ``T``
+  has no partner;
+* Divide: a record's last ``T - c`` lists are its long lists, all others its short
+  ones (``c`` is a share of the record's size, so that chance meetings of long
+  records don't suffice).  Everything that two records share up to the end of the
+  short part that ends first lies in the short lists of both, and that is at
+  least ``c`` of the smaller record;
+* Merge: only short lists are merged, with a count per pair of records and the
+  cut-off ``c``.  Every posting carries a parity sketch of its whole set, whose
+  differing bits bound the difference of two sets from below: a bound that loses
+  no link ends most chance meetings in the lists of a formulaic collection at once;
+* Skip: of the few pairs left, the long lists of the record whose short part ends
+  first are decided by binary search in the other record.  Its probes and the
+  merged count add up to the exact overlap; no long list is ever read.
 
 In Spark terms: exact copies are collapsed to one representative first (equal
-shingle sets); list lengths are a combined count per shingle; the short lists are
-merged in cells of bounded size, spread by hash and ordered by record size, so a
-list of any length is the work of many tasks; bounds and probes are vector
-operations on Arrow batches.  Hot shingles are long lists and never merged, so a
-clause found in a third of all records costs no quadratic work unless these
-records really are alike.
+shingle sets).  The order comes from a table of counters of fixed size, to which
+shingles are hashed: any order that all records share is exact, and this one
+needs neither a join of all shingles nor a broadcast that grows.  Lists are merged
+in cells of bounded size, ordered by record size, so a list of any length is the
+work of many tasks; within a task the meetings of one pair are counted before the
+shuffle, by sorting instead of a heap.  Hot shingles are long lists and never
+merged, so a clause found in a third of all records costs no quadratic work unless
+these records really are alike.  All joins sort and merge.
 
 Edge cases: null keys and texts and records under ``min_words`` words take no
 part; rows with equal key count once (the smallest text); an empty table gives
@@ -40,30 +45,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorikeet.llm.components import components
-from lorikeet.llm.shingles import flat, lists, overlaps, parity_sketch, set_keys, shingle_sets, word_hashes
-from lorikeet.session import cut_lineage
+from lorikeet.llm.shingles import flat, lists, mix, overlaps, parity_sketch, set_keys, shingle_sets, word_hashes
+from lorikeet.session import cut_lineage, release
 
 SHINGLE, THRESHOLD, MIN_WORDS = 5, 0.8, 1
 #: Times that a partner must occur in the short lists, as a share of the shingles.
 HITS = 0.04
-#: Words of 64 bits in a parity sketch.
-LANES = 8
+#: Counters of the global order: four bytes each, 4 MB sent to every executor.
+COUNTERS = 1 << 20
+#: Words of 64 bits in a parity sketch; sets of more than ``LONG`` shingles carry twice as many.
+LANES, LONG = 8, 400
 #: Longest list, or block of one, whose postings meet each other in one place.
 CELL = 4096
-#: Pairs looked at in one vector operation.
-PAIRS = 1 << 15
+#: Most long cells whose table is sent to all tasks (20 bytes each); more are joined.
+MOST_SENT = 100_000
+#: Pairs looked at in one vector operation, and pairs counted together.
+PAIRS, COUNTED = 1 << 15, 1 << 18
+
+
+def _pack(narrow: np.ndarray, upper: np.ndarray, wide: np.ndarray) -> pa.Array:
+    """Sketches as one binary column: ``LANES`` words, and as many again for wide rows."""
+    size = np.where(wide, 2 * LANES, LANES)
+    off = np.concatenate(([0], np.cumsum(size)))
+    out = np.empty(int(off[-1]), dtype=np.int64)
+    lane = np.arange(LANES)
+    out[off[:-1, None] + lane] = narrow
+    out[off[:-1][wide][:, None] + LANES + lane] = upper[wide]
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((8 * off).astype(np.int32)), pa.py_buffer(out)])
+
 
-#: Sets of more shingles carry a sketch twice as wide, in these further words.
-LONG = 400
-_SKETCH = [f"sketch{k}" for k in range(LANES)]
-_MORE = [f"more{k}" for k in range(LANES)]
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lower words of all sketches, and the upper ones, 0 where a set is short."""
+    off = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    words = np.frombuffer(column.buffers()[2], dtype=np.uint8)[off[0] : off[-1]].view(np.uint64)
+    off = (off - off[0]) // 8
+    lane = np.arange(LANES)
+    upper = np.zeros((len(column), LANES), dtype=np.uint64)
+    wide = np.diff(off) > LANES
+    upper[wide] = words[off[:-1][wide][:, None] + LANES + lane]
+    return words[off[:-1, None] + lane], upper
 
 
 def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_words: int) -> DataFrame:
-    """``key, set, n, sh``: per record its set's 128-bit hash, size and sorted shingle hashes."""
+    """``key, set, n, sh, sketch``: per record its set's 128-bit hash, size and sorted shingle hashes."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    rows = df.select(col(key).cast("string").alias("key"), word_hashes(col(text)).alias("w")).where("key is not null").where(F.size("w") >= max(1, min_words))
-    rows = rows.groupBy("key").agg(F.min("w").alias("w"))
+    rows = df.select(col(key).cast("string").alias("key"), col(text).alias("text")).where("key is not null and text is not null")
+    rows = rows.groupBy("key").agg(F.min("text").alias("text")).select("key", word_hashes("text").alias("w")).where(F.size("w") >= max(1, min_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,26 +99,85 @@ def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_w
             sid = pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["a", "b"])
             wide = parity_sketch(v, o, 2 * LANES)
             # The narrow sketch is the wide one folded, so the upper half tells both.
-            narrow, upper = wide[:, :LANES] ^ wide[:, LANES:], np.where((np.diff(o) > LONG)[:, None], wide[:, LANES:], 0)
-            words = [pa.array(np.ascontiguousarray(x[:, k])) for x in (narrow, upper) for k in range(LANES)]
-            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o)), lists(v, o), *words], names=["key", "set", "n", "sh", *_SKETCH, *_MORE])
+            sketch = _pack(wide[:, :LANES] ^ wide[:, LANES:], wide[:, LANES:], np.diff(o) > LONG)
+            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o).astype(np.int32)), lists(v, o), sketch], names=["key", "set", "n", "sh", "sketch"])
+
+    return rows.mapInArrow(run, "key string, set struct<a:bigint,b:bigint>, n int, sh array<bigint>, sketch binary")
+
+
+def _counter(v: np.ndarray, counters: int) -> np.ndarray:
+    return (mix(v.view(np.uint64)) % np.uint64(counters)).astype(np.int64)
+
+
+def list_lengths(rows: DataFrame) -> np.ndarray:
+    """``COUNTERS`` numbers: occurrences of the shingles hashed to each, over all rows."""
+
+    size = COUNTERS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, dtype=np.int64)
+        for b in batches:
+            n += np.bincount(_counter(flat(b.column(0))[0], size), minlength=size)
+        at = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["at", "n"])
+
+    # Not more rows than counters, whatever the size of the collection.
+    t = rows.select("sh").mapInArrow(count, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, dtype=np.int32)
+    out[t.column("at").to_numpy()] = np.minimum(t.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return out
+
 
-    return rows.mapInArrow(run, "key string, set struct<a:bigint,b:bigint>, n bigint, sh array<bigint>, " + ", ".join(f"{c} bigint" for c in _SKETCH + _MORE))
+def divide(sets: DataFrame, lengths: np.ndarray, threshold: float) -> DataFrame:
+    """``set, n, sketch, short, long, order, last``: the two parts of every set, both empty
+    where it can have no partner.
+
+    ``order, last`` name the place in the global order at which the short part ends.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(lengths)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(1).to_numpy().astype(np.int64)
+            v, o = flat(b.column(2))
+            length = sent.value[_counter(v, len(sent.value))]
+            row = np.repeat(np.arange(len(n)), np.diff(o))
+            shared = length > 1  # a counter of one is one shingle of one set
+            v, length, row = v[shared].view(np.int64), length[shared], row[shared]
+            by_length = np.lexsort((v, length, row))
+            kept = np.bincount(row, minlength=len(n))
+            need, hits = np.ceil(threshold * n - 1e-9).astype(np.int64), np.ceil(n * HITS).astype(np.int64)
+            first = np.cumsum(kept) - kept
+            n_short = kept - need + hits
+            ok = kept >= need
+            at = np.empty(len(v), dtype=np.int64)
+            at[by_length] = np.arange(len(v)) - first[row]
+            short = at < n_short[row]
+            part = lambda m: lists(v[m & ok[row]].view(np.uint64), np.concatenate(([0], np.cumsum(np.bincount(row[m & ok[row]], minlength=len(n))))))  # noqa: E731, B023
+            end = by_length[np.minimum(first + np.maximum(n_short, 1) - 1, max(len(v) - 1, 0))] if len(v) else np.zeros(len(n), dtype=np.int64)
+            order, last = (length[end], v[end]) if len(v) else (np.zeros(len(n), dtype=np.int32), np.zeros(len(n), dtype=np.int64))
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), part(short), part(~short), pa.array(order.astype(np.int32)), pa.array(last)], names=["set", "n", "sketch", "short", "long", "order", "last"])
+
+    return sets.select("set", "n", "sh", "sketch").mapInArrow(run, "set struct<a:bigint,b:bigint>, n int, sketch binary, short array<bigint>, long array<bigint>, order int, last bigint")
 
 
 def _meet(threshold: float):
-    """Merges short lists: pairs of postings of one cell that pass all bounds."""
+    """Merges short lists: pairs of postings of one cell that pass all bounds, with their count."""
     most = (1 - threshold) / (1 + threshold)
 
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        get = lambda c: t.column(c).to_numpy()
-        tok, i, j, n, sid, block = map(get, ("t", "i", "j", "n", "sid", "block"))
-        halves = [np.stack([get(c) for c in part], axis=1).view(np.uint64) for part in (_SKETCH[: LANES // 2], _SKETCH[LANES // 2 :])]
-        more = np.stack([get(c) for c in _MORE], axis=1).view(np.uint64)
-        lower = np.concatenate(halves, axis=1) ^ more
+    def counted(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        """Meetings of equal pairs are runs once both ids are sorted."""
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, dtype=np.int64)
+        return pa.record_batch([pa.array(x[new]), pa.array(y[new]), pa.array(np.diff(np.append(new, len(x))).astype(np.int32))], names=["sid_x", "sid_y", "met"])
+
+    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        tok, i, j, n, sid, block = (t.column(c).to_numpy() for c in ("t", "i", "j", "n", "sid", "block"))
+        narrow, upper = _unpack(t.column("sketch").chunk(0))
+        halves = narrow[:, : LANES // 2], narrow[:, LANES // 2 :]
+        lower = narrow ^ upper
         plain = not (i != j).any()
-        kept: list[tuple] = []
-        n_kept = 0
         new = np.ones(len(tok), dtype=np.int64)
         new[1:] = (tok[1:] != tok[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
         group = np.cumsum(new)
@@ -119,21 +205,17 @@ def _meet(threshold: float):
             both = np.flatnonzero((n.take(x) > LONG) & (n.take(y) > LONG))
             if len(both):
                 u, v = x.take(both), y.take(both)
-                differ = sum(np.bitwise_count(w.take(u, axis=0) ^ w.take(v, axis=0)).sum(axis=1, dtype=np.int32) for w in (lower, more))
+                differ = sum(np.bitwise_count(w.take(u, axis=0) ^ w.take(v, axis=0)).sum(axis=1, dtype=np.int32) for w in (lower, upper))
                 ok = np.ones(len(x), dtype=bool)
                 ok[both] = differ <= most * (n[u] + n[v]) + 1e-9
                 x, y = x[ok], y[ok]
             if len(x):
-                kept.append((x, y))
-                n_kept += len(x)
-            lo = hi
-            if n_kept and (n_kept > 50_000 or lo >= len(tok)):
-                x, y = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
                 a, b = sid[x], sid[y]
-                yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(n[x], n[y]))], names=["sid_x", "sid_y", "n"])
-                kept, n_kept = [], 0
+                yield np.minimum(a, b), np.maximum(a, b)
+            lo = hi
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Tables of whole cells."""
         held: list[pa.RecordBatch] = []
         for b in batches:
             if not b.num_rows:
@@ -146,50 +228,59 @@ def _meet(threshold: float):
                 same = all(h.column(c)[0].as_py() == x[0] for c, x in (("t", t), ("i", i), ("j", j)))
                 if cut or not same:  # else the cell goes on
                     held.append(b.slice(0, cut))
-                    yield from pairs(pa.Table.from_batches(held).combine_chunks())
+                    yield pa.Table.from_batches(held).combine_chunks()
                     held = []
             elif cut:
-                yield from pairs(pa.Table.from_batches([b.slice(0, cut)]))
+                yield pa.Table.from_batches([b.slice(0, cut)]).combine_chunks()
             held.append(b.slice(cut))
         if held:
-            yield from pairs(pa.Table.from_batches(held).combine_chunks())
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for t in cells(batches):
+            if not t.num_rows:
+                continue
+            for p in pairs(t):
+                held.append(p)
+                n += len(p[0])
+                if n > COUNTED:
+                    yield counted(*(np.concatenate(c) for c in zip(*held)))
+                    held, n = [], 0
+        if held:
+            yield counted(*(np.concatenate(c) for c in zip(*held)))
 
     return run
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, similarity`` of all pairs ``a < b`` of distinct sets ``(sid, n, sh, sketch...)``."""
-    tokens = sets.select("sid", F.explode("sh").alias("t"))
-    length = tokens.groupBy("t").agg(F.count("*").cast("int").alias("len")).where("len > 1")
-    need = F.ceil(F.col("n") * threshold - 1e-9).cast("int")
-    divided = (
-        tokens.join(length, "t")
-        .groupBy("sid")
-        .agg(F.array_sort(F.collect_list(F.struct("len", "t"))).alias("ts"))  # one record's own shingles
-        .join(sets.select("sid", "n", *_SKETCH, *_MORE), "sid")
-        .where(F.size("ts") >= need)
-    )
-    hits = F.ceil(F.col("n") * HITS).cast("int")
-    short = F.slice("ts", F.lit(1), F.greatest(F.lit(0), F.size("ts") - need + hits))
-    posting = divided.select("sid", F.col("n").cast("int").alias("n"), *_SKETCH, *_MORE, F.explode(short).alias("p"))
+    """``a, b, similarity`` of all pairs ``a < b`` of the divided sets."""
+    spark = sets.sparkSession
+    posting = sets.select("sid", "n", "sketch", F.explode("short").alias("t"))
     # Lists over CELL long are cut into blocks, and every two blocks meet in one cell.
-    posting = posting.select("p.t", "sid", "n", F.ceil(F.col("p.len") / CELL).cast("int").alias("m"), *_SKETCH, *_MORE)
-    posting = posting.withColumn("block", F.when(F.col("m") > 1, F.pmod(F.xxhash64("sid"), F.col("m"))).otherwise(0).cast("int"))
-    posting = posting.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", *_SKETCH, *_MORE)
+    long = cut_lineage(posting.groupBy("t").agg(F.count("*").alias("len")).where(F.col("len") > CELL).select("t", F.ceil(F.col("len") / CELL).cast("int").alias("m")))
+    n_long = long.count()
+    if n_long:
+        posting = posting.join(F.broadcast(long) if n_long <= MOST_SENT else long.hint("merge"), "t", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+        posting = posting.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    else:
+        posting = posting.withColumns({"block": F.lit(0), "other": F.lit(0)})
+    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", "sketch")
     cells = cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n")
-    met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, n int")
-    pairs = met.groupBy("sid_x", "sid_y").agg(F.count("*").alias("met"), F.first("n").alias("n")).where(F.col("met") >= hits)
-    left = sets.select(F.col("sid").alias("sid_x"), F.col("sh").alias("sh_x"))
-    right = sets.select(F.col("sid").alias("sid_y"), F.col("sh").alias("sh_y"))
-    both = pairs.select("sid_x", "sid_y").join(left, "sid_x").join(right, "sid_y").select("sid_x", "sid_y", "sh_x", "sh_y")
+    met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, met int").groupBy("sid_x", "sid_y").agg(F.sum("met").cast("int").alias("met"))
+    side = lambda s: sets.select(F.col("sid").alias(f"sid_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "short", "long", "order", "last")))
+    both = met.join(side("x").hint("merge"), "sid_x")
+    both = both.join(side("y").hint("merge"), "sid_y").where(F.col("met") >= F.ceil(F.least("n_x", "n_y") * HITS))
+    # The record whose short part ends first is probed with; all that it has beyond is in its long lists.
+    x_first = (F.col("order_x") < F.col("order_y")) | (F.col("order_x") == F.col("order_y")) & (F.col("last_x") <= F.col("last_y"))
+    probing = F.when(x_first, F.col("long_x")).otherwise(F.col("long_y"))
+    whole = F.when(x_first, F.concat("short_y", "long_y")).otherwise(F.concat("short_x", "long_x"))
+    both = both.select("sid_x", "sid_y", "met", (F.col("n_x") + F.col("n_y")).alias("n"), probing.alias("p"), whole.alias("w"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(2), b.column(3)
-            both = overlaps(a, c)
-            total = np.diff(flat(a)[1]) + np.diff(flat(c)[1]) - both
-            sim = both / np.maximum(total, 1)
+            common = b.column(2).to_numpy() + overlaps(b.column(4), b.column(5), sort=True)
+            sim = common / np.maximum(b.column(3).to_numpy() - common, 1)
             keep = pa.array(sim >= threshold - 1e-9)
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sim).filter(keep)], names=["a", "b", "similarity"])
 
@@ -199,19 +290,20 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
     """``members (key, sid)`` and ``links (a, b, similarity)`` between set ids."""
     rows = cut_lineage(shingled(df, key, text, k, min_words))
-    sets = rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", *_SKETCH, *_MORE)))
+    sets = divide(rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", "sketch"))), list_lengths(rows), threshold)
     # A written id is eight bytes wide in every posting, and can't collide.
     sets = cut_lineage(sets.withColumn("sid", F.monotonically_increasing_id()))
-    members = rows.select("key", "set").join(sets.select("set", "sid"), "set").select("key", "sid")
+    members = cut_lineage(rows.select("key", "set").join(sets.select("set", "sid").hint("merge"), "set").select("key", "sid"))
+    release(rows)
     return members, similar_sets(sets.drop("set"), threshold)
 
 
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """``a < b``: the links as pairs of record keys, exact copies included."""
     x, y = members.select(F.col("key").alias("p"), F.col("sid").alias("a")), members.select(F.col("key").alias("q"), F.col("sid").alias("b"))
-    across = links.select("a", "b").join(x, "a").join(y, "b").select("p", "q")
-    copies = members.join(members.groupBy("sid").count().where("count > 1").select("sid"), "sid", "left_semi")
-    twins = copies.select("sid", F.col("key").alias("p")).join(copies.select("sid", F.col("key").alias("q")), "sid").where("p < q").select("p", "q")
+    across = links.select("a", "b").join(x.hint("merge"), "a").join(y.hint("merge"), "b").select("p", "q")
+    copies = members.join(members.groupBy("sid").count().where("count > 1").select("sid").hint("merge"), "sid", "left_semi")
+    twins = copies.select("sid", F.col("key").alias("p")).join(copies.select("sid", F.col("key").alias("q")).hint("merge"), "sid").where("p < q").select("p", "q")
     return across.unionByName(twins).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
@@ -222,11 +314,12 @@ def groups(members: DataFrame, links: DataFrame) -> DataFrame:
     partners, copies included, without expanding them into pairs.
     """
     links = cut_lineage(links.select("a", "b"))
-    size = members.groupBy("sid").agg(F.count("*").alias("copies"), F.min("key").alias("first_key"))
+    size = cut_lineage(members.groupBy("sid").agg(F.count("*").alias("copies"), F.min("key").alias("first_key")))
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    partners = ends.join(size.select(F.col("sid").alias("b"), "copies"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
+    partners = ends.join(size.select(F.col("sid").alias("b"), "copies").hint("merge"), "b").groupBy(F.col("a").alias("sid")).agg(F.sum("copies").alias("others"))
     comp = components(links)
-    nodes = size.join(comp.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    nodes = size.join(comp.withColumnRenamed("node", "sid").hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     named = nodes.groupBy("component").agg(F.min("first_key").alias("group_key"))
-    per_set = nodes.join(named, "component").join(partners, "sid", "left").select("sid", "group_key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return members.join(per_set, "sid").select("key", "group_key", "n_links")
+    per_set = nodes.join(named.hint("merge"), "component").join(partners.hint("merge"), "sid", "left")
+    per_set = per_set.select("sid", "group_key", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return members.join(per_set.hint("merge"), "sid").select("key", "group_key", "n_links")

@@ -113,8 +113,8 @@ def parity_sketch(values: np.ndarray, offsets: np.ndarray, lanes: int) -> np.nda
     return out.view(np.int64)
 
 
-def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """Common elements per row of two columns of sorted distinct lists.
+def overlaps(a: pa.Array, b: pa.Array, sort: bool = False) -> np.ndarray:
+    """Common elements per row of two columns of distinct lists, sorted or sorted here.
 
     Every element of the one list is probed in the other by binary search.  The row
     number takes the upper bits of the key, so one search serves the batch, and as
@@ -130,6 +130,8 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
             row = np.repeat(np.arange(hi - lo, dtype=np.int64), np.diff(o[lo : hi + 1]))
             keys.append((row << 50) | ((v[o[lo] : o[hi]].view(np.int64) >> 14) + (1 << 49)))
         ka, kb = keys
+        if sort:
+            ka.sort(), kb.sort()
         if len(ka) and len(kb):
             at = np.minimum(np.searchsorted(kb, ka), len(kb) - 1)
             out[lo:hi] = np.bincount(ka[kb[at] == ka] >> 50, minlength=hi - lo)

@@ -61,11 +61,14 @@ def shingles(t, k):
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if len(ws) >= k else ({tuple(ws)} if ws else set())
 
 
-@pytest.mark.parametrize("k,threshold,cell", [(3, 0.6, 4096), (3, 0.6, 8), (5, 0.8, 4096)])
-def test_near_records(spark, monkeypatch, k, threshold, cell):
+@pytest.mark.parametrize("k,threshold,cell,sent,counters", [(3, 0.6, 4096, 100, 1 << 20), (3, 0.6, 8, 0, 64), (3, 0.6, 8, 100_000, 1 << 20), (5, 0.8, 4096, 100, 1)])
+def test_near_records(spark, monkeypatch, k, threshold, cell, sent, counters):
+    """Against all pairs, also with blocks of lists and with an order that hardly knows a length."""
     from lorikeet.llm import near_records as N
 
     monkeypatch.setattr(N, "CELL", cell)
+    monkeypatch.setattr(N, "MOST_SENT", sent)
+    monkeypatch.setattr(N, "COUNTERS", counters)
     rnd = random.Random(2)
     base = [text_of(rnd, 60) for _ in range(12)]
     rows = []
@@ -76,10 +79,10 @@ def test_near_records(spark, monkeypatch, k, threshold, cell):
             ws[p : p + rnd.randrange(2)] = [rnd.choice(WORDS) + "x"]
         rows.append((f"r{i:03}", " ".join(ws)))
     rows += [("copy1", rows[0][1]), ("copy2", rows[0][1].upper()), ("short", "one two"), ("e", ""), ("n", None), (None, rows[0][1]), rows[3]]
-    for k in range(4):
+    for j in range(4):
         ws = [rnd.choice(WORDS) + str(rnd.randrange(30)) for _ in range(900)]
-        rows.append((f"long{k}", " ".join(ws)))
-        rows.append((f"long{k}x", " ".join(w if rnd.random() > 0.02 * k else "new" for w in ws)))
+        rows.append((f"long{j}", " ".join(ws)))
+        rows.append((f"long{j}x", " ".join(w if rnd.random() > 0.02 * j else "new" for w in ws)))
     df = spark.createDataFrame(rows, "key string, text string").withColumns({"sid": F.lit(1), "set": F.lit("x"), "n": F.lit(0)})
     members, links = N.near_records(df, "key", "text", k, threshold, 10)
     own = {a: shingles(t, k) for a, t in rows if a and t and len(re.findall(r"[^\W_]+", t)) >= 10}
