@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,12 @@ GLOSSARY = {
     "room cost": "room rent limit",
 }
 
+# What is shown where an answer or a justification is empty, and the
+# labels and rules of prompts, contexts and source lists.
+NO_ANSWER, NO_JUSTIFICATION = "No answer returned.", "No justification returned."
+REFERENCE = "Referenced from Section: "
+DASH = "—"
+
 # Openings of questions that need no document (greetings, thanks, small talk).
 DIRECT_PATTERN = r"^(hi|hello|hey|good (morning|afternoon|evening)|thanks|thank you|who are you|what can you do)\b"
 
@@ -85,7 +92,7 @@ def parsed_justification(reply: Column | str) -> Column:
     """The justification, led by its section reference if it has one; else empty."""
     part = F.get(F.split(reply, "Justification:"), F.lit(1))
     section = F.get(F.split(part, "Referenced from Section:"), F.lit(1))
-    return F.when(part.isNull(), F.lit("")).when(section.isNotNull(), F.concat(F.lit("Referenced from Section: "), strip(section))).otherwise(strip(part))
+    return F.when(part.isNull(), F.lit("")).when(section.isNotNull(), F.concat(F.lit(REFERENCE), strip(section))).otherwise(strip(part))
 
 
 def parsed_indices(reply: Column | str, n: Column, k: int) -> Column:
@@ -126,7 +133,7 @@ def context_string(chunks: Column) -> Column:
 def shown_answer(answer: Column | str) -> Column:
     """The answer as it is shown; a default for an empty one."""
     c = F.col(answer) if isinstance(answer, str) else answer
-    return F.when(c.isNull() | (c == ""), "No answer returned.").otherwise(c)
+    return F.when(c.isNull() | (c == ""), NO_ANSWER).otherwise(c)
 
 
 def shown_justification(justification: Column | str, sources: Column | str) -> Column:
@@ -135,7 +142,56 @@ def shown_justification(justification: Column | str, sources: Column | str) -> C
     src = F.col(sources) if isinstance(sources, str) else sources
     listed = F.concat(F.lit("Sources:\n"), F.array_join(F.transform(src, lambda x: F.concat(F.lit("- "), F.coalesce(x["document"], F.lit("null")), F.lit(" :: "), F.coalesce(x["section"], F.lit("null")))), "\n"))
     both = F.when(F.coalesce(F.size(src), F.lit(0)) > 0, F.when(j != "", F.concat(j, F.lit("\n\n"), listed)).otherwise(listed)).otherwise(j)
-    return F.when(both == "", "No justification returned.").otherwise(both)
+    return F.when(both == "", NO_JUSTIFICATION).otherwise(both)
+
+
+def shown_resource(kind: Column | str, name: Column | str) -> Column:
+    """``kind: name`` of an audit row's resource, a dash where it has no kind."""
+    k = F.col(kind) if isinstance(kind, str) else kind
+    return F.when(k.isNull() | (k == ""), DASH).otherwise(F.concat(k, F.lit(": "), F.coalesce(name, F.lit("None"))))
+
+
+def or_default(value: Column | str, default: Column) -> Column:
+    """The default in place of a null, an empty text, zero, false or an empty array."""
+    c = F.col(value) if isinstance(value, str) else value
+    return F.when(c.isNull() | (c.cast("string").isin("", "0", "false", "[]", "{}")), default).otherwise(c)
+
+
+def iso_time(us: Column | str) -> Column:
+    """Microseconds since 1970 as ISO text in UTC, with a fraction only if there is one."""
+    u = (F.col(us) if isinstance(us, str) else us).cast("bigint")
+    second = F.floor(u / 1_000_000).cast("bigint")
+    day = F.floor(second / 86_400).cast("int")
+    clock = F.pmod(second, F.lit(86_400))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    time = F.concat_ws(":", two(F.floor(clock / 3600)), two(F.floor(clock % 3600 / 60)), two(clock % 60))
+    part = F.pmod(u, F.lit(1_000_000))
+    fraction = F.when(part == 0, "").otherwise(F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0")))
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), day).cast("string"), F.lit("T"), time, fraction, F.lit("+00:00"))
+
+
+def utc_micros(text: Column | str) -> Column:
+    """Microseconds of an ISO time; one without a zone is taken as UTC; null if broken."""
+    c = F.col(text) if isinstance(text, str) else text
+    zoned = F.when(c.rlike(r"(Z|[+-]\d\d:?\d\d)$"), c).otherwise(F.concat(c, F.lit("+00:00")))
+    return F.unix_micros(F.try_to_timestamp(zoned))
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A prompt: the template with its ``{name}`` places filled; a null counts as empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.coalesce(values[p].cast("string"), F.lit("")) if k % 2 else F.lit(p) for k, p in enumerate(parts)))
+
+
+def merged(*maps: Column) -> Column:
+    """One map of several; where keys clash, the last one's value counts; nulls are empty."""
+    empty = F.create_map().cast("map<string,string>")
+    out = F.coalesce(maps[0], empty)
+    for m in maps[1:]:
+        new = F.coalesce(m, empty)
+        old = F.map_filter(out, lambda k, _: ~F.array_contains(F.map_keys(new), k))  # noqa: B023
+        out = F.map_concat(old, new)
+    return out
 
 
 def preview(text: Column | str, size: int = 200) -> Column:

@@ -8,6 +8,9 @@ paragraph arrays the same way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,37 +59,53 @@ def paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
     return found.select("key", "para_id", "p.section", "p.text")
 
 
-def token_windows(df: DataFrame, keys: list[str], text: str, size: int = SIZE, overlap: float = OVERLAP) -> DataFrame:
+@dataclass(frozen=True)
+class Tokens:
+    """A tokenizer as two Column functions: a text to its tokens, and tokens to a text."""
+
+    split: Callable[[Column], Column]
+    join: Callable[[Column], Column]
+
+
+def _white(text: Column) -> Column:
+    s = strip(text)
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
+
+
+#: Words between white space, joined by single spaces.
+WHITE_SPACE = Tokens(_white, lambda t: F.array_join(t, " "))
+
+
+def token_windows(df: DataFrame, keys: list[str], text: str, size: int = SIZE, overlap: float = OVERLAP, tokens: Tokens = WHITE_SPACE) -> DataFrame:
     """``keys..., start, n_tokens, text``: whole short texts, windows of long ones.
 
-    A text of at most ``size`` white-space tokens comes out as it is; a longer one
+    A text of at most ``size`` tokens comes out as it is; a longer one
     as windows every ``int(size * (1 - overlap))`` tokens, the last ones kept even
     if wholly inside the window before.
     """
     step = int(size * (1 - overlap))
-    s = strip(text)
-    toks = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
-    cut = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), toks.alias("_t"))
+    cut = df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("_text"), tokens.split(F.col(text)).alias("_t"))
     n = F.size("_t")
     starts = F.when(n <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(step)))
     cut = cut.select(*keys, "_text", "_t", n.alias("_n"), F.explode(starts).alias("start"))
     window = F.slice("_t", F.col("start") + 1, size)
-    return cut.select(*keys, "start", F.size(window).alias("n_tokens"), F.when(F.col("_n") <= size, F.col("_text")).otherwise(F.array_join(window, " ")).alias("text"))
+    return cut.select(*keys, "start", F.size(window).alias("n_tokens"), F.when(F.col("_n") <= size, F.col("_text")).otherwise(tokens.join(window)).alias("text"))
 
 
-def chunks(df: DataFrame, key: str, name: str, text: str) -> DataFrame:
+def chunks(df: DataFrame, key: str, name: str, text: str, size: int = SIZE, overlap: float = OVERLAP, tokens: Tokens = WHITE_SPACE) -> DataFrame:
     """``chunk_id, text, metadata``: the chunk table of a document table.
 
     Chunk numbers run through a document from 0.  They are running counts within
     the document's own row (windows per paragraph, summed), so nothing is shuffled.
     """
     base = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(name).alias("name"), _fold(F.col(text)).alias("ps"))
-    step = int(SIZE * (1 - OVERLAP))
-    count = lambda p: F.when(F.size(F.split(p["text"], r"(?U)\s+")) <= SIZE, F.lit(1)).otherwise(F.ceil(F.size(F.split(p["text"], r"(?U)\s+")) / step).cast("int"))
+    step = int(size * (1 - overlap))
+    number_of = lambda n: F.when(n <= size, F.lit(1)).otherwise(F.ceil(n / step).cast("int"))
+    count = lambda p: number_of(F.size(tokens.split(p["text"])))
     base = base.withColumn("counts", F.transform("ps", count))
     base = base.select("key", "name", "counts", F.posexplode("ps").alias("para_id", "p"))
     base = base.withColumn("first", F.aggregate(F.slice("counts", F.lit(1), F.col("para_id")), F.lit(0), lambda a, x: a + x))
-    wins = token_windows(base.select("key", "name", "para_id", "first", F.col("p.section").alias("section"), F.col("p.text").alias("body")), ["key", "name", "para_id", "first", "section"], "body")
+    wins = token_windows(base.select("key", "name", "para_id", "first", F.col("p.section").alias("section"), F.col("p.text").alias("body")), ["key", "name", "para_id", "first", "section"], "body", size, overlap, tokens)
     number = F.col("first") + (F.col("start") / step).cast("int")
     return wins.select(
         "key",

@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIM = 64
+_TOKEN = re.compile("[a-z0-9]+")
 
 
-def token_buckets(text: Column | str, dim: int = DIM) -> Column:
-    """Bucket numbers of the ``[a-z0-9]+`` tokens of a lower-cased text."""
-    toks = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
-    return F.transform(toks, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
-
+def _hashed(texts: pd.Series) -> pd.Series:
+    bucket: dict[str, int] = {}  # every distinct token of a batch is hashed once
 
-def hashed_counts(df: DataFrame, key: str, text: str, dim: int = DIM) -> DataFrame:
-    """Sparse vectors ``key, bucket, n``; texts without tokens have none."""
-    return df.select(F.col(key).alias("key"), F.explode(token_buckets(text, dim)).alias("bucket")).groupBy("key", "bucket").agg(F.count("*").alias("n"))
+    def one(t: str | None) -> np.ndarray | None:
+        if t is None:
+            return None
+        ids = []
+        for w in _TOKEN.findall(t.lower()):
+            if w not in bucket:
+                bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % DIM
+            ids.append(bucket[w])
+        return np.bincount(np.array(ids, dtype=np.int64), minlength=DIM).astype(np.float64)
 
+    return texts.map(one)
 
-def nearest_texts(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """``key, distance`` of the ``k`` texts nearest to one query's sparse vector.
 
-    The query has at most ``DIM`` rows, so that side is broadcast.
-    """
-    qn = query.agg(F.sum(F.col("n") * F.col("n")).alias("qq"))
-    q = query.select("bucket", F.col("n").alias("qn"))
-    sums = vectors.join(F.broadcast(q), "bucket", "left").groupBy("key").agg(F.sum(F.col("n") * F.coalesce("qn", F.lit(0))).alias("d"), F.sum(F.col("n") * F.col("n")).alias("nn"))
-    dist = 1 - F.col("d") / F.sqrt(F.col("nn").cast("double") * F.col("qq").cast("double"))
-    return sums.crossJoin(F.broadcast(qn)).select("key", F.round(dist, 9).alias("distance")).orderBy("distance", "key").limit(k)
+def hashed_vector(text: Column | str) -> Column:
+    """Counts of the ``[a-z0-9]+`` tokens of a lower-cased text by bucket, ``DIM`` of them; null for null."""
+    return F.pandas_udf(_hashed, "array<double>")(text)

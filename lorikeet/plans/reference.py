@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from lorikeet.functions import text as T
 from lorikeet.operators import chunking, embedding, search, store
-from lorikeet.operators.lockout import lock_states
-from lorikeet.plans.ask import ask, index_chunks
+from lorikeet.operators.lockout import lock_states, locked_events, login_outcomes
+from lorikeet.plans.ask import ANSWER_PROMPT, NO_MATCH, RERANK_PROMPT, WEB_REPLY, DIRECT_REPLY, ask, index_chunks
 from lorikeet.sources.tables import table
 
 HOT_USER = "branch.kiosk01"
 QUERY_TEXT = "how long is the waiting period for cataract surgery in the policy"
 EVERY = 50
+#: Names of the collections in the tables.
+COLLECTIONS = {"shared": "policy_shared", "personal": "user_{}"}
 REPLIES = ["4,2,0", "4, 2,0\nbecause", "Chunk 1 and 2", "-1,3", "1,1,1", "9,8,7,6,5,0", "none", "", "3,1,4,0,2,1"]
 STRICT = ["4,2,0", " 1 , 3", "-1,0", "9,8", "1,x", "", "0,1,2,3,4,0", "-6,1"]
 ROUTES = ["RAG", " rag. ", "direct", "Direct answer", "rag or direct", "unsure", ""]
@@ -54,7 +56,7 @@ def combined_scope_concat(spark: SparkSession, d: str) -> DataFrame:
     """Even labels are the shared collection, odd ones the personal one."""
     v = _vectors(spark, d)
     rows = v.withColumn("collection", F.when(F.col("collection").cast("int") % 2 == 0, "shared").otherwise(search.personal_collection(F.lit("u"))))
-    q = _asked(v).select("query_id", "vector", search.scoped_collections(F.lit(None).cast("string"), F.lit("combined"), F.lit("u")).alias("collections"))
+    q = _asked(v).select("query_id", "vector", search.scoped_collections(F.lit(None).cast("string"), F.lit("combined"), F.lit("u"), "shared").alias("collections"))
     return search.concatenated(q, rows).select("query_id", "source_rank", "position", F.col("row_id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
@@ -90,9 +92,9 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embed_knn(spark: SparkSession, d: str) -> DataFrame:
-    docs = embedding.hashed_counts(table(spark, d, "documents"), "doc_id", "text")
-    q = embedding.hashed_counts(spark.createDataFrame([(0, QUERY_TEXT)], "k bigint, t string"), "k", "t").select("bucket", "n")
-    return embedding.nearest_texts(docs, q, search.K).select(F.col("key").alias("doc_id"), F.round("distance", 6).alias("distance"))
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("row_id"), F.lit(None).cast("string").alias("collection"), embedding.hashed_vector("text").alias("vector"))
+    q = spark.createDataFrame([(0, None, QUERY_TEXT)], "query_id bigint, collection string, t string").withColumn("vector", embedding.hashed_vector("t"))
+    return search.nearest(q, docs).select(F.col("row_id").alias("doc_id"), F.round("distance", 6).alias("distance"))
 
 
 def rerank_index_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +150,7 @@ def history_top50(spark: SparkSession, d: str) -> DataFrame:
 
 def activity_top100(spark: SparkSession, d: str) -> DataFrame:
     a = store.newest(table(spark, d, "audit_events"), F.col("username") == HOT_USER, "created_at", "id", 100)
-    return store.with_defaults(a, metadata=F.lit("{}")).select("id", "event_type", T.strip(F.coalesce(F.concat_ws(": ", "resource_type", "resource_id"), F.lit(""))).alias("resource"), "metadata", F.coalesce(F.unix_micros("created_at"), F.lit(-1)).alias("created_us"))
+    return store.with_defaults(a, metadata=F.lit("{}")).select("id", "event_type", T.shown_resource("resource_type", "resource_id").alias("resource"), "metadata", F.coalesce(F.unix_micros("created_at"), F.lit(-1)).alias("created_us"))
 
 
 def recent_queries_top5(spark: SparkSession, d: str) -> DataFrame:
@@ -158,8 +160,8 @@ def recent_queries_top5(spark: SparkSession, d: str) -> DataFrame:
 
 def files_by_scope(spark: SparkSession, d: str) -> DataFrame:
     f = store.newest(table(spark, d, "uploaded_files"), F.col("scope") == "shared", "uploaded_at", "id")
-    f = store.with_defaults(f, username=F.lit("admin"), size_bytes=F.lit(0).cast("bigint"))
-    return f.select("id", "filename", "username", "size_bytes", F.coalesce(F.unix_micros("uploaded_at"), F.lit(-1)).alias("uploaded_us"))
+    f = store.with_defaults(f, size_bytes=F.lit(0).cast("bigint"))
+    return f.select("id", "filename", T.or_default("username", F.lit("admin")).alias("username"), "size_bytes", F.coalesce(F.unix_micros("uploaded_at"), F.lit(-1)).alias("uploaded_us"))
 
 
 def user_point_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -223,18 +225,125 @@ def password_rules(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(WORDS)), "word_id int, word string").select("word_id", T.password_problem("word").alias("problem"))
 
 
-def lockout_fold(spark: SparkSession, d: str) -> DataFrame:
+def _attempts(spark: SparkSession, d: str) -> tuple:
     a = table(spark, d, "audit_events").where("event_type in ('LOGIN_FAIL', 'LOGIN_SUCCESS')")
-    s = lock_states(a, F.lower(T.strip("username")), "created_at", "id", F.col("event_type") == "LOGIN_FAIL", limit=3, lock_s=86400)
-    return s.withColumn("locked_until_us", F.coalesce("locked_until_us", F.lit(-1)))
+    return a, F.lower(T.strip("username")), "created_at", "id", F.col("event_type") == "LOGIN_FAIL"
 
 
-def ask_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set of questions, each asked in its scope, against all chunks."""
+def _states(spark: SparkSession, d: str, **rule: int) -> DataFrame:
+    s = lock_states(*_attempts(spark, d), users=table(spark, d, "users"), **rule)
+    return s.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("locked_until_us", "last_login_us")})
+
+
+def lockout_fold(spark: SparkSession, d: str) -> DataFrame:
+    """Five failures lock for 15 minutes; unknown users are left out."""
+    return _states(spark, d)
+
+
+def lockout_fold_day(spark: SparkSession, d: str) -> DataFrame:
+    """Three failures lock for a day, so that the tables hold many locked attempts."""
+    return _states(spark, d, limit=3, lock_s=86400)
+
+
+def lockout_events(spark: SparkSession, d: str) -> DataFrame:
+    """The LOGIN_LOCKED row of every attempt that meets a lock of a day."""
+    o = login_outcomes(*_attempts(spark, d), limit=3, lock_s=86400, users=table(spark, d, "users"))
+    return locked_events(o).select("id", "username", "event_type", "metadata")
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query set of questions, each asked in its scope."""
     q = table(spark, d, "query_history").where(F.col("id") % EVERY == 0).groupBy("id").agg(F.min(F.struct("question", "scope", "username")).alias("r"))
-    q = q.select(F.col("id").alias("query_id"), "r.question", "r.scope", "r.username", F.lit(None).cast("string").alias("collection"))
-    out = ask(q, index_chunks(table(spark, d, "chunk")))
-    return out.select("query_id", "route", "rewritten", "answer", "justification", "n_chunks", "is_weak", "success")
+    return q.select(F.col("id").alias("query_id"), "r.question", "r.scope", F.lower(T.strip("r.username")).alias("username"), F.lit(None).cast("string").alias("collection"))
+
+
+def _asked_rows(out: DataFrame) -> DataFrame:
+    m = F.col("metadata")
+    return out.select(
+        "query_id", "response", F.coalesce("justification", F.lit("")).alias("justification"), F.size("sources").alias("n_sources"), "route_taken", F.coalesce("rewritten_query", F.lit("")).alias("rewritten_query"), "success", "needs_web_scraping",
+        m["classified_route"].alias("classified_route"), F.round(F.coalesce(m["top_chunk_distance"], F.lit(-1.0)), 6).alias("top_chunk_distance"), m["n_chunks"].alias("n_chunks"), F.coalesce("error", F.lit("")).alias("error"),
+    )
+
+
+def ask_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """Every question of the set from route to parsed answer, against all chunks."""
+    return _asked_rows(ask(_questions(spark, d), index_chunks(table(spark, d, "chunk")), **COLLECTIONS))
+
+
+def ask_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The source previews of each answer, in order."""
+    out = ask(_questions(spark, d), index_chunks(table(spark, d, "chunk")), **COLLECTIONS)
+    s = out.select("query_id", F.posexplode("sources").alias("pos", "s"))
+    return s.select("query_id", "pos", F.coalesce("s.document", F.lit("")).alias("document"), F.coalesce("s.section", F.lit("")).alias("section"), F.col("s.text").alias("preview"))
+
+
+def ask_legacy(spark: SparkSession, d: str) -> DataFrame:
+    """The older dispatch: no route, scopes alone; an unknown scope is an error row."""
+    return _asked_rows(ask(_questions(spark, d), index_chunks(table(spark, d, "chunk")), legacy=True, **COLLECTIONS))
+
+
+def ask_web(spark: SparkSession, d: str) -> DataFrame:
+    """The stated set with the web route for questions whose nearest chunk is far."""
+    q = _questions(spark, d).withColumn("question", F.when(F.col("query_id") % 100 == 0, F.lit("zzz qqq")).otherwise(F.col("question")))
+    return _asked_rows(ask(q, index_chunks(table(spark, d, "chunk")), web=True, **COLLECTIONS))
+
+
+def prompts_filled(spark: SparkSession, d: str) -> DataFrame:
+    """Both prompts with the first five chunks of each document."""
+    x = _first_chunks(spark, d)
+    q = F.lit(QUERY_TEXT)
+    return x.select("document", F.md5(T.fill(RERANK_PROMPT, question=q, chunks=T.listing(F.col("cs"), 0, "Content"))).alias("rerank_md5"), F.md5(T.fill(ANSWER_PROMPT, question=q, chunks=T.listing(F.col("cs"), 1, "Text"))).alias("answer_md5"))
+
+
+def files_by_user(spark: SparkSession, d: str) -> DataFrame:
+    """A user's personal files, newest first."""
+    f = store.newest(table(spark, d, "uploaded_files"), (F.col("scope") == "personal") & (F.col("username") == HOT_USER), "uploaded_at", "id")
+    return f.select("id", "filename", F.coalesce("size_bytes", F.lit(0)).alias("size_bytes"), F.coalesce(F.unix_micros("uploaded_at"), F.lit(-1)).alias("uploaded_us"))
+
+
+def audit_append(spark: SparkSession, d: str) -> DataFrame:
+    """An upload event per file, appended behind the events that are there."""
+    old = table(spark, d, "audit_events")
+    f = table(spark, d, "uploaded_files").distinct().where("uploaded_at is not null")
+    new = f.select(
+        F.col("username"), F.lit("user").alias("role"), F.lit("UPLOAD").alias("event_type"), F.lit("file").alias("resource_type"), F.col("filename").alias("resource_id"),
+        F.when(F.col("size_bytes").isNotNull(), F.to_json(F.struct("size_bytes"))).alias("metadata"), F.col("uploaded_at").alias("created_at"), F.col("id").alias("n"),
+    )
+    out = store.append_rows(old, new, "id", "n", store.AUDIT_DEFAULTS)
+    return out.select("id", "username", "event_type", "resource_id", "metadata", F.coalesce(F.unix_micros("created_at"), F.lit(-1)).alias("created_us"))
+
+
+def history_append(spark: SparkSession, d: str) -> DataFrame:
+    """The questions of one user asked again, appended without answer and sources."""
+    old = table(spark, d, "query_history")
+    again = old.where((F.col("username") == HOT_USER) & F.col("created_at").isNotNull()).distinct()
+    new = again.select("username", "role", "scope", "question", F.col("created_at"), F.col("id").alias("n"))
+    out = store.append_rows(old, new, "id", "n", store.HISTORY_DEFAULTS)
+    return out.select("id", "username", "question", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce(F.size("sources"), F.lit(-1)).alias("n_sources"))
+
+
+def iso_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times as ISO texts, and read back from a text without a zone."""
+    e = table(spark, d, "audit_events").where("created_at is not null").select("id", F.unix_micros("created_at").alias("us")).distinct()
+    iso = T.iso_time("us")
+    return e.select("id", iso.alias("iso"), T.utc_micros(F.regexp_replace(iso, r"\+00:00$", "")).alias("us"))
+
+
+def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
+    """An event's metadata with its type and resource laid over it."""
+    a = table(spark, d, "audit_events").select("id", "event_type", "resource_type", "metadata").distinct()
+    own = F.map_filter(F.create_map(F.lit("scope"), store.json_field("metadata", "$.scope"), F.lit("event"), F.lit("unknown")), lambda k, v: v.isNotNull())
+    over = F.map_filter(F.create_map(F.lit("event"), F.col("event_type"), F.lit("resource"), F.col("resource_type")), lambda k, v: v.isNotNull())
+    m = T.merged(own, over)
+    return a.select("id", *(F.coalesce(m[k], F.lit("-")).alias(k) for k in ("scope", "event", "resource")), F.size(F.map_keys(m)).alias("n_keys")).distinct()
+
+
+def registered_users(spark: SparkSession, d: str) -> DataFrame:
+    """New names that are neither reserved nor taken are added with their defaults."""
+    users = table(spark, d, "users")
+    asked = table(spark, d, "query_history").select(F.concat(F.lit("new."), F.lower(T.strip("username"))).alias("username")).distinct().unionByName(spark.createDataFrame([("Admin",), ("admin",), (HOT_USER,)], "username string"))
+    out = store.register(users, asked, reserved=["admin"])
+    return out.select("username", "role", F.coalesce("failed_attempts", F.lit(-1)).alias("failed_attempts"))
 
 
 QUERIES = {
@@ -243,7 +352,7 @@ QUERIES = {
         knn_cosine_top15, knn_per_query, weak_match_flag, combined_scope_concat, weighted_rerank, heading_lines, paragraphs, token_windows, chunk_ids,
         hash_embed_knn, rerank_index_parse, rerank_index_strict, answer_parse, answer_display, source_preview, prompt_listing, context_strings, history_top50, activity_top100, recent_queries_top5, files_by_scope,
         user_point_lookup, exists_check, upsert_overlay, insert_absent, replace_latest_personal, delete_matching, json_metadata, route_normalise,
-        question_routes, glossary_rewrite, password_rules, lockout_fold, ask_pipeline,
+        question_routes, glossary_rewrite, password_rules, lockout_fold, lockout_fold_day, lockout_events, ask_pipeline, ask_sources, ask_legacy, ask_web, prompts_filled, files_by_user, audit_append, history_append, iso_times, metadata_merge, registered_users,
     )
 }
 
@@ -290,6 +399,72 @@ def _values(xs: list[str]) -> str:
     return ", ".join(f"({k}, '" + x.replace("'", "''") + "')" for k, x in enumerate(xs))
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_FIRST_CHUNKS = """c as (select distinct chunk_id, metadata.document_name as document, metadata.section_heading as section, text from chunk where chunk_id is not null and text is not null and metadata.document_name is not null),
+        t as (select *, row_number() over (partition by document order by length(chunk_id), chunk_id) as rk from c qualify rk <= 5)"""
+
+
+def _lock_sql(limit: int, lock_s: int) -> str:
+    """Every attempt of known users folded one after the other: ``s`` with the state behind attempt ``rn``."""
+    return f"""with recursive a as (select distinct id, lower({_strip('username')}) as u, epoch_us(created_at) as us, event_type = 'LOGIN_FAIL' as f from audit_events
+          where event_type in ('LOGIN_FAIL', 'LOGIN_SUCCESS') and username is not null and created_at is not null and id is not null and lower({_strip('username')}) in (select username from users)),
+        o as (select *, row_number() over (partition by u order by us, id) as rn, count(*) over (partition by u) as n from a),
+        s as (select u, 0::bigint as rn, 0::bigint as id, 0::bigint as failed, null::bigint as lock, 0::bigint as locked, 0::bigint as locks, false as met, -1::bigint as login from (select distinct u from o)
+          union all select s.u, o.rn, o.id, case when lock > us then failed when not f then 0 when failed + 1 >= {limit} then 0 else failed + 1 end,
+            case when lock > us then lock when not f then null when failed + 1 >= {limit} then us + {lock_s * 1_000_000} else null end,
+            locked + case when lock > us then 1 else 0 end, locks + case when not coalesce(lock > us, false) and f and failed + 1 >= {limit} then 1 else 0 end,
+            coalesce(lock > us, false), case when not f and not coalesce(lock > us, false) then us else login end
+          from s join o on o.u = s.u and o.rn = s.rn + 1)"""
+
+
+_STATE_SQL = """ select s.u as username, failed as failed_attempts, coalesce(lock, -1) as locked_until_us, n as n_attempts, locked as n_while_locked, locks as n_locks, login as last_login_us from s join o on o.u = s.u and o.rn = s.rn where s.rn = n"""
+
+
+def _hashed_sql(x: str) -> str:
+    """Counts by bucket of the tokens of a text, as the stand-in of an embedding."""
+    return f"list_transform(range(64), lambda b: len(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 1, 8))::bigint % 64 = b))::double)"
+
+
+def _ask_sql(legacy: bool = False, web: bool = False) -> str:
+    """Route, rewriting, search per collection, weighted re-ranking and the first five chunks as tables."""
+    term = "question"
+    for k, v in T.GLOSSARY.items():
+        term = f"replace({term}, {_quoted(k)}, {_quoted(v)})"
+    question = "case when id % 100 = 0 then 'zzz qqq' else question end" if web else "question"
+    direct = "false" if legacy else f"coalesce(regexp_matches(lower({_strip('question')}), '{T.DIRECT_PATTERN}'), false)"
+    own = "'user_' || coalesce(username, 'None')" if legacy else "'user_' || username"
+    known = "true" if legacy else "coalesce(username, '') <> ''"
+    other = "[]" if legacy else "['policy_shared']"
+    cos = "list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0}) * list_dot_product({1}, {1}))"
+    safe = lambda a, b: f"case when list_dot_product({a}, {a}) * list_dot_product({b}, {b}) > 0 then {cos.format(a, b)} else 0 end"
+    return f"""with q0 as (select id as query_id, {question} as question, scope, username from (select id, min(row(question, scope, username)) as r, r[1] as question, r[2] as scope, lower({_strip('r[3]')}) as username from query_history where id % {EVERY} = 0 group by id)),
+        q1 as (select *, {direct} as direct, {_strip(term)} as w from q0),
+        q as (select *, case when coalesce(w, '') in ('', '0', 'false', '[]', '{{}}') then question else w end as rewritten,
+          case when scope = 'shared' then ['policy_shared'] when scope = 'personal' and {known} then [{own}] when scope = 'combined' and {known} then ['policy_shared', {own}] else {other} end as cols from q1),
+        qv as (select query_id, {_hashed_sql('rewritten')} as v, unnest(cols) as collection, unnest(range(len(cols))) as sr from q where not direct and rewritten is not null),
+        c0 as (select chunk_id, collection, min(row(text, metadata.document_name, metadata.section_heading)) as r from chunk where chunk_id is not null and text is not null group by all),
+        c as (select ('0x' || substr(md5(chunk_id || '|' || coalesce(collection, '')), 1, 15))::bigint as row_id, collection, r[1] as text, r[2] as document, r[3] as section, {_hashed_sql('r[1]')} as tv, {_hashed_sql("coalesce(r[3], '')")} as hv from c0),
+        d as (select query_id, sr, row_id, text, document, section, v, tv, hv, round(1 - {cos.format('v', 'tv')}, 12) as dist from qv join c using (collection) where list_dot_product(v, v) > 0 and list_dot_product(tv, tv) > 0),
+        n as (select *, row_number() over (partition by query_id, sr order by dist, row_id) as rk from d qualify rk <= 15),
+        f as (select *, row_number() over (partition by query_id order by sr, rk) - 1 as position, 0.7 * ({safe('v', 'tv')}) + 0.3 * ({safe('v', 'hv')}) as score from n),
+        w as (select *, row_number() over (partition by query_id order by round(score, 9) desc, position) as pos from f),
+        top5 as (select * from w where pos <= 5),
+        one as (select query_id, min(dist) filter (where position = 0) as first, arg_min(text, pos) as text, arg_min(coalesce(section, 'General'), pos) as section, least(count(*), 5)::int as n from w group by query_id),
+        reply as (select query_id, first, n, string_split('Answer: ' || text || ' Justification: Referenced from Section: ' || section, 'Justification:') as p from one),
+        told as (select query_id, first, n, {_strip("replace(p[1], 'Answer:', '')")} as answer, case when len(string_split(p[2], 'Referenced from Section:')) > 1 then 'Referenced from Section: ' || {_strip("string_split(p[2], 'Referenced from Section:')[2]")} else {_strip('p[2]')} end as justification from reply),
+        asked as (select q.query_id, direct, rewritten, n, first, answer, justification, coalesce(first > 1.2, false) as far, {'scope is null or scope not in (' + "'shared', 'personal', 'combined')" if legacy else 'false'} as bad, scope, {'true' if web else 'false'} as web from q left join told using (query_id))"""
+
+
+_ASKED = f""" select query_id, case when bad then null when direct then {_quoted(DIRECT_REPLY)} when n is null then {_quoted(NO_MATCH)} when web and far then {_quoted(WEB_REPLY)} else answer end as response,
+        case when web and far then '' else coalesce(justification, '') end as justification, case when web and far then 0 else coalesce(n, 0) end::int as n_sources,
+        case when bad then 'error' when direct then 'direct_llm' when web and far then 'web_scraping' else 'rag' end as route_taken, case when bad or direct then '' else coalesce(rewritten, '') end as rewritten_query,
+        not bad and not (web and far) as success, far as needs_web_scraping, case when direct then 'direct' else 'rag' end as classified_route, round(coalesce(first, -1.0), 6) as top_chunk_distance, coalesce(n, 0)::int as n_chunks,
+        case when bad then 'Unknown scope: ' || coalesce(scope, 'None') else '' end as error from asked"""
+
+
 _TOP = "qualify row_number() over (partition by q.vec_id order by {d}, r.vec_id) <= 15"
 _NEWEST = "order by created_at desc nulls first, id desc"
 
@@ -344,10 +519,10 @@ ORACLE = {
         select id, case when answer is null or answer = '' then 'No answer returned.' else answer end as answer,
           case when l is null and j = '' then 'No justification returned.' when l is null then j when j = '' then l else j || chr(10) || chr(10) || l end as justification from s""",
     "history_top50": f"select id, question, answer, coalesce(len(sources), 0)::int as n_sources, coalesce(epoch_us(created_at), -1) as created_us from (select * from query_history where username = '{HOT_USER}' {_NEWEST} limit 50)",
-    "activity_top100": f"""select id, event_type, {_strip("concat_ws(': ', resource_type, resource_id)")} as resource, coalesce(metadata, '{{}}') as metadata, coalesce(epoch_us(created_at), -1) as created_us
+    "activity_top100": f"""select id, event_type, case when coalesce(resource_type, '') = '' then '—' else resource_type || ': ' || coalesce(resource_id, 'None') end as resource, coalesce(metadata, '{{}}') as metadata, coalesce(epoch_us(created_at), -1) as created_us
         from (select * from audit_events where username = '{HOT_USER}' {_NEWEST} limit 100)""",
     "recent_queries_top5": f"select id, resource_id, coalesce(epoch_us(created_at), -1) as created_us from (select * from audit_events where username = '{HOT_USER}' and event_type = 'QUERY' {_NEWEST} limit 5)",
-    "files_by_scope": "select id, filename, coalesce(username, 'admin') as username, coalesce(size_bytes, 0) as size_bytes, coalesce(epoch_us(uploaded_at), -1) as uploaded_us from uploaded_files where scope = 'shared'",
+    "files_by_scope": "select id, filename, case when coalesce(username, '') = '' then 'admin' else username end as username, coalesce(size_bytes, 0) as size_bytes, coalesce(epoch_us(uploaded_at), -1) as uploaded_us from uploaded_files where scope = 'shared'",
     "user_point_lookup": f"select username, role, failed_attempts, coalesce(epoch_us(locked_until), -1) as locked_us, coalesce(epoch_us(created_at), -1) as created_us from users where username = '{HOT_USER}'",
     "exists_check": f"select username from users u where exists (select 1 from query_history q where lower({_strip('q.username')}) = u.username)",
     "upsert_overlay": """select username, case when length(username) % 10 = 0 then 'admin' else role end as role, coalesce(failed_attempts, -1) as failed_attempts, coalesce(epoch_us(created_at), -1) as created_us from users
@@ -367,13 +542,29 @@ ORACLE = {
         from (select distinct id, question from query_history where question is not null)""",
     "password_rules": rf"""select word_id, case when length(word) < 12 then 'length' when not regexp_matches(word, '\p{{Ll}}') then 'lowercase' when not regexp_matches(word, '\p{{Lu}}') then 'uppercase'
         when not regexp_matches(word, '\p{{Nd}}') then 'digit' else '' end as problem from (values {_values(WORDS)}) w(word_id, word)""",
-    "lockout_fold": f"""with recursive a as (select distinct id, lower({_strip('username')}) as u, epoch_us(created_at) as us, event_type = 'LOGIN_FAIL' as f from audit_events
-          where event_type in ('LOGIN_FAIL', 'LOGIN_SUCCESS') and username is not null and created_at is not null and id is not null),
-        o as (select *, row_number() over (partition by u order by us, id) as rn, count(*) over (partition by u) as n from a),
-        s as (select u, 0::bigint as rn, 0::bigint as failed, null::bigint as lock, 0::bigint as locked, 0::bigint as locks from (select distinct u from o)
-          union all select s.u, o.rn, case when lock > us then failed when not f then 0 when failed + 1 >= 3 then 0 else failed + 1 end,
-            case when lock > us then lock when not f then null when failed + 1 >= 3 then us + 86400000000 else null end,
-            locked + case when lock > us then 1 else 0 end, locks + case when not coalesce(lock > us, false) and f and failed + 1 >= 3 then 1 else 0 end
-          from s join o on o.u = s.u and o.rn = s.rn + 1)
-        select s.u as username, failed as failed_attempts, coalesce(lock, -1) as locked_until_us, n as n_attempts, locked as n_while_locked, locks as n_locks from s join o on o.u = s.u and o.rn = s.rn where s.rn = n""",
+    "lockout_fold": _lock_sql(5, 900) + _STATE_SQL,
+    "lockout_fold_day": _lock_sql(3, 86400) + _STATE_SQL,
+    "lockout_events": _lock_sql(3, 86400) + """ select id, u as username, 'LOGIN_LOCKED' as event_type, '{"locked_until": "' || strftime(make_timestamp(lock), '%Y-%m-%dT%H:%M:%S')
+        || case when lock % 1000000 <> 0 then '.' || lpad((lock % 1000000)::varchar, 6, '0') else '' end || '+00:00"}' as metadata from s where met""",
+    "ask_pipeline": _ask_sql() + _ASKED,
+    "ask_sources": _ask_sql() + """ select query_id, (pos - 1)::int as pos, coalesce(document, '') as document, coalesce(section, '') as section, substr(text, 1, 200) || '...' as preview from top5""",
+    "ask_legacy": _ask_sql(legacy=True) + _ASKED,
+    "ask_web": _ask_sql(web=True) + _ASKED,
+    "prompts_filled": f"""with {_FIRST_CHUNKS},
+        l as (select document, string_agg(chr(10) || 'Chunk ' || (rk - 1) || ':' || chr(10) || 'Section: ' || coalesce(section, 'None') || chr(10) || 'Content: ' || text || chr(10) || repeat('-', 80) || chr(10), '' order by rk) as r,
+          string_agg(chr(10) || 'Chunk ' || rk || ':' || chr(10) || 'Section: ' || coalesce(section, 'None') || chr(10) || 'Text: ' || text || chr(10) || repeat('-', 80) || chr(10), '' order by rk) as a from t group by document)
+        select document, md5(replace(replace({_quoted(RERANK_PROMPT)}, '{{chunks}}', r), '{{question}}', {_quoted(QUERY_TEXT)})) as rerank_md5, md5(replace(replace({_quoted(ANSWER_PROMPT)}, '{{chunks}}', a), '{{question}}', {_quoted(QUERY_TEXT)})) as answer_md5 from l""",
+    "files_by_user": f"select id, filename, coalesce(size_bytes, 0) as size_bytes, coalesce(epoch_us(uploaded_at), -1) as uploaded_us from uploaded_files where scope = 'personal' and username = '{HOT_USER}'",
+    "audit_append": """with f as (select distinct * from uploaded_files where uploaded_at is not null), m as (select max(id) as m from audit_events)
+        select id, username, event_type, resource_id, metadata, coalesce(epoch_us(created_at), -1) as created_us from audit_events union all
+        select m + row_number() over (order by uploaded_at, id), username, 'UPLOAD', filename, case when size_bytes is null then '{}' else '{"size_bytes":' || size_bytes || '}' end, epoch_us(uploaded_at) from f, m""",
+    "history_append": f"""with f as (select distinct * from query_history where username = '{HOT_USER}' and created_at is not null), m as (select max(id) as m from query_history)
+        select id, username, question, coalesce(answer, '') as answer, coalesce(len(sources), -1)::int as n_sources from query_history union all
+        select m + row_number() over (order by created_at, id), username, question, '', 0 from f, m""",
+    "iso_times": """select distinct id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(created_at) % 1000000 <> 0 then '.' || lpad((epoch_us(created_at) % 1000000)::varchar, 6, '0') else '' end || '+00:00' as iso, epoch_us(created_at) as us
+        from audit_events where created_at is not null""",
+    "metadata_merge": """with a as (select distinct id, event_type, resource_type, case when json_valid(metadata) then metadata ->> '$.scope' end as scope from audit_events)
+        select distinct id, coalesce(scope, '-') as scope, coalesce(event_type, 'unknown') as event, coalesce(resource_type, '-') as resource, ((scope is not null)::int + 1 + (resource_type is not null)::int)::int as n_keys from a""",
+    "registered_users": f"""select username, role, coalesce(failed_attempts, -1) as failed_attempts from users union all select 'Admin', 'user', 0 union all
+        select distinct 'new.' || lower({_strip('username')}), 'user', 0 from query_history where username is not null and 'new.' || lower({_strip('username')}) not in (select username from users)""",
 }

@@ -14,9 +14,11 @@ from collections.abc import Callable
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorikeet.operators.chunking import chunks as chunked
+
 _NS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -78,6 +80,68 @@ def with_text(files: DataFrame, pdf_text: Callable[[bytes], str] | None = None)
     return out.select("doc_name", "path", "kind", "x.text", "x.error")
 
 
+def list_pdfs(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_name`` of a folder's PDFs, sorted; no content is read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder).select(file_name("path").alias("doc_name")).orderBy("doc_name")
+
+
+def stored_file(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The one file of a folder by its name; no rows if it is missing or lies outside."""
+    path = safe_path(base, name)
+    if path is None or not _exists(spark, path):
+        return spark.createDataFrame([], "doc_name string, path string, content binary")
+    return spark.read.format("binaryFile").load(path).select(file_name("path").alias("doc_name"), "path", "content")
+
+
+def converted_tree(spark: SparkSession, folder: str, pdf_text: Callable[[bytes], str] | None = None) -> DataFrame:
+    """``out_path, text`` of every file of a tree that has a text; ``out_path`` keeps its place
+    below the folder, with the suffix ``.txt``."""
+    root = _path(spark, folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root) or not fs.getFileStatus(root).isDirectory():
+        raise FileNotFoundError(f"no folder: {folder}")
+    base = fs.resolvePath(root).toUri().getPath().rstrip("/") + "/"
+    files = with_text(scan_folder(spark, folder, "*", recursive=True), pdf_text).where("text is not null")
+    below = F.substring_index(F.col("path"), base, -1)
+    return files.select(F.concat(F.regexp_replace(below, r"\.[^./]*$", ""), F.lit(".txt")).alias("out_path"), "text")
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = _path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def _drop(spark: SparkSession, path: str) -> bool:
+    p = _path(spark, path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def delete_stored(spark: SparkSession, base: str, name: str) -> bool:
+    """Delete one file of a folder; False if it is missing or lies outside.
+
+    Its row and its audit event are mutations of the tables (``operators.store``), and
+    its chunks stay in their collection.
+    """
+    path = safe_path(base, name)
+    return bool(path) and _exists(spark, path) and _drop(spark, path)
+
+
+def clear_folder(spark: SparkSession, folder: str) -> int:
+    """Delete the files of a folder, not its subfolders, and return their number."""
+    root = _path(spark, folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [s.getPath() for s in fs.listStatus(root) if s.isFile()] if fs.exists(root) else []
+    return sum(1 for f in files if fs.delete(f, False))
+
+
+#: Distance of a new collection.
+METRIC = "cosine"
+
+
 def collection_table(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Chunks of the named collections of a table partitioned by ``collection``.
 
@@ -86,16 +150,62 @@ def collection_table(spark: SparkSession, path: str, names: list[str]) -> DataFr
     return spark.read.parquet(path).where(F.col("collection").isin(names))
 
 
-def append_chunks(chunks: DataFrame, path: str) -> None:
-    """Append to the collection table; ids already there are ignored, the first stays."""
+def open_or_create(spark: SparkSession, path: str, name: str, metric: str = METRIC) -> dict[str, str]:
+    """Name and metric of a collection; a new one is noted beside the table, an old one keeps its metric."""
+    known = collections(spark, path)
+    if name not in known:
+        spark.createDataFrame([(name, metric)], "name string, metric string").coalesce(1).write.mode("append").parquet(f"{path}/_collections")
+        known[name] = metric
+    return {"name": name, "metric": known[name]}
+
+
+def collections(spark: SparkSession, path: str) -> dict[str, str]:
+    """Metric by name of all collections; those that only hold chunks have the usual one."""
+    out = {}
+    if _exists(spark, path):
+        root = _path(spark, path)
+        parts = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+        out = {n.removeprefix("collection="): METRIC for s in parts if (n := s.getPath().getName()).startswith("collection=")}
+    if _exists(spark, f"{path}/_collections"):
+        out |= {r.name: r.metric for r in spark.read.parquet(f"{path}/_collections").collect()}  # one row per collection
+    return out
+
+
+def drop_collection(spark: SparkSession, path: str, name: str) -> bool:
+    """Delete a collection's chunks and its note; False if there is none."""
+    known = collections(spark, path)
+    if name not in known:
+        return False
+    _drop(spark, f"{path}/collection={name}")
+    rest = [(n, m) for n, m in known.items() if n != name]
+    _drop(spark, f"{path}/_collections")
+    if rest:
+        spark.createDataFrame(rest, "name string, metric string").coalesce(1).write.parquet(f"{path}/_collections")
+    return True
+
+
+def append_chunks(chunks: DataFrame, path: str, embed: Callable[[Column], Column] | None = None) -> None:
+    """Append to the collection table; ids already there are ignored, the first stays.
+
+    With ``embed`` the new chunks, and only these, get a ``vector``, in Arrow batches.
+    """
     spark = chunks.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    if _exists(spark, path) and any(s.getPath().getName().startswith("collection=") for s in _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(_path(spark, path))):
         old = spark.read.parquet(path).select("collection", "chunk_id")
         chunks = chunks.join(old, ["collection", "chunk_id"], "left_anti")
+    if embed is not None:
+        chunks = chunks.withColumn("vector", embed(F.col("text")))
     chunks.write.mode("append").partitionBy("collection").parquet(path)
 
 
+def ingest_folder(spark: SparkSession, folder: str, path: str, collection: str, embed: Callable[[Column], Column], pdf_text: Callable[[bytes], str] | None = None) -> None:
+    """A folder's documents read, chunked, embedded and appended to a collection."""
+    texts = with_text(scan_folder(spark, folder, "*"), pdf_text).where("text is not null")
+    made = chunked(texts, "path", "doc_name", "text").select("chunk_id", "text", "metadata", F.lit(collection).alias("collection"))
+    open_or_create(spark, path, collection)
+    append_chunks(made.dropDuplicates(["collection", "chunk_id"]), path, embed)
+
+
 def write_chunk_json(chunks: DataFrame, path: str) -> None:
     """Chunks as JSON lines, one object per chunk with its nested metadata."""
     chunks.select("chunk_id", "text", "metadata").write.mode("errorifexists").json(path)

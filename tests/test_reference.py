@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import random
 
@@ -94,7 +95,7 @@ def test_nearest_against_brute_force(spark):
 
 
 def test_scopes(spark):
-    cases = [("x", "personal", "u", ["x"]), (None, "shared", "u", ["shared"]), (None, "personal", "u", ["user_u_documents"]), (None, "personal", None, ["shared"]), (None, "combined", "u", ["shared", "user_u_documents"]), (None, "combined", "", ["shared"]), (None, "odd", "u", ["shared"])]
+    cases = [("x", "personal", "u", ["x"]), (None, "shared", "u", ["policy_documents"]), (None, "personal", "u", ["user_u_documents"]), (None, "personal", None, ["policy_documents"]), (None, "combined", "u", ["policy_documents", "user_u_documents"]), (None, "combined", "", ["policy_documents"]), (None, "odd", "u", ["policy_documents"])]
     df = spark.createDataFrame([c[:3] + (i,) for i, c in enumerate(cases)], "c string, s string, u string, i int")
     assert {r.i: r.x for r in df.select("i", search.scoped_collections(F.col("c"), F.col("s"), F.col("u")).alias("x")).collect()} == {i: c[3] for i, c in enumerate(cases)}
 
@@ -131,6 +132,54 @@ def test_lockout_against_loop(spark):
     assert lock_states(df.limit(0), "u", "t", "i", "f").count() == 0
 
 
+@pytest.mark.parametrize("limit,lock,span", [(3, 600, 40_000), (5, 900, 9_000), (1, 50, 900), (4, 10_000, 40_000)])
+def test_one_user_over_many_tasks(spark, limit, lock, span):
+    """A user under attack, with hardly any success, is spread over all tasks and folded exactly."""
+    rnd = random.Random(limit)
+    rows = [("hot" if k % 20 else f"u{k % 7}", k, T0 + dt.timedelta(seconds=rnd.randrange(span)), rnd.random() < 0.98) for k in range(1200)]
+    df = spark.createDataFrame(rows, "u string, i long, t timestamp, f boolean").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        got = {r.username: (r.failed_attempts, r.locked_until_us is not None, r.n_attempts, r.n_while_locked, r.n_locks) for r in lock_states(df, "u", "t", "i", "f", limit, lock).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == fold(rows, limit, lock)
+
+
+def test_transition_is_the_step_for_every_entry_state():
+    from lorikeet.operators.lockout import _FREE, step, transition
+
+    rnd = random.Random(3)
+    for limit in (1, 2, 5):
+        for _ in range(40):
+            us = sorted(rnd.randrange(100) for _ in range(rnd.randrange(1, 30)))
+            fail = [rnd.random() < 0.8 for _ in us]
+            starts, sf, su, ef, eu = transition(us, fail, limit, 12)
+            for failed, until in [(f, _FREE) for f in range(limit)] + [(0, u) for u in range(us[0] + 1, us[0] + 12)]:
+                f, u = failed, until
+                for t, x in zip(us, fail):
+                    f, u, _ = step(f, u, t, x, limit, 12)
+                if until == _FREE:
+                    got = ef[failed], eu[failed]
+                else:
+                    k = bisect.bisect_left(starts, until)
+                    got = (sf[k], su[k]) if k < len(us) else (failed, until)
+                assert got == (f, u), (us, fail, failed, until)
+
+
+def test_unknown_users_and_locked_events(spark):
+    from lorikeet.operators.lockout import locked_events, login_outcomes
+
+    rows = [("a", k, T0 + dt.timedelta(minutes=k), True) for k in range(7)] + [("ghost", 9, T0, True)]
+    df = spark.createDataFrame(rows, "u string, i long, t timestamp, f boolean")
+    users = spark.createDataFrame([("a",), ("b",)], "username string")
+    o = login_outcomes(df, "u", "t", "i", "f", users=users)
+    assert {r.username for r in o.collect()} == {"a"}
+    got = locked_events(o).orderBy("id").collect()
+    until = (T0 + dt.timedelta(minutes=19)).isoformat()
+    assert [(r.id, r.event_type) for r in got] == [(5, "LOGIN_LOCKED"), (6, "LOGIN_LOCKED")] and got[0].metadata.startswith('{"locked_until": "' + until[:19])
+
+
 def test_lockout_borders(spark):
     def run(seq):
         df = spark.createDataFrame([("a", i, T0 + dt.timedelta(minutes=m), f) for i, (m, f) in enumerate(seq)], "u string, i long, t timestamp, f boolean")
@@ -189,6 +238,109 @@ def test_json_sink_and_paths(spark, tmp_path):
     assert safe_path(str(tmp_path), "a.pdf") and safe_path(str(tmp_path), "../a.pdf") is None and safe_path(str(tmp_path), "/etc/passwd") is None
 
 
+def test_collections_and_stored_files(spark, tmp_path):
+    from lorikeet.operators.embedding import hashed_vector
+    from lorikeet.sources import files as S
+
+    docs = tmp_path / "in" / "sub"
+    docs.mkdir(parents=True)
+    for n in ("b.pdf", "a.pdf", "c.txt"):
+        (tmp_path / "in" / n).write_bytes(b"A body line that ends here.")
+    (docs / "d.pdf").write_bytes(b"Another body line.")
+    base, read = str(tmp_path / "in"), lambda b: b.decode()
+    assert [r.doc_name for r in S.list_pdfs(spark, base).collect()] == ["a.pdf", "b.pdf"]
+    assert S.stored_file(spark, base, "a.pdf").first().content == b"A body line that ends here."
+    assert S.stored_file(spark, base, "../x.pdf").count() == 0 and S.stored_file(spark, base, "none.pdf").count() == 0
+    assert {r.out_path: r.text for r in S.converted_tree(spark, base, read).collect()} == {"a.txt": "A body line that ends here.", "b.txt": "A body line that ends here.", "sub/d.txt": "Another body line."}
+    with pytest.raises(FileNotFoundError):
+        S.converted_tree(spark, base + "x")
+    path = str(tmp_path / "table")
+    assert S.open_or_create(spark, path, "empty", "l2") == {"name": "empty", "metric": "l2"} and S.open_or_create(spark, path, "empty")["metric"] == "l2"
+    for _ in range(2):
+        S.ingest_folder(spark, base, path, "shared", hashed_vector, read)
+    rows = S.collection_table(spark, path, ["shared"]).collect()
+    assert sorted(r.chunk_id for r in rows) == ["a.pdf_0", "b.pdf_0"] and all(len(r.vector) == 64 for r in rows)
+    assert S.collections(spark, path) == {"empty": "l2", "shared": "cosine"}
+    assert S.drop_collection(spark, path, "empty") and not S.drop_collection(spark, path, "empty") and S.collections(spark, path) == {"shared": "cosine"}
+    assert S.delete_stored(spark, base, "a.pdf") and not S.delete_stored(spark, base, "a.pdf") and not S.delete_stored(spark, base, "../table")
+    assert S.clear_folder(spark, base) == 2 and (docs / "d.pdf").exists()
+
+
+def test_file_drops(spark, tmp_path):
+    from lorikeet.sources.files import collection_table
+    from lorikeet.streaming.ingest import ingest, upload_stream
+
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    out = str(tmp_path / "chunks")
+    for k in range(2):
+        (drop / f"d{k}.pdf").write_bytes(b"A body line that ends here.")
+        ingest(upload_stream(spark, str(drop), "user_u_documents", lambda b: b.decode()), out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r.chunk_id for r in collection_table(spark, out, ["user_u_documents"]).collect()) == ["d0.pdf_0", "d1.pdf_0"]
+
+
+def test_settings(spark):
+    from lorikeet.config import Settings
+
+    s = Settings.read({"LORIKEET_TOP": "7", "LORIKEET_WEB_ROUTE": "yes", "LORIKEET_WEAK_DISTANCE": "0.9"})
+    assert (s.top, s.web_route, s.weak_distance, s.final) == (7, True, 0.9, 5)
+    spark.conf.set("spark.lorikeet.top", "9")
+    assert Settings.read({"LORIKEET_TOP": "7"}, spark).top == 9
+    spark.conf.unset("spark.lorikeet.top")
+
+
+def test_other_tokens(spark):
+    from lorikeet.operators.chunking import Tokens, token_windows
+
+    letters = Tokens(lambda t: F.split(t, ""), lambda t: F.array_join(t, ""))
+    df = spark.createDataFrame([("abcdefghij",), ("abc",), (None,)], "x string").withColumn("k", F.lit(1))
+    got = sorted((r.start, r.n_tokens, r.text) for r in token_windows(df, ["k"], "x", 4, 0.25, letters).collect())
+    assert got == [(0, 3, "abc"), (0, 4, "abcd"), (3, 4, "defg"), (6, 4, "ghij"), (9, 1, "j")]
+
+
+def test_text_helpers(spark):
+    rows = [(0, None, "2024-01-02T03:04:05"), (1_700_000_000_000_001, "", "2024-01-02T03:04:05.5+02:00"), (-1, "x", "broken")]
+    df = spark.createDataFrame(rows, "us long, t string, iso string")
+    got = df.select(T.iso_time("us").alias("i"), T.or_default("t", F.lit("d")).alias("d"), T.utc_micros("iso").alias("u"), T.fill("a {x} b {y}", x=F.col("t"), y=F.col("us")).alias("f")).collect()
+    assert [r.i for r in got] == ["1970-01-01T00:00:00+00:00", "2023-11-14T22:13:20.000001+00:00", "1969-12-31T23:59:59.999999+00:00"]
+    assert [r.d for r in got] == ["d", "d", "x"] and [r.u for r in got] == [1704164645000000, 1704157445500000, None] and got[2].f == "a x b -1"
+    m = df.limit(1).select(T.merged(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")), F.lit(None).cast("map<string,string>")).alias("m")).first().m
+    assert m == {"a": "1", "b": "3"}
+
+
+def test_appends_and_schemas(spark):
+    old = store.empty_table(spark, "audit_events")
+    assert store.missing_values(old, "audit_events").count() == 0
+    new = spark.createDataFrame([("u", "QUERY", T0 - dt.timedelta(seconds=k), k) for k in range(40)], "username string, event_type string, created_at timestamp, n int")
+    one = store.append_rows(old, new, "id", "n", store.AUDIT_DEFAULTS)
+    got = one.orderBy("id").collect()
+    assert [r.id for r in got] == list(range(1, 41)) and [r.created_at for r in got] == sorted(r.created_at for r in got) and {r.metadata for r in got} == {"{}"}
+    assert one.schema == old.schema and store.append_rows(one, new.limit(0), "id", "n", {}).count() == 40
+    bad = one.withColumn("event_type", F.when(F.col("id") > 1, F.col("event_type")))
+    assert store.missing_values(bad, "audit_events").count() == 1
+    users = spark.createDataFrame([("a", "user")], "username string, role string").withColumn("failed_attempts", F.lit(2))
+    names = spark.createDataFrame([("a",), ("root",), ("b",), ("b",), (None,)], "username string")
+    assert {tuple(r) for r in store.register(users, names, ["root"]).collect()} == {("a", "user", 2), ("b", "user", 0)}
+
+
+def test_shared_folder_must_be_named_off_local_masters(monkeypatch):
+    from lorikeet import session
+
+    class Held:
+        def isEmpty(self):
+            return True
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = property(lambda self: self)
+        sc = lambda self: self
+        getCheckpointDir = lambda self: Held()
+        getConf = lambda self: {}
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(type("S", (), {"sparkContext": Context()})())
+
+
 def test_streaming_ingest(spark, tmp_path):
     from lorikeet.sources.files import collection_table
     from lorikeet.streaming.ingest import document_stream, ingest
@@ -203,18 +355,47 @@ def test_streaming_ingest(spark, tmp_path):
 
 
 def test_ask(spark):
-    from lorikeet.plans.ask import NO_MATCH, Models, ask, index_chunks
+    from lorikeet.plans.ask import NO_ANSWER, NO_MATCH, NO_REPLY, WEB_REPLY, Models, ask, index_chunks
 
     chunk = spark.createDataFrame(
-        [("p_0", "waiting period for cataract surgery is two years", ("p", "Waiting"), "shared"), ("p_1", "claims need an invoice", ("p", "Claims"), "shared"), ("u_0", "my own cataract policy", ("u", None), "user_u_documents"), (None, "x", None, "shared"), ("n", None, None, "shared")],
+        [("p_0", "waiting period for cataract surgery is two years", ("p", "Waiting"), "policy_documents"), ("p_1", "claims need an invoice", ("p", "Claims"), "policy_documents"), ("u_0", "my own cataract policy", ("u", None), "user_u_documents"), (None, "x", None, "policy_documents"), ("n", None, None, "policy_documents")],
         "chunk_id string, text string, metadata struct<document_name:string,section_heading:string>, collection string",
     )
-    q = spark.createDataFrame([(1, "time before coverage starts for cataract surgery", "shared", "u", None), (2, "hello there", "shared", "u", None), (3, "cataract", "combined", "u", None), (4, "anything", "shared", "u", "missing")], "query_id long, question string, scope string, username string, collection string")
-    r = {x.query_id: x for x in ask(q, index_chunks(chunk)).collect()}
-    assert r[1].rewritten == "waiting period for cataract surgery" and r[1].answer.startswith("waiting period") and r[1].justification == "Referenced from Section: Waiting" and r[1].n_chunks == 2
-    assert r[2].route == "direct" and r[3].n_chunks == 3 and r[4].answer == NO_MATCH and r[4].success
-    picky = Models(rerank=lambda question, listing: F.lit("1"))
-    assert {x.query_id: x.n_chunks for x in ask(q, index_chunks(chunk), picky).collect()}[1] == 1
+    q = spark.createDataFrame([(1, "time before coverage starts for cataract surgery", "shared", "u", None), (2, "hello there", "shared", "u", None), (3, "cataract", "combined", "u", None), (4, "anything", "odd", "u", "missing"), (5, None, "shared", None, None)], "query_id long, question string, scope string, username string, collection string")
+    index = index_chunks(chunk)
+    r = {x.query_id: x for x in ask(q, index).collect()}
+    assert r[1].rewritten_query == "waiting period for cataract surgery" and r[1].response.startswith("waiting period") and r[1].justification == "Referenced from Section: Waiting" and r[1].metadata.n_chunks == 2
+    assert r[2].route_taken == "direct_llm" and r[2].rewritten_query is None and r[3].metadata.n_chunks == 3 and r[4].response == NO_MATCH and r[4].success and r[5].response == NO_MATCH
+    assert [s.document for s in r[1].sources] == ["p", "p"] and r[1].sources[0].text.endswith("...") and r[1].metadata.top_chunk_distance < 1
+    picky = Models(rerank=lambda prompt, question, chunks: F.when(prompt.contains("Chunk 0:"), "1"))
+    assert {x.query_id: x.metadata.n_chunks for x in ask(q, index, picky).collect()}[1] == 1
+    # failing models
+    none = lambda *_: F.lit(None).cast("string")
+    f = {x.query_id: x for x in ask(q, index, Models(route=none, rewrite=none, rerank=none, answer=none, direct=none)).collect()}
+    assert f[2].route_taken == "rag" and f[1].rewritten_query == "time before coverage starts for cataract surgery" and f[1].response == NO_ANSWER and f[1].sources == [] and f[1].success
+    assert {x.query_id: x for x in ask(q, index, Models(direct=none)).collect()}[2].response == NO_REPLY
+    # the older dispatch
+    old = {x.query_id: x for x in ask(q, index, legacy=True).collect()}
+    assert old[4].error == "Unknown scope: odd" and old[4].route_taken == "error" and not old[4].success and old[2].route_taken == "rag"
+    far = Models(embed=lambda t: F.when(t.startswith("waiting period for cataract surgery is"), F.array(F.lit(-1.0), F.lit(0.0))).when(t.contains("invoice"), F.array(F.lit(-1.0), F.lit(0.1))).otherwise(F.array(F.lit(1.0), F.lit(0.0))))
+    w = {x.query_id: x for x in ask(q, index_chunks(chunk, far), far, web=True).collect()}
+    assert w[1].route_taken == "web_scraping" and w[1].response == WEB_REPLY and not w[1].success and w[1].needs_web_scraping and w[3].needs_web_scraping and not w[4].needs_web_scraping
+
+
+def test_each_model_is_called_once(spark):
+    from lorikeet.plans.ask import Models, ask, index_chunks
+
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(q):
+        calls.add(1)
+        return f"Answer: {q}"
+
+    chunk = spark.createDataFrame([("p_0", "cataract surgery", ("p", "W"), "policy_documents")], "chunk_id string, text string, metadata struct<document_name:string,section_heading:string>, collection string")
+    q = spark.createDataFrame([(k, "cataract", "shared", "u", None) for k in range(7)], "query_id long, question string, scope string, username string, collection string")
+    out = ask(q, index_chunks(chunk), Models(answer=lambda prompt, question, chunks: counted(question)))
+    assert out.count() == 7 and len(out.collect()) == 7 and calls.value == 7
 
 
 def test_entry_imports_without_the_subpackage():
