@@ -165,14 +165,14 @@ def _meet(threshold: float):
     """Merges short lists: pairs of postings of one cell that pass all bounds, with their count."""
     most = (1 - threshold) / (1 + threshold)
 
-    def counted(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        """Meetings of equal pairs are runs once both ids are sorted."""
+    def counted(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Meetings of equal pairs are runs once both ids are sorted; ``n`` is the smaller size."""
         order = np.lexsort((y, x))
-        x, y = x[order], y[order]
+        x, y, n = x[order], y[order], n[order]
         new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.zeros(0, dtype=np.int64)
-        return pa.record_batch([pa.array(x[new]), pa.array(y[new]), pa.array(np.diff(np.append(new, len(x))).astype(np.int32))], names=["sid_x", "sid_y", "met"])
+        return pa.record_batch([pa.array(x[new]), pa.array(y[new]), pa.array(np.diff(np.append(new, len(x))).astype(np.int32)), pa.array(n[new])], names=["sid_x", "sid_y", "met", "n"])
 
-    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         tok, i, j, n, sid, block = (t.column(c).to_numpy() for c in ("t", "i", "j", "n", "sid", "block"))
         narrow, upper = _unpack(t.column("sketch").chunk(0))
         halves = narrow[:, : LANES // 2], narrow[:, LANES // 2 :]
@@ -211,7 +211,7 @@ def _meet(threshold: float):
                 x, y = x[ok], y[ok]
             if len(x):
                 a, b = sid[x], sid[y]
-                yield np.minimum(a, b), np.maximum(a, b)
+                yield np.minimum(a, b), np.maximum(a, b), np.minimum(n[x], n[y])
             lo = hi
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -267,10 +267,11 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         posting = posting.withColumns({"block": F.lit(0), "other": F.lit(0)})
     cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", "sketch")
     cells = cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n")
-    met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, met int").groupBy("sid_x", "sid_y").agg(F.sum("met").cast("int").alias("met"))
+    met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, met int, n int").groupBy("sid_x", "sid_y").agg(F.sum("met").cast("int").alias("met"), F.first("n").alias("n"))
+    met = met.where(F.col("met") >= F.ceil(F.col("n") * HITS)).drop("n")
     side = lambda s: sets.select(F.col("sid").alias(f"sid_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "short", "long", "order", "last")))
     both = met.join(side("x").hint("merge"), "sid_x")
-    both = both.join(side("y").hint("merge"), "sid_y").where(F.col("met") >= F.ceil(F.least("n_x", "n_y") * HITS))
+    both = both.join(side("y").hint("merge"), "sid_y")
     # The record whose short part ends first is probed with; all that it has beyond is in its long lists.
     x_first = (F.col("order_x") < F.col("order_y")) | (F.col("order_x") == F.col("order_y")) & (F.col("last_x") <= F.col("last_y"))
     probing = F.when(x_first, F.col("long_x")).otherwise(F.col("long_y"))
