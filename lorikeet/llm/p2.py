@@ -6,23 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorikeet.llm.repeated_lines import MIN_DOCS, excessive_nodes, mark, occurrences, without_lines
+from lorikeet.session import cut_lineage
 from lorikeet.sources.tables import table
 
 
 def _occ(spark: SparkSession, d: str) -> DataFrame:
-    return occurrences(table(spark, d, "chunk"), "chunk_id", "metadata.document_name", "text")
+    return cut_lineage(occurrences(table(spark, d, "chunk"), "chunk_id", "metadata.document_name", "text"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Excessive clusters, then the exact condition on the single line."""
+    """Lines of excessive clusters whose own class of equal letters is excessive in its cluster."""
     occ = _occ(spark, d)
-    return mark(occ, excessive_nodes(occ).where(F.col("n_docs") >= MIN_DOCS)).select(F.col("doc").alias("chunk_id"), "line_no")
+    return mark(occ, excessive_nodes(occ).where(F.col("class_docs") >= MIN_DOCS)).select(F.col("doc").alias("chunk_id"), "line_no")
 
 
 def p2_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk without the lines of excessive clusters, near-duplicates included."""
     occ = _occ(spark, d)
-    return without_lines(table(spark, d, "chunk"), "chunk_id", "text", mark(occ, excessive_nodes(occ))).select(F.col("doc").alias("chunk_id"), "text", "n_removed")
+    return without_lines(table(spark, d, "chunk").where("chunk_id is not null"), "chunk_id", "text", mark(occ, excessive_nodes(occ))).select(F.col("doc").alias("chunk_id"), "text", "n_removed")
 
 
 QUERIES = {"p2_found": p2_found, "p2_cleaned": p2_cleaned}

@@ -43,16 +43,55 @@ def test_repeated_lines(spark):
     df = spark.createDataFrame(rows, "doc string, source string, text string").withColumns({"line": F.lit(1), "h": F.lit("x"), "mask": F.lit(2)})
     occ = occurrences(df, "doc", "source", "text")
     nodes = excessive_nodes(occ, 10)
-    got = {(r.doc, r.line_no) for r in mark(occ, nodes.where("n_docs >= 10")).collect()}
+    got = {(r.doc, r.line_no) for r in mark(occ, nodes.where("class_docs >= 10")).collect()}
     assert got == lines_brute(rows, 10) and got
     clean = {r.doc: (r.text, r.n_removed) for r in without_lines(df, "doc", "text", mark(occ, nodes)).collect()}
-    # names differ, so the exact mask differs too: only the near-duplicate clusters take these lines out
+    # names differ, so the letters differ too: only the near-duplicate clusters take these lines out
     assert all("Printed" not in clean[f"c{k}"][0] for k in range(1, 80, 2))
     assert clean["e"] == ("", 0) and clean["m"] == (None, 0) and clean["n"] == ("x\ny", 0)
     empty = occurrences(df.limit(0), "doc", "source", "text")
     assert mark(empty, excessive_nodes(empty)).count() == 0
 
 
+def test_clusters_decide_repeated_lines(spark, monkeypatch):
+    """Without the bands every written line stands alone, and no page number repeats often enough."""
+    from lorikeet.llm import repeated_lines as R
+
+    rows = [(f"c{k}", "s", f"--- Page {k} of 90 ---\n{k} pages, page of {k}") for k in range(30)]
+    occ = R.occurrences(spark.createDataFrame(rows, "doc string, source string, text string"), "doc", "source", "text")
+    assert R.mark(occ, R.excessive_nodes(occ, 10).where("class_docs >= 10")).count() == 60
+    monkeypatch.setattr(R, "clusters", lambda occ, similarity: occ.groupBy("source", "h").agg(F.countDistinct("doc").alias("n_docs")).withColumn("class", F.xxhash64("h")).withColumn("cluster", F.col("class")))
+    assert R.excessive_nodes(occ, 10).count() == 0
+
+
+def test_masks():
+    from lorikeet.llm.repeated_lines import letters, masked
+
+    assert masked("Printed for Anna Maria Xu on 03 May 2024, page 3/90") == ["printed", "for", "1", "on", "0", "may", "0", "page", "0"]
+    assert masked("Die Person reicht die Rechnung ein") == "die person reicht die rechnung ein".split()
+    assert masked("") == [] and masked("--- 12 ---") == ["0"] and letters("Page 3-a: É²") == "pageaé"
+
+
+def test_near_duplicate_lines_meet(spark):
+    """Every pair of lines alike at 0.8 or more ends in one cluster, a hot bucket included."""
+    from lorikeet.llm.repeated_lines import SHINGLE, clusters, masked, occurrences
+
+    rnd = random.Random(4)
+    base = [text_of(rnd, 30) for _ in range(6)]
+    lines = []
+    for k in range(240):
+        ws = base[k % 6].split()
+        if k % 4:
+            ws[rnd.choice([0, len(ws) - 1])] = rnd.choice(WORDS) + rnd.choice("xyz")
+        lines.append(" ".join(ws))
+    occ = occurrences(spark.createDataFrame([(f"d{k}", "s", t) for k, t in enumerate(lines)], "doc string, source string, text string"), "doc", "source", "text")
+    c = {r.h: r.cluster for r in clusters(occ).collect()}
+    of = {r.line: c[r.h] for r in occ.select("line", "h").collect()}
+    sets = {t: {tuple(masked(t)[i : i + SHINGLE]) for i in range(max(1, len(masked(t)) - SHINGLE + 1))} for t in of}
+    alike = [(a, b) for a in of for b in of if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(alike) > 500 and sum(of[a] == of[b] for a, b in alike) >= 0.99 * len(alike)
+
+
 # ---- 3: near-duplicate records
 
 
