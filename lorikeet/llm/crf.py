@@ -38,34 +38,74 @@ def viterbi(u: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
     return out
 
 
-def skip_chain(chains: list[np.ndarray], edges: list[tuple[int, int, int, int]], trans: np.ndarray, start: np.ndarray, agree: np.ndarray, rounds: int = 3) -> list[np.ndarray]:
-    """Labels of several chains joined by skip edges, by loopy message passing.
+def _steps(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines from the longest to the shortest, and how many are longer than each step."""
+    order = np.argsort(-size, kind="stable")
+    return order, np.searchsorted(-size[order], -np.arange(1, size.max() + 1), side="right") if len(size) else np.zeros(0, dtype=np.int64)
 
-    An edge ``(c, i, d, j)`` lets position ``i`` of chain ``c`` and ``j`` of ``d``
-    share the log potential ``agree``.  Every round runs the exact messages along
-    each touched chain and then one message each way over every skip edge; the
-    last messages enter the final decoding as evidence.
+
+def viterbi_lines(u: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Best labels of many lines at once; line ``k`` holds the rows ``first[k] .. first[k] + size[k]`` of ``u``."""
+    out = np.zeros(len(u), dtype=np.int64)
+    if not len(size):
+        return out
+    order, longer = _steps(size)
+    at = first[order]
+    s = u[at] + start
+    back = np.zeros(u.shape, dtype=np.int8)
+    for t, m in enumerate(longer[1:].tolist(), 1):
+        both = s[:m, :, None] + trans
+        best = both.argmax(axis=1)
+        back[at[:m] + t] = best
+        s[:m] = np.take_along_axis(both, best[:, None, :], axis=1)[:, 0] + u[at[:m] + t]
+    out[at + size[order] - 1] = s.argmax(axis=1)
+    for t in range(len(longer) - 1, 0, -1):
+        here = at[: longer[t]] + t
+        out[here - 1] = back[here, out[here]]
+    return out
+
+
+def marginals(u: np.ndarray, first: np.ndarray, size: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Log marginal of every label at every position of many lines, by scaled sums."""
+    order, longer = _steps(size)
+    at = first[order]
+    e, tr = np.exp(u - u.max(axis=1, keepdims=True)), np.exp(trans)
+    a, b = np.zeros(u.shape), np.ones(u.shape)
+    a[at] = e[at] * np.exp(start - start.max())
+    for t, m in enumerate(longer[1:].tolist(), 1):
+        here = at[:m] + t
+        before = a[here - 1]
+        a[here] = e[here] * ((before / before.sum(axis=1, keepdims=True)) @ tr)
+    for t in range(len(longer) - 1, 0, -1):
+        here = at[: longer[t]] + t
+        behind = (b[here] * e[here]) @ tr.T
+        b[here - 1] = behind / behind.sum(axis=1, keepdims=True)
+    p = a * b
+    return np.log(p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300) + 1e-30)
+
+
+def skip_messages(u: np.ndarray, first: np.ndarray, size: np.ndarray, edges: np.ndarray, kinds: np.ndarray, agree: np.ndarray, trans: np.ndarray, start: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Loopy message passing: ``u`` with the evidence of the skip edges, and the edges' beliefs.
+
+    Edge ``e`` joins the rows ``edges[e]`` of ``u``; they share the log potential
+    ``agree[kinds[e]]``.  Every round runs the exact messages along all lines and
+    then one message each way over every edge.
     """
-    touched = sorted({c for e in edges for c in (e[0], e[2])})
-    inbox = {(e, side): np.zeros(agree.shape[0]) for e in range(len(edges)) for side in (0, 1)}
-    extra = {c: np.zeros_like(chains[c]) for c in touched}
+    inbox = np.zeros((2, len(edges), u.shape[1]))
+    pull = np.exp(agree)[kinds]
+    extra = np.zeros_like(u, dtype=np.float64)
     for _ in range(rounds):
-        belief = {}
-        for c in touched:
-            a, b, z = forward_backward(chains[c] + extra[c], trans, start)
-            belief[c] = a + b - z
-        new = {}
-        for e, (c, i, d, j) in enumerate(edges):
-            for side, (src, dst_side) in ((0, ((c, i), 1)), (1, ((d, j), 0))):
-                m = logsumexp((belief[src[0]][src[1]] - inbox[e, side])[:, None] + agree, 0)
-                new[e, dst_side] = m - m.max()
-        inbox = new
-        for c in touched:
-            extra[c][:] = 0
-        for e, (c, i, d, j) in enumerate(edges):
-            extra[c][i] += inbox[e, 0]
-            extra[d][j] += inbox[e, 1]
-    return [viterbi(u + extra[c] if c in extra else u, trans, start) for c, u in enumerate(chains)]
+        belief = marginals(u + extra, first, size, trans, start)
+        out = [np.exp(belief[edges[:, side]] - inbox[side]) for side in (0, 1)]
+        m = [np.einsum("ek,ekl->el", out[0], pull), np.einsum("el,ekl->ek", out[1], pull)]
+        inbox = np.stack([np.log(np.maximum(x / x.max(axis=1, keepdims=True), 1e-30)) for x in (m[1], m[0])])
+        extra[:] = 0
+        for side in (0, 1):
+            np.add.at(extra, edges[:, side], inbox[side])
+    belief = marginals(u + extra, first, size, trans, start)
+    out = [np.exp(belief[edges[:, side]] - inbox[side]) for side in (0, 1)]
+    both = out[0][:, :, None] * pull * out[1][:, None, :]
+    return u + extra, both / both.sum(axis=(1, 2), keepdims=True)
 
 
 def train(data: list[tuple[np.ndarray, np.ndarray]], n_features: int, n_labels: int, epochs: int = 8, rate: float = 0.2, decay: float = 1e-6, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

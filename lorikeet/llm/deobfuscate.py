@@ -12,8 +12,9 @@ words are hardly ever disguised, so a lexicon word is accepted only if it scores
 within ``CHANNEL`` of the best path.  The corpus's counts are scaled to the total
 ``MASS``, so the weight of a lexicon word is the same share at every size.
 
-Every token with letters and a look-alike or star, at its edges too, or a separator
-inside is decoded.  Not read as disguises: stars around an emphasised stretch, a
+Every token with letters and a look-alike or star, at its edges too, a separator
+inside or a run of one letter is decoded, in any script that the lexicon has; a star
+stands for the letters of the token's own script.  Not read as disguises: stars around an emphasised stretch, a
 possessive, a single letter beside digits only (a code or unit), and one or two
 letters beside stars that are the likelier word by themselves.
 """
@@ -30,7 +31,7 @@ import regex
 
 from lorikeet.llm.abuse_words import LEET
 
-ORDER, CHANNEL, MOST_SIGNS = 4, 9.0, 40
+ORDER, CHANNEL = 4, 9.0
 #: Total count of the corpus's words in the language model, and count of each lexicon word.
 MASS, LEXICON_COUNT = 36_000.0, 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -38,7 +39,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CF = regex.compile(r"\p{Cf}+")
 _OUT = r"\s,;:?\"“”()\[\]"
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: {1,2}[^\W\d_])+(?![^\W_])(?: {2,4}[^\W\d_](?: [^\W\d_])+(?![^\W_]))*")
-_SIGNED = re.compile(r"[^\s\w.,;:?\"“”()\[\]]?[a-z@$*!#0-9€+|]*[*@$#€|!][a-z@$*!#0-9€+|]+")
+_SIGNED = re.compile(r"[^\s\w.,;:?\"“”()\[\]]?[^\W_]*+(?:[\u0900-\u0903\u093a-\u094f]|[@$*!#€+|]|[^\W_])*?[*@$#€|!](?:[\u0900-\u0903\u093a-\u094f]|[@$*!#€+|]|[^\W_])+")
 #: Words between two equal marks of emphasis; these stars hide nothing.
 _EMPHASIS = re.compile(r"(?<![^\s(\[\"“])(\*{1,3})(?=[^\s*])([^\n]{0,2000}?[^\s*])\1(?![^\s.,;:!?)\]\"”])")
 _EDGE = ".!'-"

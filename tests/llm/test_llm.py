@@ -183,16 +183,69 @@ def test_items():
     assert [tagger.spans([t])[0] for t, _ in cases] == found
 
 
-def test_skip_chain_lets_repeats_agree():
+def test_skip_messages_let_repeats_agree():
     import numpy as np
 
-    from lorikeet.llm.crf import skip_chain, viterbi
+    from lorikeet.llm.crf import skip_messages, viterbi_lines
 
     trans, start = np.zeros((2, 2)), np.zeros(2)
-    sure, unsure = np.array([[0.0, 4.0]]), np.array([[0.3, 0.0]])
-    agree = 2.0 * np.eye(2)
-    assert viterbi(unsure, trans, start).tolist() == [0]
-    assert [y.tolist() for y in skip_chain([sure, unsure], [(0, 0, 1, 0)], trans, start, agree)] == [[1], [1]]
+    u = np.array([[0.0, 4.0], [0.3, 0.0]])  # a sure position and an unsure one, in lines of their own
+    first, size = np.array([0, 1]), np.array([1, 1])
+    assert viterbi_lines(u, first, size, trans, start).tolist() == [1, 0]
+    agree = np.array([[[0.0, 0.0], [0.0, 2.0]]])
+    v, both = skip_messages(u, first, size, np.array([[0, 1]]), np.array([0]), agree, trans, start)
+    assert viterbi_lines(v, first, size, trans, start).tolist() == [1, 1]
+    # two nodes form a tree, so the beliefs are exact
+    p = np.exp(u[0][:, None] + u[1][None, :] + agree[0])
+    assert np.allclose(both[0], p / p.sum())
+
+
+def test_lines_in_step_are_the_single_lines():
+    import numpy as np
+
+    from lorikeet.llm.crf import forward_backward, marginals, viterbi, viterbi_lines
+
+    rng = np.random.default_rng(1)
+    size = np.array([3, 1, 7, 0, 7, 2])[[0, 1, 2, 4, 5]]
+    first = np.cumsum(size) - size
+    u, trans, start = rng.normal(size=(size.sum(), 4)), 3 * rng.normal(size=(4, 4)), rng.normal(size=4)
+    y, m = viterbi_lines(u, first, size, trans, start), marginals(u, first, size, trans, start)
+    for a, n in zip(first, size):
+        f, g, z = forward_backward(u[a : a + n], trans, start)
+        assert y[a : a + n].tolist() == viterbi(u[a : a + n], trans, start).tolist() and np.allclose(m[a : a + n], f + g - z)
+    none = np.zeros(0, dtype=np.int64)
+    assert len(viterbi_lines(u[:0], none, none, trans, start)) == 0
+
+
+def test_skip_edges_decide():
+    """Names of two invented parts, and the family name again at a neutral place: many mentions
+    are only found with the edges, over any distance, and none is lost by them."""
+    from lorikeet.llm.pii import Tagger
+
+    rnd = random.Random(8)
+    part = lambda: "".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(3)).capitalize() + rnd.choice(["n", "r", "th", "lis"])
+    gap = "the claims desk compared the hospital bill with the policy schedule. " * 30
+    texts, again = [], []
+    for k in range(120):
+        a, b = part(), part()
+        t = f"My name is {a} {b}, is hernia repair covered?\n{gap if k % 2 else ''}\nWho compared the note of the {b.lower() if k % 3 == 0 else b} bill?"
+        texts.append(t)
+        again.append(t.rindex(b.lower() if k % 3 == 0 else b))
+    found = lambda skips: {k for k, (spans, p) in enumerate(zip(Tagger(skips=skips).spans(texts), again)) if any(x <= p < y and kind == "name" for x, y, kind in spans)}
+    on, off = found(True), found(False)
+    assert off <= on and len(on) >= 70 and len(on) >= len(off) + 50
+    assert {k % 2 for k in on - off} == {0, 1}
+
+
+def test_edges_join_same_and_like_words():
+    from lorikeet.llm.pii import Tagger, shortened
+
+    t = Tagger()
+    texts = ["Zorvanne met ZORVANNE.\nzorvane and Zorvanne", "Zorvanne", "claim claim"]
+    _, text_of, _, _, _, word = t.unary(texts)
+    edges, kinds = t.edges(text_of, word)
+    assert sorted(kinds.tolist()) == [0, 0, 1] and all(text_of[a] == text_of[b] == 0 for a, b in edges)
+    assert set(shortened("abc")) == {"abc", "bc", "ac", "ab"}
 
 
 def test_forward_backward_against_enumeration():
