@@ -59,6 +59,9 @@ class Tagger:
         self.weights = {k: np.array(v) for k, v in m["weights"].items()}
         self.trans, self.start = np.array(m["trans"]), np.array(m["start"])
         self.zero = np.zeros(len(LABELS))
+        into = np.concatenate([self.trans - self.trans[0, 0], self.start[None] - self.start[0]]).max(axis=0)
+        #: Most that a step into each label but O, and the step back to O, can add.
+        self.gain = np.maximum(into[1:], 0) + max(into[0], 0)
         self.agree = agreement(m["skips"]) if skips else None
         self.edge = np.stack([self.weights.get(f"{o}edge", self.zero) for o in AROUND]).astype(np.float32)
         self.reset()
@@ -173,7 +176,14 @@ class Tagger:
             starts = np.cumsum(size[own]) - size[own]
             back = np.searchsorted(rows, edges)
             u[rows], _ = crf.skip_messages(u[rows], starts, size[own], back, kinds, self.agree, self.trans, self.start)
-        return crf.viterbi_lines(u, first, size, self.trans, self.start)
+        # A label gains at most its margin over O and the best step into it.  Where that is below
+        # zero for all labels of a line, no labelling beats O throughout: nothing to decode.
+        hot = np.flatnonzero(np.maximum.reduceat((u[:, 1:] - u[:, :1] + self.gain).max(axis=1), first) >= -1e-9)
+        y = np.zeros(len(u), dtype=np.int64)
+        if len(hot):
+            rows = np.concatenate([np.arange(a, a + n) for a, n in zip(first[hot].tolist(), size[hot].tolist())])
+            y[rows] = crf.viterbi_lines(u[rows], np.cumsum(size[hot]) - size[hot], size[hot], self.trans, self.start)
+        return y
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of all items of each text."""

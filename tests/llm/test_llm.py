@@ -237,6 +237,23 @@ def test_skip_edges_decide():
     assert {k % 2 for k in on - off} == {0, 1}
 
 
+def test_lines_left_undecoded_are_all_outside(sf):
+    """The bound that spares the decoding of a line is exact."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    from lorikeet.llm.crf import viterbi_lines
+    from lorikeet.llm.pii import Tagger
+
+    t = Tagger(skips=False)
+    rng = np.random.default_rng(3)
+    for lo, noise in ((0, 0.0), (40, 1.5)):
+        u, text_of, _, first, size, word = t.unary(pq.read_table(f"{sf}/chunk.parquet").column("text").to_pylist()[lo : lo + 40])
+        u = u + noise * rng.normal(size=u.shape)
+        y = t.labels(u, text_of, first, size, word)
+        assert y.tolist() == viterbi_lines(u, first, size, t.trans, t.start).tolist() and (noise == 0 or y.any())
+
+
 def test_edges_join_same_and_like_words():
     from lorikeet.llm.pii import Tagger, shortened
 
