@@ -25,6 +25,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import regex
@@ -39,20 +40,26 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _CF = regex.compile(r"\p{Cf}+")
 _OUT = r"\s,;:?\"“”()\[\]"
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?: {1,2}[^\W\d_])+(?![^\W_])(?: {2,4}[^\W\d_](?: [^\W\d_])+(?![^\W_]))*")
-_SIGNED = re.compile(r"[^\s\w.,;:?\"“”()\[\]]?[^\W_]*+(?:[\u0900-\u0903\u093a-\u094f]|[@$*!#€+|]|[^\W_])*?[*@$#€|!](?:[\u0900-\u0903\u093a-\u094f]|[@$*!#€+|]|[^\W_])+")
+#: Signs of Devanagari that belong to a letter.
+_VOWELS = "\u0900-\u0903\u093a-\u094f"
+_SIGNED = re.compile(rf"[^\s\w.,;:?\"“”()\[\]]?[\w{_VOWELS}@$*!#€+|]*[*@$#€|!][\w{_VOWELS}@$*!#€+|]+")
 #: Words between two equal marks of emphasis; these stars hide nothing.
 _EMPHASIS = re.compile(r"(?<![^\s(\[\"“])(\*{1,3})(?=[^\s*])([^\n]{0,2000}?[^\s*])\1(?![^\s.,;:!?)\]\"”])")
 _EDGE = ".!'-"
 _MARKS = "".join(re.escape(c) for c in LEET) + "*"
 #: Tokens with a look-alike or star anywhere or a separator inside, and tokens with a long run.
 _MARKED = re.compile(rf"(?<![^{_OUT}])[^{_OUT}{_MARKS}._\-·']*+(?:[{_MARKS}]|[._\-·']+(?=[^{_OUT}._\-·']))[^{_OUT}]*+")
-_RUN = re.compile(r"([a-z])\1\1")
-_RUNS = re.compile(rf"(?<![^{_OUT}])[^{_OUT}]*?([a-z])\1\1[^{_OUT}]*+")
+_RUN = re.compile(rf"([^\W\d_]|[{_VOWELS}])\1\1")
+_RUNS = re.compile(rf"(?<![^{_OUT}])[^{_OUT}]*?([^\W\d_]|[{_VOWELS}])\1\1[^{_OUT}]*+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: One letter before or behind nothing but digits is a code or a unit (P19, 5g), not a word.
 _CODE = re.compile(r"[\W_]*(?:[^\W\d_][\W\d_]*|[\W\d_]*[^\W\d_])[\W_]*")
 
 
+def _devanagari(ch: str) -> bool:
+    return "\u0900" <= ch <= "\u097f" and not ch.isnumeric()
+
+
 def fold(text: str) -> str:
     """Compatibility form without format characters, lower-cased."""
     if not text.isascii():
@@ -83,7 +90,14 @@ class Restorer:
             node["$"] = w
         scale = MASS / max(1, grams.get("$", 0))
         self.grams = Counter({g: n * scale for g, n in grams.items()})
-        self.grams.update(gram_counts({w: LEXICON_COUNT for w in lexicon if w.isalpha()}))
+        self.grams.update(gram_counts({w: LEXICON_COUNT for w in lexicon}))
+        #: What a star may stand for, by the script of its token.
+        signs = {ch for w in lexicon for ch in w}
+        self.letters = {
+            "ascii": tuple(LETTERS),
+            "latin": tuple(sorted({*LETTERS, *(ch for ch in signs if ch.isalpha() and ch < "\u0250")})),
+            "devanagari": tuple(sorted(ch for ch in signs if _devanagari(ch))),
+        }
         self.total = Counter()
         for g, n in self.grams.items():
             self.total[g[:-1]] += n
@@ -108,9 +122,9 @@ class Restorer:
             p = (self.grams.get(ctx + ch, 0) + 2.0 * p) / (n + 2.0)
         return math.log(p)
 
-    def lattice(self, token: str) -> list[tuple[str, ...]] | None:
-        """The alternatives at every position, or None where no word can be this long."""
-        out: list[tuple[str, ...]] = []
+    def steps(self, token: str) -> Iterator[tuple[str, ...]]:
+        """The alternatives at one position of a disguised token after the other."""
+        letters = self.letters["ascii" if token.isascii() else "devanagari" if any(map(_devanagari, token)) else "latin"]
         i, n = 0, len(token)
         while i < n:
             ch, j = token[i], i
@@ -119,20 +133,19 @@ class Restorer:
             run = j - i
             if ch == "*":
                 # No lexicon word has more letters than the longest.
-                out.extend([tuple(LETTERS)] * run if run < 8 else [(*LETTERS, "")] * min(run, self.longest))
+                yield from [letters] * run if run < 8 else [(*letters, "")] * min(run, self.longest)
             elif ch in " ._-·'":
-                out.append(("",))
+                yield ("",)
             elif ch in LEET:
-                alts = tuple(LEET[ch]) + (() if ch.isdigit() or ch not in "!+|#" else ("",))
-                out.extend([alts] * min(run, 2))
-            elif ch.isalpha():
-                out.append((ch, ch * 2) if run > 2 else (ch * run,))
+                yield from [tuple(LEET[ch]) + (() if ch.isdigit() or ch not in "!+|#" else ("",))] * min(run, 2)
+            elif ch.isalpha() or _devanagari(ch):
+                yield (ch, ch * 2) if run > 2 else (ch * run,)
             else:
-                out.append(("",))
+                yield ("",)
             i = j
-            if len(out) > MOST_SIGNS:
-                return None
-        return out
+
+    def lattice(self, token: str) -> list[tuple[str, ...]]:
+        return list(self.steps(token))
 
     def decode(self, token: str) -> str | None:
         """The lexicon word that a disguised token stands for, or None."""
@@ -140,10 +153,12 @@ class Restorer:
             return self.cache[token]
         if len(self.cache) > 100_000:
             self.cache.clear()
-        self.cache[token] = word = self._decode(token)
+        word = self._decode(token)
+        if len(token) < 100:
+            self.cache[token] = word
         return word
 
-    def _spelled(self, steps: list[tuple[str, ...]]) -> set[str]:
+    def _spelled(self, steps: Iterable[tuple[str, ...]]) -> set[str]:
         """Every lexicon word among the paths of a lattice."""
         nodes = {id(self.trie): self.trie}
         for alts in steps:
@@ -222,10 +237,10 @@ class Restorer:
         return sum(self._logp(s[k - ORDER + 1 : k], s[k]) for k in range(ORDER - 1, len(s)))
 
     def _decode(self, token: str) -> str | None:
-        steps = self.lattice(token)
-        words = self._spelled(steps) if steps else None
+        words = self._spelled(self.steps(token))
         if not words:
             return None
+        steps = self.lattice(token)
         p, word = max((self.score(w), w) for w in words)
         # Two letters beside stars may as well be a short plain word with a footnote.
         plain = token.strip("*")
@@ -259,7 +274,7 @@ class Restorer:
         """A marked token with its word written out; signs at its edges may belong to it or not."""
         token = m.group()
         core = token.strip(_EDGE)
-        if not _LETTER.search(core) or len(core) > MOST_SIGNS + 10 and not core.isalpha():
+        if not _LETTER.search(core):
             return token
         if any(c.isdigit() for c in core) and _CODE.fullmatch(core) or core.endswith("'s") and core[:-2].isalpha():
             return token  # a code, or a possessive

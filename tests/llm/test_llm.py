@@ -580,7 +580,7 @@ def test_restoring_is_exact_at_every_size(sf):
         r = Restorer(gram_counts({w: math.ceil(math.sqrt(n * times)) for w, n in counts.items()}), set(LEXICON))
         assert [s for s in starred.values() if r.decode(s) is None] == []
     assert r.decode("i******e") == "imbecile"
-    for token in ("f**k", "b@5t@rd", "idioooot", "mo.ron", "1d10t", "हरा.मी", "caf3é*"):
+    for token in ("f**k", "b@5t@rd", "idioooot", "mo.ron", "1d10t", "हरा.मी", "é3é*"):
         steps = r.lattice(token)
         paths = {"".join(x) for x in itertools.product(*steps)}
         assert r._spelled(steps) == paths & r.lexicon and math.isclose(r._best(steps), max(map(r.score, paths)))
@@ -593,7 +593,7 @@ def test_every_scored_word_and_pattern_passes_the_gate():
 
     scorer = A.Scorer({})
     looked = []
-    score, A.score_sentence = A.score_sentence, lambda s: looked.append(s) or score(s)
+    score, A.evidence = A.evidence, lambda s: looked.append(s) or score(s)
     try:
         for w in {*W.STRONG, *W.INSULT, *W.ADDRESSED, *W.SEXUAL, *W.SUGGESTIVE, *W.DEMEAN}:
             looked.clear()
@@ -608,7 +608,7 @@ def test_every_scored_word_and_pattern_passes_the_gate():
             scorer.passages(s)
             assert pattern.search(s) and looked, s
     finally:
-        A.score_sentence = score
+        A.evidence = score
     assert max(scorer.passages("Sexy nude pics, click tonight."))[0] >= A.THRESHOLD
     for p in W.THREATS + W.GROUP_PHRASES:
         pieces = required(p)
@@ -648,6 +648,42 @@ def test_long_runs_of_stars_offer_every_letter(sf):
     assert r.decode("motherf***************") == r.decode("motherf" + "*" * 60) == "motherfucker"
 
 
+def test_disguises_in_every_script_of_the_lexicon():
+    from lorikeet.llm.abuse import LEXICON
+    from lorikeet.llm.deobfuscate import Restorer, gram_counts
+
+    r = Restorer(gram_counts(dict.fromkeys(["यह", "बीमा", "राशि", "está", "póliza", "über", *WORDS], 30)), set(LEXICON))
+    for token, word in {"हरा.मी": "हरामी", "ह*ामी": "हरामी", "कमीीीीने": "कमीने", "कु-त्ते": "कुत्ते", "cabr*n": "cabron", "c@brón": "cabrón", "enc*lé": "enculé", "imbééécile": "imbécile", "est*pidó": None}.items():
+        assert r.restore(f"तू {token} है") == f"तू {word or token} है", token
+    for plain in ("बीमा-राशि", "क्या?", "über", "5 लाख", "नहीं।"):
+        assert r.restore(f"यह {plain} है") == f"यह {plain} है"
+
+
+def test_restorer_decides_disguised_insults():
+    """Ablation: planted disguises are offences only through the restorer."""
+    from lorikeet.llm.abuse import THRESHOLD, Scorer, counted_words
+    from lorikeet.llm.deobfuscate import gram_counts
+
+    s = Scorer(gram_counts(dict(counted_words([" ".join(WORDS) + " you are a real here"] * 40))))
+    planted = ["you are a real m0r0n here", "you are a real i*iot here", "you are a real b a s t a r d here", "you are a real wh.ore here", "you are a real assshooole here", "you are a real $lut here", "तुम एक ह*ामी हो"]
+    top = lambda t: max((p[0] for p in s.passages(t)), default=0.0)
+    assert all(top(t) >= THRESHOLD for t in planted)
+    s.restorer.restore = lambda text: text
+    assert not any(top(t) >= THRESHOLD for t in planted)
+
+
+def test_fit_moves_from_the_prior_only_with_evidence():
+    import numpy as np
+
+    from lorikeet.llm.train_abuse import fit
+
+    prior = np.array([4.0, 4.0, -3.0])
+    docs = [(np.array([[1.0, 0.0]]), True)] * 30 + [(np.zeros((0, 2)), False)] * 200 + [(np.array([[0.0, 0.0]]), True)] * 3
+    w = fit(docs, prior)
+    assert w[0] > 4 and w[1] == 4 and w[2] < -3
+    assert fit([(np.array([[1.0, 0.0]]), False)] * 50, prior)[0] < 3
+
+
 @pytest.mark.parametrize("text,want", [("¿Cubre la póliza la resonancia si la prima esté pagada?", "es"), ("Wird die Dialyse bezahlt?", "de"), ("le délai est dépassé pour l'assuré", "fr"), ("How long is it?", "en"), ("क्या यह शामिल है?", "hi"), ("401 - 22", None), ("", None), ("Zelda", None)])
 def test_language(text, want):
     from lorikeet.llm.languages import language
