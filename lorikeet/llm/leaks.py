@@ -17,8 +17,9 @@ Every window of ``run`` consecutive words of every document is a query:
    consecutively in the passage.
 
 The corpus is scanned once and never shuffled; only found pairs are.  Passages
-are indexed in blocks of at most ``MAX_ITEMS`` (whose index size bounds what is
-sent to a task); a larger test set is searched block after block.
+are indexed in blocks of at most ``MAX_ITEMS``, and at most ``BLOCKS`` blocks are
+sent to a task, which brings every text to words once and searches block after
+block.  A test set beyond that takes another scan.
 
 Both texts are brought to NFKC, characters of category Cf are dropped, and words
 are longest runs of letters and digits in lower case.  Null and empty texts
@@ -40,7 +41,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RUN, MAX_ITEMS, BLOCK = 12, 512, 16
+RUN, MAX_ITEMS, BLOCK, BLOCKS = 12, 512, 16, 16
 K1, B = 1.2, 0.75
 _EPS = 1e-6
 
@@ -136,28 +137,24 @@ def find_leaks(docs: DataFrame, doc: Column | str, text: Column | str, items: Da
     rows = docs.select(col(doc).cast("bigint").alias("doc_id"), col(text).alias("text")).where("doc_id is not null and text is not null")
     tests = items.select(col(item).cast("bigint").alias("item_id"), col(passage).alias("passage")).where("item_id is not null and passage is not null").distinct()
     schema = "doc_id bigint, item_id bigint, first_word int, n_windows int"
-    blocks = max(1, -(-tests.count() // MAX_ITEMS))
+    scans = max(1, -(-tests.count() // (MAX_ITEMS * BLOCKS)))
     result = None
-    for k in range(blocks):
-        part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(PassageIndex([(r.item_id, r.passage) for r in part.collect()], run))
+    for k in range(scans):
+        part = tests if scans == 1 else tests.where(F.pmod(F.xxhash64("item_id"), F.lit(scans)) == k)
+        own = [(r.item_id, r.passage) for r in part.collect()]
+        indexes = [PassageIndex(own[lo : lo + MAX_ITEMS], run) for lo in range(0, len(own), MAX_ITEMS)]
+        held = spark.sparkContext.broadcast(indexes)
 
-        def run_block(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
+        def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for lo in range(0, b.num_rows, 250):
-                    own = b.column(0).slice(lo, 250).to_pylist()
-                    hits = ix.search([normal_words(t) for t in b.column(1).slice(lo, 250).to_pylist()])
-                    yield pa.record_batch(
-                        [
-                            pa.array([own[t] for t, _, _, _ in hits], pa.int64()),
-                            pa.array([int(ix.items[j]) for _, j, _, _ in hits], pa.int64()),
-                            pa.array([p for _, _, p, _ in hits], pa.int32()),
-                            pa.array([n for _, _, _, n in hits], pa.int32()),
-                        ],
-                        names=["doc_id", "item_id", "first_word", "n_windows"],
-                    )
-
-        found = rows.mapInArrow(run_block, schema)
+                    ids = b.column(0).slice(lo, 250).to_pylist()
+                    words = [normal_words(t) for t in b.column(1).slice(lo, 250).to_pylist()]
+                    hits = [(ids[t], int(ix.items[j]), p, n) for ix in held.value for t, j, p, n in ix.search(words)]
+                    cols = list(zip(*hits)) if hits else [[]] * 4
+                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "first_word", "n_windows"])
+
+        found = rows.mapInArrow(search, schema)
         result = found if result is None else result.unionByName(found)
     return result.groupBy("doc_id", "item_id").agg(F.min("first_word").alias("first_word"), F.max("n_windows").alias("n_windows"))
