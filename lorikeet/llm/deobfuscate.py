@@ -49,7 +49,7 @@ _EDGE = ".!'-"
 _MARKS = "".join(re.escape(c) for c in LEET) + "*"
 #: Tokens with a look-alike or star anywhere or a separator inside, and tokens with a long run.
 _MARKED = re.compile(rf"(?<![^{_OUT}])[^{_OUT}{_MARKS}._\-·']*+(?:[{_MARKS}]|[._\-·']+(?=[^{_OUT}._\-·']))[^{_OUT}]*+")
-_RUN = re.compile(rf"([^\W\d_]|[{_VOWELS}])\1\1")
+_RUN, _ASCII_RUN = re.compile(rf"([^\W\d_]|[{_VOWELS}])\1\1"), re.compile(r"([a-z])\1\1")
 _RUNS = re.compile(rf"(?<![^{_OUT}])[^{_OUT}]*?([^\W\d_]|[{_VOWELS}])\1\1[^{_OUT}]*+")
 _LETTER = re.compile(r"[^\W\d_]")
 #: One letter before or behind nothing but digits is a code or a unit (P19, 5g), not a word.
@@ -262,7 +262,7 @@ class Restorer:
         if any(c in text for c in "*@$#€|!"):
             text = _SIGNED.sub(lambda m: self.decode(m.group()) or m.group(), text)
         text = _MARKED.sub(self._written, text)
-        return _RUNS.sub(self._written, text) if _RUN.search(text) else text
+        return _RUNS.sub(self._written, text) if (_ASCII_RUN if text.isascii() else _RUN).search(text) else text
 
     def _plain(self, m: re.Match) -> str:
         """An emphasised stretch without its marks, unless both ends are disguised words."""
@@ -274,7 +274,7 @@ class Restorer:
         """A marked token with its word written out; signs at its edges may belong to it or not."""
         token = m.group()
         core = token.strip(_EDGE)
-        if not _LETTER.search(core):
+        if core.isdigit() or not _LETTER.search(core):
             return token
         if any(c.isdigit() for c in core) and _CODE.fullmatch(core) or core.endswith("'s") and core[:-2].isalpha():
             return token  # a code, or a possessive
