@@ -104,7 +104,7 @@ def parsed_indices(reply: Column | str, n: Column, k: int) -> Column:
     """
     line = F.split_part(strip(reply), F.lit("\n"), F.lit(1))
     parts = F.filter(F.split(F.regexp_replace(line, "[^0-9,]", ""), ","), lambda x: x != "")
-    named = F.filter(F.slice(F.transform(parts, lambda x: x.cast("bigint")), 1, k), lambda x: x < n)
+    named = F.filter(F.slice(F.transform(parts, lambda x: x.try_cast("bigint")), 1, k), lambda x: x < n)
     first = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), lambda x: x < n)
     return F.when(F.coalesce(F.size(named), F.lit(0)) > 0, named).otherwise(first)
 

@@ -16,7 +16,10 @@ two entities that reach a task's edges, only the subtrees on the open spines
 stay unfinished - those bounded by strictly rising gaps from the left and
 strictly falling gaps to the right, logarithmically many for ordinary data -
 and a second, small stage merges these by the very same algorithm, with
-subtrees in place of events.
+subtrees in place of events.  Gaps that fall strictly for n events in a row add up
+to n * n / 2 units of time, so an entity has at most sqrt(2 * span) open subtrees
+per direction: some 25,000 in ten years of times given in seconds, whatever the
+number of its events.
 
 Edge cases: rows without entity, time or id are left out; rows that repeat an
 id count once (the earliest time wins, then the smallest entity); equal times

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorikeet.functions import text as T
@@ -16,10 +16,6 @@ QUERY_TEXT = "how long is the waiting period for cataract surgery in the policy"
 EVERY = 50
 #: Names of the collections in the tables.
 COLLECTIONS = {"shared": "policy_shared", "personal": "user_{}"}
-REPLIES = ["4,2,0", "4, 2,0\nbecause", "Chunk 1 and 2", "-1,3", "1,1,1", "9,8,7,6,5,0", "none", "", "3,1,4,0,2,1"]
-STRICT = ["4,2,0", " 1 , 3", "-1,0", "9,8", "1,x", "", "0,1,2,3,4,0", "-6,1"]
-ROUTES = ["RAG", " rag. ", "direct", "Direct answer", "rag or direct", "unsure", ""]
-WORDS = ["Abcdefghij1k", "abcdefghij1k", "ABCDEFGHIJ1K", "Abcdefghijkl", "Ab1", "Größe1234567", ""]
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -97,9 +93,14 @@ def hash_embed_knn(spark: SparkSession, d: str) -> DataFrame:
     return search.nearest(q, docs).select(F.col("row_id").alias("doc_id"), F.round("distance", 6).alias("distance"))
 
 
+def _replies(spark: SparkSession, d: str, reply: Column) -> DataFrame:
+    """A model's reply for every history row, made from the row."""
+    return table(spark, d, "query_history").select("id", "answer").distinct().select(F.col("id").alias("reply_id"), reply.alias("reply"))
+
+
 def rerank_index_parse(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.createDataFrame(list(enumerate(REPLIES)), "reply_id int, reply string")
-    return r.select("reply_id", F.array_join(T.parsed_indices("reply", F.lit(5).cast("bigint"), 5).cast("array<string>"), ",").alias("picked"))
+    reply = F.concat_ws(",", (F.col("id") % 11).cast("string"), F.expr("id div 11 % 7").cast("string"), F.coalesce("answer", F.lit("")))
+    return _replies(spark, d, reply).select("reply_id", F.array_join(T.parsed_indices("reply", F.lit(5).cast("bigint"), 5).cast("array<string>"), ",").alias("picked"))
 
 
 def answer_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +134,9 @@ def context_strings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rerank_index_strict(spark: SparkSession, d: str) -> DataFrame:
-    r = spark.createDataFrame(list(enumerate(STRICT)), "reply_id int, reply string")
-    return r.select("reply_id", F.array_join(T.strict_indices("reply", F.lit(5).cast("bigint"), 5).cast("array<string>"), ",").alias("picked"))
+    last = F.when(F.col("id") % 13 == 0, "x").otherwise(F.expr("id div 72 % 6").cast("string"))
+    reply = F.concat_ws(",", (F.col("id") % 8).cast("string"), F.concat(F.lit(" "), (F.expr("id div 8 % 9") - 3).cast("string")), last)
+    return _replies(spark, d, reply).select("reply_id", F.array_join(T.strict_indices("reply", F.lit(5).cast("bigint"), 5).cast("array<string>"), ",").alias("picked"))
 
 
 def answer_display(spark: SparkSession, d: str) -> DataFrame:
@@ -206,7 +208,8 @@ def json_metadata(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_normalise(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(ROUTES)), "reply_id int, reply string").select("reply_id", T.normal_route("reply").alias("route"))
+    """Answers read as if they were a classifier's replies."""
+    return _replies(spark, d, F.when(F.col("id") % 3 == 0, " Direct ").otherwise(F.coalesce("answer", F.lit("")))).select("reply_id", T.normal_route("reply").alias("route"))
 
 
 def question_routes(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +225,9 @@ def glossary_rewrite(spark: SparkSession, d: str) -> DataFrame:
 
 
 def password_rules(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(WORDS)), "word_id int, word string").select("word_id", T.password_problem("word").alias("problem"))
+    """Usernames read as passwords, every second one with a capital."""
+    word = F.when(F.length("username") % 2 == 0, F.concat(F.upper(F.substring("username", 1, 1)), F.substring("username", 2, 100))).otherwise(F.col("username"))
+    return table(spark, d, "users").select("username", T.password_problem(word).alias("problem"))
 
 
 def _attempts(spark: SparkSession, d: str) -> tuple:
@@ -395,10 +400,6 @@ w as (select {keys}, start, case when len(t) <= 512 then len(t) else len(list_sl
              case when len(t) <= 512 then text else array_to_string(list_slice(t, start + 1, start + 512), ' ') end as wtext from w1)"""
 
 
-def _values(xs: list[str]) -> str:
-    return ", ".join(f"({k}, '" + x.replace("'", "''") + "')" for k, x in enumerate(xs))
-
-
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -493,8 +494,8 @@ ORACLE = {
         qt as (select unnest(regexp_extract_all('{QUERY_TEXT}', '[a-z0-9]+')) as tok), q as (select ('0x' || substr(md5(tok), 1, 8))::bigint % 64 as bucket, count(*) as qn from qt group by all),
         s as (select doc_id, sum(n * coalesce(qn, 0))::double as d, sum(n * n)::double as nn from u left join q using (bucket) group by doc_id)
         select doc_id, round(round(1 - d / sqrt(nn * (select sum(qn * qn)::double from q)), 9), 6) as distance from s order by round(1 - d / sqrt(nn * (select sum(qn * qn)::double from q)), 9), doc_id limit 15""",
-    "rerank_index_parse": f"""with r(reply_id, reply) as (values {_values(REPLIES)}),
-        p as (select reply_id, list_transform(list_slice(list_filter(string_split(regexp_replace(split_part({_strip('reply')}, chr(10), 1), '[^0-9,]', '', 'g'), ','), lambda x: x <> ''), 1, 5), lambda x: x::bigint) as i from r),
+    "rerank_index_parse": f"""with r as (select distinct id as reply_id, concat_ws(',', id % 11, id // 11 % 7, coalesce(answer, '')) as reply from query_history),
+        p as (select reply_id, list_transform(list_slice(list_filter(string_split(regexp_replace(split_part({_strip('reply')}, chr(10), 1), '[^0-9,]', '', 'g'), ','), lambda x: x <> ''), 1, 5), lambda x: try_cast(x as bigint)) as i from r),
         v as (select reply_id, list_filter(i, lambda x: x < 5) as i from p)
         select reply_id, array_to_string(case when len(i) > 0 then i else [0, 1, 2, 3, 4] end, ',') as picked from v""",
     "answer_parse": rf"""with q as (select distinct id, answer, justification from query_history),
@@ -510,7 +511,7 @@ ORACLE = {
     "context_strings": """with c as (select distinct chunk_id, metadata.document_name as document, metadata.section_heading as section, text from chunk where chunk_id is not null and text is not null and metadata.document_name is not null),
         t as (select *, row_number() over (partition by document order by length(chunk_id), chunk_id) as rk from c qualify rk <= 5)
         select document, md5(string_agg('[Document: ' || document || ']' || chr(10) || '[Section: ' || coalesce(section, 'None') || ']' || chr(10) || 'Content: ' || text || chr(10) || repeat('-', 80) || chr(10), chr(10) order by rk)) as context_md5 from t group by document""",
-    "rerank_index_strict": f"""with r(reply_id, reply) as (values {_values(STRICT)}), p as (select reply_id, list_transform(string_split(reply, ','), lambda x: trim(x)) as t from r),
+    "rerank_index_strict": f"""with r as (select distinct id as reply_id, answer, concat_ws(',', id % 8, ' ' || (id // 8 % 9 - 3), case when id % 13 = 0 then 'x' else (id // 72 % 6)::varchar end) as reply from query_history), p as (select reply_id, list_transform(string_split(reply, ','), lambda x: trim(x)) as t from r),
         v as (select reply_id, len(list_filter(t, lambda x: not regexp_matches(x, '^[+-]?[0-9]+$'))) > 0 as bad, list_filter(list_transform(list_slice(t, 1, 5), lambda x: try_cast(x as bigint)), lambda x: x < 5) as i from p),
         w as (select reply_id, bad, list_transform(i, lambda x: case when x < 0 then x + 5 else x end) as i from v)
         select reply_id, array_to_string(case when bad or len(list_filter(i, lambda x: x < 0)) > 0 then [0, 1, 2, 3, 4] else i end, ',') as picked from w""",
@@ -535,13 +536,15 @@ ORACLE = {
     "json_metadata": """with a as (select distinct id, event_type, metadata from audit_events),
         m as (select event_type, case when json_valid(metadata) then metadata ->> '$.scope' end as scope, case when json_valid(metadata) then (metadata ->> '$.query_length')::bigint end as n from a)
         select event_type, scope, count(*) as n_events, count(n) as n_lengths, coalesce(sum(n), 0)::bigint as sum_length from m group by all""",
-    "route_normalise": f"select reply_id, case when contains(lower(reply), 'rag') then 'rag' when contains(lower(reply), 'direct') then 'direct' else 'rag' end as route from (values {_values(ROUTES)}) r(reply_id, reply)",
+    "route_normalise": """with r as (select distinct id as reply_id, answer, case when id % 3 = 0 then ' Direct ' else coalesce(answer, '') end as reply from query_history)
+        select reply_id, case when contains(lower(reply), 'rag') then 'rag' when contains(lower(reply), 'direct') then 'direct' else 'rag' end as route from r""",
     "question_routes": rf"""select case when regexp_matches(lower({_strip('question')}), '{T.DIRECT_PATTERN}') then 'direct' else 'rag' end as route, count(*) as n_questions
         from (select distinct id, question from query_history) group by 1""",
     "glossary_rewrite": f"""select id, {_strip("replace(replace(question, 'time before coverage starts', 'waiting period'), 'room rent', 'room rent limit')")} as rewritten
         from (select distinct id, question from query_history where question is not null)""",
-    "password_rules": rf"""select word_id, case when length(word) < 12 then 'length' when not regexp_matches(word, '\p{{Ll}}') then 'lowercase' when not regexp_matches(word, '\p{{Lu}}') then 'uppercase'
-        when not regexp_matches(word, '\p{{Nd}}') then 'digit' else '' end as problem from (values {_values(WORDS)}) w(word_id, word)""",
+    "password_rules": r"""with w as (select username, case when length(username) % 2 = 0 then upper(substr(username, 1, 1)) || substr(username, 2) else username end as word from users)
+        select username, case when length(word) < 12 then 'length' when not regexp_matches(word, '\p{Ll}') then 'lowercase' when not regexp_matches(word, '\p{Lu}') then 'uppercase'
+        when not regexp_matches(word, '\p{Nd}') then 'digit' else '' end as problem from w""",
     "lockout_fold": _lock_sql(5, 900) + _STATE_SQL,
     "lockout_fold_day": _lock_sql(3, 86400) + _STATE_SQL,
     "lockout_events": _lock_sql(3, 86400) + """ select id, u as username, 'LOGIN_LOCKED' as event_type, '{"locked_until": "' || strftime(make_timestamp(lock), '%Y-%m-%dT%H:%M:%S')
