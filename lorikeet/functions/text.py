@@ -152,9 +152,10 @@ def shown_resource(kind: Column | str, name: Column | str) -> Column:
 
 
 def or_default(value: Column | str, default: Column) -> Column:
-    """The default in place of a null, an empty text, zero, false or an empty array."""
+    """The default in place of a null, an empty text, zero, false or an empty array or map."""
     c = F.col(value) if isinstance(value, str) else value
-    return F.when(c.isNull() | (c.cast("string").isin("", "0", "false", "[]", "{}")), default).otherwise(c)
+    shown, text = c.cast("string"), F.typeof(c) == "string"
+    return F.when(c.isNull() | (text & (shown == "")) | (~text & shown.isin("0", "0.0", "false", "[]", "{}")), default).otherwise(c)
 
 
 def iso_time(us: Column | str) -> Column:

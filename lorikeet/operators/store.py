@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorikeet.session import cut_lineage
+
 #: The operational tables, as Spark types.
 SCHEMAS = {
     "users": "username string, role string, salt string, password_hash string, password_algo string, failed_attempts int, locked_until timestamp, last_login_at timestamp, created_at timestamp",
@@ -45,7 +47,7 @@ def numbered(df: DataFrame, order: list[str], number: str) -> DataFrame:
     of the ranges before, one row per range.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
     own = Window.partitionBy("_range").orderBy(*order)
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     # As many rows as ranges, so the window and the broadcast have a fixed size.

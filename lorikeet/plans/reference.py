@@ -443,7 +443,7 @@ def _ask_sql(legacy: bool = False, web: bool = False) -> str:
     safe = lambda a, b: f"case when list_dot_product({a}, {a}) * list_dot_product({b}, {b}) > 0 then {cos.format(a, b)} else 0 end"
     return f"""with q0 as (select id as query_id, {question} as question, scope, username from (select id, min(row(question, scope, username)) as r, r[1] as question, r[2] as scope, lower({_strip('r[3]')}) as username from query_history where id % {EVERY} = 0 group by id)),
         q1 as (select *, {direct} as direct, {_strip(term)} as w from q0),
-        q as (select *, case when coalesce(w, '') in ('', '0', 'false', '[]', '{{}}') then question else w end as rewritten,
+        q as (select *, case when coalesce(w, '') = '' then question else w end as rewritten,
           case when scope = 'shared' then ['policy_shared'] when scope = 'personal' and {known} then [{own}] when scope = 'combined' and {known} then ['policy_shared', {own}] else {other} end as cols from q1),
         qv as (select query_id, {_hashed_sql('rewritten')} as v, unnest(cols) as collection, unnest(range(len(cols))) as sr from q where not direct and rewritten is not null),
         c0 as (select chunk_id, collection, min(row(text, metadata.document_name, metadata.section_heading)) as r from chunk where chunk_id is not null and text is not null group by all),

@@ -303,6 +303,9 @@ def test_text_helpers(spark):
     df = spark.createDataFrame(rows, "us long, t string, iso string")
     got = df.select(T.iso_time("us").alias("i"), T.or_default("t", F.lit("d")).alias("d"), T.utc_micros("iso").alias("u"), T.fill("a {x} b {y}", x=F.col("t"), y=F.col("us")).alias("f")).collect()
     assert [r.i for r in got] == ["1970-01-01T00:00:00+00:00", "2023-11-14T22:13:20.000001+00:00", "1969-12-31T23:59:59.999999+00:00"]
+    zero = spark.createDataFrame([(0, "0", [], False, 0.0), (5, "x", [1], True, 2.5)], "i int, s string, a array<int>, b boolean, f double")
+    d = zero.select(T.or_default("i", F.lit(9)), T.or_default("s", F.lit("d")), T.or_default("a", F.array(F.lit(7))), T.or_default("b", F.lit(True)), T.or_default("f", F.lit(1.5))).collect()
+    assert [tuple(r) for r in d] == [(9, "0", [7], True, 1.5), (5, "x", [1], True, 2.5)]
     assert [r.d for r in got] == ["d", "d", "x"] and [r.u for r in got] == [1704164645000000, 1704157445500000, None] and got[2].f == "a x b -1"
     m = df.limit(1).select(T.merged(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit("2")), F.create_map(F.lit("b"), F.lit("3")), F.lit(None).cast("map<string,string>")).alias("m")).first().m
     assert m == {"a": "1", "b": "3"}
