@@ -115,7 +115,9 @@ def ask(questions: DataFrame, index: DataFrame, models: Models = Models(), top:
 
     ``questions``: ``query_id, question, scope, username, collection`` with unique ids;
     ``shared`` and ``personal`` name the collections of a scope.  ``metadata`` holds
-    ``classified_route``, ``top_chunk_distance`` and ``n_chunks``.  With ``web``, questions without a near chunk take the web route.  With ``legacy``
+    ``classified_route``, ``top_chunk_distance``, and of the answer ``n_chunks`` and
+    ``original_query``, which is the rewritten one.  With ``web``, questions without a
+    near chunk take the web route.  With ``legacy``
     nothing is classified, scopes are dispatched without a look at the user, and an
     unknown scope is an error row.
     """
@@ -132,7 +134,7 @@ def ask(questions: DataFrame, index: DataFrame, models: Models = Models(), top:
     failed = ~none & F.col("reply").isNull()
     weak = ~none & (F.coalesce(first, F.lit(2.0)) > WEAK)
     null = F.lit(None).cast("string")
-    meta = lambda d, n: F.struct(F.col("route").alias("classified_route"), d.alias("top_chunk_distance"), n.alias("n_chunks"))
+    meta = lambda d, n: F.struct(F.col("route").alias("classified_route"), d.alias("top_chunk_distance"), n.alias("n_chunks"), F.when(n > 0, F.col("rewritten")).alias("original_query"))
     shown = F.transform("picked", lambda c: F.struct(c["document"].alias("document"), c["section"].alias("section"), T.preview(c["text"]).alias("text")))
     rag_out = r.select(
         "query_id",
@@ -148,7 +150,7 @@ def ask(questions: DataFrame, index: DataFrame, models: Models = Models(), top:
     )
     if web:
         rag_out = taking_web_route(rag_out)
-    reply = cut_lineage(q.where("route <> 'rag'").select("query_id", "route", models.direct(F.col("question")).alias("reply")))
+    reply = cut_lineage(q.where("route <> 'rag'").select("query_id", "route", "rewritten", models.direct(F.col("question")).alias("reply")))
     direct = reply.select(
         "query_id", F.coalesce("reply", F.lit(NO_REPLY)).alias("response"), null.alias("justification"), F.array().cast(_SOURCES).alias("sources"), F.lit(ROUTES["direct"]).alias("route_taken"),
         null.alias("rewritten_query"), F.col("reply").isNotNull().alias("success"), F.lit(False).alias("needs_web_scraping"), meta(F.lit(None).cast("double"), F.lit(0)).alias("metadata"),

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorikeet.plans import p1, reference
+from lorikeet.plans import p1, reference, stored
 
-_MODULES = (reference, p1)
+_MODULES = (reference, stored, p1)
 
 
 def queries() -> dict:

@@ -50,6 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, None] = {}
 
 
+def scratch(spark: SparkSession) -> str:
+    """The path of a new folder below the shared one; it goes with the intermediate tables."""
+    path = f"{shared_dir(spark)}/lorikeet-{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    _WRITTEN[path] = None
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -57,11 +66,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     one such table, ``end_query`` all; what is left goes when the session ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorikeet-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    _WRITTEN[path] = None
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out

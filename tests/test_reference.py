@@ -367,7 +367,7 @@ def test_ask(spark):
     q = spark.createDataFrame([(1, "time before coverage starts for cataract surgery", "shared", "u", None), (2, "hello there", "shared", "u", None), (3, "cataract", "combined", "u", None), (4, "anything", "odd", "u", "missing"), (5, None, "shared", None, None)], "query_id long, question string, scope string, username string, collection string")
     index = index_chunks(chunk)
     r = {x.query_id: x for x in ask(q, index).collect()}
-    assert r[1].rewritten_query == "waiting period for cataract surgery" and r[1].response.startswith("waiting period") and r[1].justification == "Referenced from Section: Waiting" and r[1].metadata.n_chunks == 2
+    assert r[1].rewritten_query == "waiting period for cataract surgery" and r[1].response.startswith("waiting period") and r[1].justification == "Referenced from Section: Waiting" and r[1].metadata.n_chunks == 2 and r[1].metadata.original_query == r[1].rewritten_query
     assert r[2].route_taken == "direct_llm" and r[2].rewritten_query is None and r[3].metadata.n_chunks == 3 and r[4].response == NO_MATCH and r[4].success and r[5].response == NO_MATCH
     assert [s.document for s in r[1].sources] == ["p", "p"] and r[1].sources[0].text.endswith("...") and r[1].metadata.top_chunk_distance < 1
     picky = Models(rerank=lambda prompt, question, chunks: F.when(prompt.contains("Chunk 0:"), "1"))
