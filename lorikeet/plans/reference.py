@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorikeet.functions import text as T
 from lorikeet.operators import chunking, embedding, search, store
 from lorikeet.operators.lockout import lock_states, locked_events, login_outcomes
-from lorikeet.plans.ask import ANSWER_PROMPT, NO_MATCH, RERANK_PROMPT, WEB_REPLY, DIRECT_REPLY, ask, index_chunks
+from lorikeet.plans.ask import ANSWER_PROMPT, NO_MATCH, RERANK_PROMPT, WEB_REPLY, DIRECT_REPLY, Models, ask, index_chunks
 from lorikeet.sources.tables import table
 
 HOT_USER = "branch.kiosk01"
@@ -287,6 +287,17 @@ def ask_legacy(spark: SparkSession, d: str) -> DataFrame:
     return _asked_rows(ask(_questions(spark, d), index_chunks(table(spark, d, "chunk")), legacy=True, **COLLECTIONS))
 
 
+def _picky(prompt: Column, question: Column, chunks: Column) -> Column:
+    """A re-ranker that reorders some lists, fails on some, and names chunks that aren't there."""
+    n = F.length(question) % 3
+    return F.when(prompt.contains("Chunk 0:") & (n == 0), "4,1").when(n == 2, "29, 2,0\nthe others don't fit")
+
+
+def ask_reranked(spark: SparkSession, d: str) -> DataFrame:
+    """The pipeline with a re-ranking model; where it fails the order stays."""
+    return _asked_rows(ask(_questions(spark, d), index_chunks(table(spark, d, "chunk")), Models(rerank=_picky), **COLLECTIONS))
+
+
 def ask_web(spark: SparkSession, d: str) -> DataFrame:
     """The stated set with the web route for questions whose nearest chunk is far."""
     q = _questions(spark, d).withColumn("question", F.when(F.col("query_id") % 100 == 0, F.lit("zzz qqq")).otherwise(F.col("question")))
@@ -327,6 +338,28 @@ def history_append(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "username", "question", F.coalesce("answer", F.lit("")).alias("answer"), F.coalesce(F.size("sources"), F.lit(-1)).alias("n_sources"))
 
 
+def delete_and_audit(spark: SparkSession, d: str) -> DataFrame:
+    """A user's personal files are deleted: the rows go and one event each is appended."""
+    f = table(spark, d, "uploaded_files").distinct()
+    mine = (F.col("scope") == "personal") & (F.col("username") == HOT_USER)
+    left = store.delete_matching(f, mine)
+    gone = f.where(mine & F.col("uploaded_at").isNotNull()).select("username", F.lit("user").alias("role"), F.lit("DELETE").alias("event_type"), F.lit("file").alias("resource_type"), F.col("filename").alias("resource_id"), F.col("uploaded_at").alias("created_at"), F.col("id").alias("n"))
+    events = store.append_rows(table(spark, d, "audit_events"), gone, "id", "n", store.AUDIT_DEFAULTS).where("event_type = 'DELETE'")
+    what = lambda df, kind: df.select(F.lit(kind).alias("what"), "id", F.col("filename" if kind == "file" else "resource_id").alias("filename"))
+    return what(left, "file").unionByName(what(events, "event"))
+
+
+def required_values(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of each operational table, and those that break its rule of required columns."""
+    out = None
+    for name in store.REQUIRED:
+        t = table(spark, d, name)
+        one = t.agg(F.count("*").alias("n_rows")).crossJoin(store.missing_values(t, name).agg(F.count("*").alias("n_broken")))  # one row each
+        one = one.select(F.lit(name).alias("table_name"), F.lit(len(store.empty_table(spark, name).columns)).alias("n_columns"), "n_rows", "n_broken")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def iso_times(spark: SparkSession, d: str) -> DataFrame:
     """Times as ISO texts, and read back from a text without a zone."""
     e = table(spark, d, "audit_events").where("created_at is not null").select("id", F.unix_micros("created_at").alias("us")).distinct()
@@ -357,7 +390,7 @@ QUERIES = {
         knn_cosine_top15, knn_per_query, weak_match_flag, combined_scope_concat, weighted_rerank, heading_lines, paragraphs, token_windows, chunk_ids,
         hash_embed_knn, rerank_index_parse, rerank_index_strict, answer_parse, answer_display, source_preview, prompt_listing, context_strings, history_top50, activity_top100, recent_queries_top5, files_by_scope,
         user_point_lookup, exists_check, upsert_overlay, insert_absent, replace_latest_personal, delete_matching, json_metadata, route_normalise,
-        question_routes, glossary_rewrite, password_rules, lockout_fold, lockout_fold_day, lockout_events, ask_pipeline, ask_sources, ask_legacy, ask_web, prompts_filled, files_by_user, audit_append, history_append, iso_times, metadata_merge, registered_users,
+        question_routes, glossary_rewrite, password_rules, lockout_fold, lockout_fold_day, lockout_events, ask_pipeline, ask_sources, ask_legacy, ask_reranked, ask_web, prompts_filled, files_by_user, audit_append, history_append, delete_and_audit, required_values, iso_times, metadata_merge, registered_users,
     )
 }
 
@@ -429,7 +462,7 @@ def _hashed_sql(x: str) -> str:
     return f"list_transform(range(64), lambda b: len(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: ('0x' || substr(md5(t), 1, 8))::bigint % 64 = b))::double)"
 
 
-def _ask_sql(legacy: bool = False, web: bool = False) -> str:
+def _ask_sql(legacy: bool = False, web: bool = False, picks: str = "[0, 1, 2, 3, 4]") -> str:
     """Route, rewriting, search per collection, weighted re-ranking and the first five chunks as tables."""
     term = "question"
     for k, v in T.GLOSSARY.items():
@@ -452,8 +485,11 @@ def _ask_sql(legacy: bool = False, web: bool = False) -> str:
         n as (select *, row_number() over (partition by query_id, sr order by dist, row_id) as rk from d qualify rk <= 15),
         f as (select *, row_number() over (partition by query_id order by sr, rk) - 1 as position, 0.7 * ({safe('v', 'tv')}) + 0.3 * ({safe('v', 'hv')}) as score from n),
         w as (select *, row_number() over (partition by query_id order by round(score, 9) desc, position) as pos from f),
-        top5 as (select * from w where pos <= 5),
-        one as (select query_id, min(dist) filter (where position = 0) as first, arg_min(text, pos) as text, arg_min(coalesce(section, 'General'), pos) as section, least(count(*), 5)::int as n from w group by query_id),
+        size as (select query_id, min(dist) filter (where position = 0) as first, count(*) as m from w group by query_id),
+        named as (select query_id, first, m, list_filter({picks}, lambda x: x < m) as ok from size join q using (query_id)),
+        chosen as (select query_id, first, case when len(ok) > 0 then ok else range(least(m, 5)) end as ps from named),
+        top5 as (select query_id, o as pos, document, section, text from (select query_id, unnest(ps) + 1 as pos, unnest(range(1, len(ps) + 1)) as o from chosen) join w using (query_id, pos)),
+        one as (select query_id, first, len(ps)::int as n, text, coalesce(section, 'General') as section from chosen join top5 using (query_id) where pos = 1),
         reply as (select query_id, first, n, string_split('Answer: ' || text || ' Justification: Referenced from Section: ' || section, 'Justification:') as p from one),
         told as (select query_id, first, n, {_strip("replace(p[1], 'Answer:', '')")} as answer, case when len(string_split(p[2], 'Referenced from Section:')) > 1 then 'Referenced from Section: ' || {_strip("string_split(p[2], 'Referenced from Section:')[2]")} else {_strip('p[2]')} end as justification from reply),
         asked as (select q.query_id, direct, rewritten, n, first, answer, justification, coalesce(first > 1.2, false) as far, {'scope is null or scope not in (' + "'shared', 'personal', 'combined')" if legacy else 'false'} as bad, scope, {'true' if web else 'false'} as web from q left join told using (query_id))"""
@@ -552,7 +588,14 @@ ORACLE = {
     "ask_pipeline": _ask_sql() + _ASKED,
     "ask_sources": _ask_sql() + """ select query_id, (pos - 1)::int as pos, coalesce(document, '') as document, coalesce(section, '') as section, substr(text, 1, 200) || '...' as preview from top5""",
     "ask_legacy": _ask_sql(legacy=True) + _ASKED,
+    "ask_reranked": _ask_sql(picks="case length(rewritten) % 3 when 0 then [4, 1] when 2 then [29, 2, 0] else [0, 1, 2, 3, 4] end") + _ASKED,
     "ask_web": _ask_sql(web=True) + _ASKED,
+    "delete_and_audit": f"""with f as (select distinct * from uploaded_files), g as (select * from f where coalesce(scope = 'personal' and username = '{HOT_USER}', false)), m as (select max(id) as m from audit_events)
+        select 'file' as what, id, filename from f where not coalesce(scope = 'personal' and username = '{HOT_USER}', false) union all select 'event', id, resource_id from audit_events where event_type = 'DELETE' union all
+        select 'event', m + row_number() over (order by uploaded_at, id), filename from g, m where uploaded_at is not null""",
+    "required_values": " union all ".join(
+        f"select '{t}' as table_name, {len(store.SCHEMAS[t].replace('struct<document:string,section:string,text:string>', '').split(','))} as n_columns, count(*) as n_rows, count(*) filter (where {' or '.join(f'{c} is null' for c in cs)}) as n_broken from {t}" for t, cs in store.REQUIRED.items()
+    ),
     "prompts_filled": f"""with {_FIRST_CHUNKS},
         l as (select document, string_agg(chr(10) || 'Chunk ' || (rk - 1) || ':' || chr(10) || 'Section: ' || coalesce(section, 'None') || chr(10) || 'Content: ' || text || chr(10) || repeat('-', 80) || chr(10), '' order by rk) as r,
           string_agg(chr(10) || 'Chunk ' || rk || ':' || chr(10) || 'Section: ' || coalesce(section, 'None') || chr(10) || 'Text: ' || text || chr(10) || repeat('-', 80) || chr(10), '' order by rk) as a from t group by document)
