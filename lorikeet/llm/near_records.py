@@ -129,12 +129,13 @@ def list_lengths(rows: DataFrame) -> np.ndarray:
 
 
 def divide(sets: DataFrame, lengths: np.ndarray, threshold: float) -> DataFrame:
-    """``set, n, sketch, short, long, order, last``: the two parts of every set, both empty
-    where it can have no partner.
+    """``set, n, sketch, short, long, crowded, order, last``: the two parts of every set, both
+    empty where it can have no partner.
 
-    ``order, last`` name the place in the global order at which the short part ends.
+    ``crowded`` are those of the short part whose counter is over ``CELL``: no other list can
+    be that long.  ``order, last`` name the place in the global order at which the short part ends.
     """
-    sent = sets.sparkSession.sparkContext.broadcast(lengths)
+    sent, cell = sets.sparkSession.sparkContext.broadcast(lengths), CELL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,9 +157,9 @@ def divide(sets: DataFrame, lengths: np.ndarray, threshold: float) -> DataFrame:
             part = lambda m: lists(v[m & ok[row]].view(np.uint64), np.concatenate(([0], np.cumsum(np.bincount(row[m & ok[row]], minlength=len(n))))))  # noqa: E731, B023
             end = by_length[np.minimum(first + np.maximum(n_short, 1) - 1, max(len(v) - 1, 0))] if len(v) else np.zeros(len(n), dtype=np.int64)
             order, last = (length[end], v[end]) if len(v) else (np.zeros(len(n), dtype=np.int32), np.zeros(len(n), dtype=np.int64))
-            yield pa.record_batch([b.column(0), b.column(1), b.column(3), part(short), part(~short), pa.array(order.astype(np.int32)), pa.array(last)], names=["set", "n", "sketch", "short", "long", "order", "last"])
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), part(short), part(~short), part(short & (length > cell)), pa.array(order.astype(np.int32)), pa.array(last)], names=["set", "n", "sketch", "short", "long", "crowded", "order", "last"])
 
-    return sets.select("set", "n", "sh", "sketch").mapInArrow(run, "set struct<a:bigint,b:bigint>, n int, sketch binary, short array<bigint>, long array<bigint>, order int, last bigint")
+    return sets.select("set", "n", "sh", "sketch").mapInArrow(run, "set struct<a:bigint,b:bigint>, n int, sketch binary, short array<bigint>, long array<bigint>, crowded array<bigint>, order int, last bigint")
 
 
 def _meet(threshold: float):
@@ -258,7 +259,7 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     spark = sets.sparkSession
     posting = sets.select("sid", "n", "sketch", F.explode("short").alias("t"))
     # Lists over CELL long are cut into blocks, and every two blocks meet in one cell.
-    long = cut_lineage(posting.groupBy("t").agg(F.count("*").alias("len")).where(F.col("len") > CELL).select("t", F.ceil(F.col("len") / CELL).cast("int").alias("m")))
+    long = cut_lineage(sets.select(F.explode("crowded").alias("t")).groupBy("t").agg(F.count("*").alias("len")).where(F.col("len") > CELL).select("t", F.ceil(F.col("len") / CELL).cast("int").alias("m")))
     n_long = long.count()
     if n_long:
         posting = posting.join(F.broadcast(long) if n_long <= MOST_SENT else long.hint("merge"), "t", "left").withColumn("m", F.coalesce("m", F.lit(1)))
