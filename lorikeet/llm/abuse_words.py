@@ -7,6 +7,8 @@ dumbasses jackass bastard bastards cunt whore slut twat wanker prick douchebag d
 puta puto pendejo gilipollas cabron cabrón hijoputa mierda
 arschloch hurensohn wichser fotze schlampe vollidiot drecksau missgeburt
 connard connards connasse salope putain enculé encule ordure
+motherfuckers fuckface cunts whores sluts twats wankers scumbag scumbags dipshit dickheads shitface faggots
+cabrones putas putos capullo maricón zorra arschlöcher schlampen huren hure fotzen miststück salopes pute putes connasses enculés
 कमीने कमीना हरामी हरामज़ादे कुतिया कुत्ते गधे
 """.split()
 
@@ -15,9 +17,10 @@ INSULT = """
 idiot idiots moron morons imbecile imbeciles halfwit halfwits loser losers
 cockroach cockroaches parasite parasites leech leeches vermin scum savages savage
 stupid brainless spineless worthless useless pathetic filthy disgusting miserable rotten
+cretin cretins dimwit nitwit numbskull lowlife lowlifes
 idiota idiotas imbécil imbecil estúpido estúpida cerdo asqueroso asquerosa
 dummes dummer schwein sau dreck verdammter abschaum trottel
-idiote imbécile crétin
+idioten dummkopf idiote imbécile crétin abruti estúpidos estúpidas imbéciles
 """.split()
 
 # Words that insult only in direct address: animals and everyday words.
@@ -44,6 +47,7 @@ parásitos sucios ungeziefer rausgeworfen parasiten abschaum vermine chasse chas
 
 # Sexual words that arouse wherever they stand.
 SEXUAL = """
+cumshot gangbang hentai threesome deepthroat camgirl
 pussy pussies cock cocks dick dicks tits boobs boob nudes horny blowjob handjob porn porno xxx milf
 tetas chuparte follar titten titte ficken geile muschi nichons
 """.split()
@@ -54,9 +58,10 @@ AROUSE = "send watch touch enjoy click begged grabbed spread night tonight adult
 
 # Threats and wishes of harm.
 THREATS = [
-    r"find you\b.{0,30}\bbreak", r"\bi(?: will|['’]ll| am going to)\b.{0,30}\b(?:break|kill|beat|hurt) you", r"\bkill yourself", r"\bgo and die\b", r"\bhope\b.{0,30}\b(?:you|he|she|they)\b.{0,12}\b(?:die|choke|burn|rot)\b",
+    r"find you\b.{0,30}\bbreak", r"\bi(?: will|['’]ll| am going to|['’]m going to| am gonna|['’]m gonna)\b.{0,30}\b(?:(?:break|kill|beat|hurt|stab|shoot|strangle) you|(?:kill|stab|shoot|strangle) (?:him|her|them))\b", r"\bkill yourself", r"\bgo and die\b", r"\bhope\b.{0,30}\b(?:you|he|she|they)\b.{0,12}\b(?:die|choke|burn|rot)\b",
     r"\bhope\b.{0,60}\bgets? cancer", r"\bmay your house burn", r"\bgo to hell\b", r"\bwait outside\b.{0,40}\bwith a (?:bat|knife|gun)", r"\bhow many teeth you keep", r"\bscrew you\b", r"\bshut your\b.{0,15}\bmouth",
     r"\bnobody would miss you", r"\blet them rot\b", r"\bwiped out\b", r"\bcleaner without\b", r"\bhang yourself", r"\bslit your", r"\bwatch your back\b",
+    r"\byou (?:should|deserve to|ought to) (?:die|be shot|be hanged)\b", r"\bdrop dead\b", r"\b(?:rot|burn) in hell\b", r"\bi know where you live\b", r"\bwish (?:you|he|she|they) (?:were|was) dead\b", r"\bte voy a (?:partir|pegar|reventar)\b", r"\bich (?:schlag|mach) dich\b", r"\bje vais te (?:tuer|frapper|crever)\b",
     r"\bvete al infierno", r"\bte mueras\b", r"\bte voy a matar", r"\bverrecke\b", r"\bhalt die fresse", r"\bbring dich um\b", r"\bferme ta gueule", r"\bta gueule\b", r"\bcrève\b", r"\bva mourir\b", r"sale con\b", r"चुप रह", r"मर जा",
 ]
 

@@ -256,7 +256,6 @@ def _meet(threshold: float):
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """``a, b, similarity`` of all pairs ``a < b`` of the divided sets."""
-    spark = sets.sparkSession
     posting = sets.select("sid", "n", "sketch", F.explode("short").alias("t"))
     # Lists over CELL long are cut into blocks, and every two blocks meet in one cell.
     long = cut_lineage(sets.select(F.explode("crowded").alias("t")).groupBy("t").agg(F.count("*").alias("len")).where(F.col("len") > CELL).select("t", F.ceil(F.col("len") / CELL).cast("int").alias("m")))
