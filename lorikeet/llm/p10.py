@@ -25,7 +25,7 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Documents and offending documents per source."""
     docs = table(spark, d, "documents")
-    scored = docs.select("doc_id", "source").join(_scores(spark, d).select(F.col("key").alias("doc_id"), "score"), "doc_id")
+    scored = docs.select("doc_id", "source").join(_scores(spark, d).select(F.col("key").alias("doc_id"), "score").hint("merge"), "doc_id")
     bad = F.sum((F.col("score") >= THRESHOLD).cast("bigint"))
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), bad.alias("n_offending"), F.round(bad / F.count("*"), 6).alias("rate"))
 

@@ -28,7 +28,7 @@ def p7_rates(spark: SparkSession, d: str) -> DataFrame:
     v = _values(spark, d)
     cut = find_truncated(v.drop("origin")).withColumn("cut", F.lit(1))
     all_ = v.where("text is not null").groupBy("key").agg(F.min("origin").alias("origin"))
-    rate = all_.join(cut, "key", "left").groupBy("key.field", "origin").agg(F.count("*").alias("n_values"), F.count("cut").alias("n_cut"))
+    rate = all_.join(cut.hint("merge"), "key", "left").groupBy("key.field", "origin").agg(F.count("*").alias("n_values"), F.count("cut").alias("n_cut"))
     return rate.select("field", "origin", "n_values", "n_cut", F.round(F.col("n_cut") / F.col("n_values"), 6).alias("share_cut"))
 
 
