@@ -33,6 +33,7 @@ _KIND_OF = ["", *(x[2:] for x in LABELS[1:])]
 SKIPS, AGREEING = ("same", "like"), ("name", "address")
 #: Shortest words that are joined, and that are joined to others one edit apart.
 LEAST, LEAST_LIKE = 3, 5
+_SIGNS = " \t\r\n,.;:!?()[]{}<>\"'*|/\\_-–—•·#&"
 #: Texts handled together.
 BATCH = 250
 
@@ -43,6 +44,14 @@ def agreement(weights: dict[str, dict[str, float]]) -> np.ndarray:
     return np.stack([sum(weights[s][k] * same[k] for k in AGREEING) for s in SKIPS])
 
 
+def whole_name(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
+    """A name from its first to its last part: no sign at its ends; nothing with a digit is one."""
+    name = text[start:end]
+    start += len(name) - len(name.lstrip(_SIGNS))
+    end -= len(name) - len(name.rstrip(_SIGNS))
+    return (start, end, kind) if start < end and not any(map(str.isdigit, name)) else None
+
+
 def shortened(w: str) -> list[str]:
     """The word, and the word without each of its letters: two words one edit apart share one of these."""
     return [w, *{w[:i] + w[i + 1 :] for i in range(len(w))}]
@@ -210,6 +219,7 @@ class Tagger:
                 else:
                     out[k].append((a, b, kind))
                 last = (p, kind, ln)
+            out[k] = [x for x in (whole_name(texts[k], *i) if i[2] == "name" else i for i in out[k]) if x]
         return out
 
 

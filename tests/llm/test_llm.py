@@ -254,6 +254,14 @@ def test_lines_left_undecoded_are_all_outside(sf):
         assert y.tolist() == viterbi_lines(u, first, size, t.trans, t.start).tolist() and (noise == 0 or y.any())
 
 
+def test_names_end_at_their_parts():
+    from lorikeet.llm.pii import whole_name
+
+    t = ". Tilda K. Wren, 12"
+    assert whole_name(t, 0, 16, "name") == (2, 15, "name") and whole_name(t, 0, 19, "name") is None and whole_name(t, 0, 2, "name") is None
+    assert whole_name("रवि शर्मा", 0, 9, "name") == (0, 9, "name")
+
+
 def test_edges_join_same_and_like_words():
     from lorikeet.llm.pii import Tagger, shortened
 
