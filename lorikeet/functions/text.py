@@ -31,7 +31,12 @@ DASH = "—"
 # Openings of questions that need no document (greetings, thanks, small talk).
 DIRECT_PATTERN = r"^(hi|hello|hey|good (morning|afternoon|evening)|thanks|thank you|who are you|what can you do)\b"
 
+# Layouts of a context and of a prompt's numbered listing.
 RULE = "-" * 80
+CONTEXT_LAYOUT = "[Document: {document}]\n[Section: {section}]\nContent: {text}\n" + RULE + "\n"
+LISTING_LAYOUT = "\nChunk {number}:\nSection: {section}\n{label}: {text}\n" + RULE + "\n"
+#: What stands in a layout where a chunk has nothing.
+MISSING = "None"
 
 
 def strip(c: Column | str) -> Column:
@@ -126,10 +131,14 @@ def strict_indices(reply: Column | str, n: Column, k: int) -> Column:
 
 def context_string(chunks: Column) -> Column:
     """All chunks with document, section and content, a rule after each; empty for none."""
-    one = lambda c: F.concat(F.lit("[Document: "), F.coalesce(c["document"], F.lit("None")), F.lit("]\n[Section: "), F.coalesce(c["section"], F.lit("None")), F.lit("]\nContent: "), F.coalesce(c["text"], F.lit("None")), F.lit(f"\n{RULE}\n"))
+    one = lambda c: _laid_out(CONTEXT_LAYOUT, c, ("document", "section", "text"))
     return F.coalesce(F.array_join(F.transform(chunks, one), "\n"), F.lit(""))
 
 
+def _laid_out(layout: str, chunk: Column, fields: tuple[str, ...], **more: Column) -> Column:
+    return fill(layout, **{f: F.coalesce(chunk[f], F.lit(MISSING)) for f in fields}, **more)
+
+
 def shown_answer(answer: Column | str) -> Column:
     """The answer as it is shown; a default for an empty one."""
     c = F.col(answer) if isinstance(answer, str) else answer
@@ -202,7 +211,7 @@ def preview(text: Column | str, size: int = 200) -> Column:
 
 def listing(chunks: Column, first: int, label: str) -> Column:
     """Numbered chunk listing of a prompt; ``chunks`` holds ``section`` and ``text``."""
-    one = lambda c, i: F.concat(F.lit("\nChunk "), (i + first).cast("string"), F.lit(":\nSection: "), F.coalesce(c["section"], F.lit("None")), F.lit(f"\n{label}: "), F.coalesce(c["text"], F.lit("None")), F.lit(f"\n{RULE}\n"))
+    one = lambda c, i: _laid_out(LISTING_LAYOUT, c, ("section", "text"), number=i + first, label=F.lit(label))
     return F.array_join(F.transform(chunks, one), "")
 
 
