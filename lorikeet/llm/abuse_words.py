@@ -63,21 +63,21 @@ AROUSE = "send watch touch enjoy click begged grabbed spread night tonight adult
 
 # Threats and wishes of harm.
 THREATS = [
-    r"find you\b.{0,30}\bbreak", r"\bi(?: will|['’]ll| am going to|['’]m going to| am gonna|['’]m gonna)\b.{0,30}\b(?:(?:break|kill|beat|hurt|stab|shoot|strangle) you|(?:kill|stab|shoot|strangle) (?:him|her|them))\b", r"\bkill yourself", r"\bgo and die\b", r"\bhope\b.{0,30}\b(?:you|he|she|they)\b.{0,12}\b(?:die|choke|burn|rot|drown|bleed|starve)\b",
+    r"find you\b.{0,30}\bbreak", *(rf"\bi(?: will|['’]ll| am going to|['’]m going to| am gonna|['’]m gonna)\b.{{0,30}}\b{verb} you\b" for verb in ("break", "kill", "beat", "hurt")), r"\bi(?: will|['’]ll| am going to|['’]m going to| am gonna|['’]m gonna)\b.{0,30}\b(?:shoot|strangle|murder) (?:you|him|her|them)\b", r"\bkill yourself", r"\bgo and die\b", r"\bhope\b.{0,30}\b(?:you|he|she|they)\b.{0,12}\b(?:die|choke|burn|rot|drown|bleed|starve)\b",
     r"\bhope\b.{0,60}\bgets? cancer", r"\bmay your house burn", r"\bgo to hell\b", r"\bwait outside\b.{0,40}\bwith a (?:bat|knife|gun)", r"\bhow many teeth you keep", r"\bscrew you\b", r"\bshut your\b.{0,15}\bmouth",
     r"\bnobody would miss you", r"\blet them rot\b", r"\bwiped out\b", r"\bcleaner without\b", r"\bhang yourself", r"\bslit your", r"\bwatch your back\b",
-    r"\b(?:will|['’]ll|going to|gonna)\b.{0,20}\b(?:break|smash|crush|cut|slit|snap) your (?:neck|legs?|face|bones|arms?|fingers|teeth|nose|jaw|skull|throat|head)\b", r"\bput you in (?:the|a) (?:ground|hospital|grave|wheelchair|coffin)\b", r"\byou(?:['’]re| are) (?:a )?dead (?:man|meat|woman)\b",
+    *(rf"\b(?:will|['’]ll|going to|gonna)\b.{{0,20}}\b{verb} your (?:neck|legs?|face|bones|arms?|fingers|teeth|nose|jaw|skull|throat|head)\b" for verb in ("break", "smash", "crush", "slit", "snap")), r"\bput you in (?:the|a) (?:ground|hospital|grave|wheelchair|coffin)\b", *(rf"\byou(?:['’]re| are) (?:a )?dead {noun}\b" for noun in ("man", "meat", "woman")),
     r"\b(?:kick|beat|whip) your (?:ass|arse)\b", r"\bbeat the (?:crap|hell|life) out of (?:you|him|her|them)\b", r"\b(?:go|should|just|please)\b.{0,10}\bjump off (?:a|the) (?:bridge|cliff|roof|building)\b", r"\bmake you (?:suffer|regret)\b",
-    r"\b(?:you|such an?|what an?|total|complete|absolute) (?:jerk|creep|weasel|donkey|maggot|coward|snake|skunk|witch|hag|git|muppet|prat|dope|pervert)s?\b",
+    r"\b(?:you|such an?|what an?|total|complete|absolute) (?:jerk|weasel|donkey|maggot|coward|skunk|muppet|pervert)s?\b",
     r"\bmuérete\b", r"\bojalá te pudras\b", r"\bp[uú]drete\b", r"\bvete a la mierda\b", r"\bfahr zur hölle\b", r"\bverpiss dich\b", r"\bfick dich\b", r"\bgeh sterben\b", r"\bva te faire (?:foutre|voir)\b", r"\bva crever\b", r"भाड़ में जा", r"जान से मार",
-    r"\byou (?:should|deserve to|ought to) (?:die|be shot|be hanged)\b", r"\bdrop dead\b", r"\b(?:rot|burn) in hell\b", r"\bi know where you live\b", r"\bwish (?:you|he|she|they) (?:were|was) dead\b", r"\bte voy a (?:partir|pegar|reventar)\b", r"\bich (?:schlag|mach) dich\b", r"\bje vais te (?:tuer|frapper|crever)\b",
+    *(rf"\byou {ought} (?:die|be shot|be hanged)\b" for ought in ("should", "deserve to", "ought to")), r"\bdrop dead\b", r"\b(?:rot|burn) in hell\b", r"\bi know where you live\b", r"\bwish (?:you|he|she|they) (?:were|was) dead\b", r"\bte voy a (?:partir|pegar|reventar)\b", r"\bich schlag dich\b", r"\bich mach dich\b", r"\bje vais te (?:tuer|frapper|crever)\b",
     r"\bvete al infierno", r"\bte mueras\b", r"\bte voy a matar", r"\bverrecke\b", r"\bhalt die fresse", r"\bbring dich um\b", r"\bferme ta gueule", r"\bta gueule\b", r"\bcrève\b", r"\bva mourir\b", r"sale con\b", r"चुप रह", r"मर जा",
 ]
 
 # Phrases that demean a group when one of GROUP stands in the sentence.
 GROUP_PHRASES = [
     r"\bkeep\b.{1,40}\bout of\b.{1,40}\bthey are\b", r"\bsend\b.{1,40}\bback where they came", r"\bnever trust\b", r"\bhire no\b", r"\bdo(?:n['’]?t| not) deserve\b", r"\bwhy (?:do|should) we pay for\b.{1,40}\bbreed\b",
-    r"\b(?:are|is) (?:all )?(?:a )?(?:disease|animals|vermin|parasites|garbage|rats|pigs|inferior)\b", r"\bmade\b.{1,40}\binferior\b", r"\bstinks? like\b", r"\bthrown out of\b", r"\bruin everything\b", r"\bbreed like\b", r"\b(?:should|must|ought to) (?:all )?be (?:deported|locked up|sterili[sz]ed|shot|killed|exterminated|gassed)\b", r"\bdon['’]?t belong (?:here|in)\b", r"\bare (?:all )?(?:thieves|criminals|terrorists|filthy|scum|subhuman|savages|monkeys)\b", r"\btoo dumb\b",
+    r"\b(?:are|is) (?:all )?(?:a )?(?:disease|animals|vermin|parasites|garbage|rats|pigs|inferior)\b", r"\bmade\b.{1,40}\binferior\b", r"\bstinks? like\b", r"\bthrown out of\b", r"\bruin everything\b", r"\bbreed like\b", r"\b(?:should|must|ought to) (?:all )?be (?:deported|locked up|sterili[sz]ed|killed|exterminated|gassed)\b", r"\bdon['’]?t belong (?:here|in)\b", r"\bare (?:all )?(?:thieves|criminals|terrorists|filthy|scum|subhuman|savages|monkeys)\b", r"\btoo dumb\b",
 ]
 
 #: Words that make a weak word harmless: what is reported, treated or meant literally.

@@ -12,8 +12,13 @@ from re import _parser as sre
 import ahocorasick
 
 
+#: Words that most texts hold; a choice with one of them is the last to be taken.
+FREQUENT = frozenset(["you", "your", "will", "should", "must", "ought to", "going to", "are", "is", "the", "just", "please", "out of"])
+
+
 def required(pattern: str) -> frozenset[str]:
-    """Literals of which every match of a pattern contains one: the longest choice that its parts offer."""
+    """Literals of which every match of a pattern contains one: of the choices that its parts
+    offer, the one whose shortest literal is longest, frequent words aside."""
 
     def of(items: Iterable) -> frozenset[str]:
         choices, run = [], ""
@@ -32,7 +37,7 @@ def required(pattern: str) -> frozenset[str]:
             elif op is sre.MAX_REPEAT and arg[0] > 0:
                 choices.append(of(arg[2]))
         choices.append(frozenset([run.strip()]))
-        return max(choices, key=lambda ws: min(map(len, ws)))
+        return max(choices, key=lambda ws: min(len(w) if w not in FREQUENT else min(len(w), 1) for w in ws))
 
     return of(sre.parse(pattern))
 
