@@ -41,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,8 @@ LANES, LONG = 8, 400
 CELL = 4096
 #: Most long cells whose table is sent to all tasks (20 bytes each); more are joined.
 MOST_SENT = 100_000
+#: Columns of a signed set.
+SET = "set struct<a:bigint,b:bigint>, n int, sh array<bigint>, sketch binary"
 #: Pairs looked at in one vector operation, and pairs counted together.
 PAIRS, COUNTED = 1 << 15, 1 << 18
 
@@ -86,6 +89,18 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words[off[:-1, None] + lane], upper
 
 
+def signed(key: pa.Array, v: np.ndarray, o: np.ndarray, alone: pa.Array | None = None) -> pa.RecordBatch:
+    """``key, set, n, sh, sketch`` of shingle sets; ``alone`` names the sets that are empty."""
+    keys = set_keys(v, o)
+    sid = pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["a", "b"])
+    if alone is not None and not np.diff(o).all():
+        sid = pc.if_else(pa.array(np.diff(o) > 0), sid, alone)
+    wide = parity_sketch(v, o, 2 * LANES)
+    # The narrow sketch is the wide one folded, so the upper half tells both.
+    sketch = _pack(wide[:, :LANES] ^ wide[:, LANES:], wide[:, LANES:], np.diff(o) > LONG)
+    return pa.record_batch([key, sid, pa.array(np.diff(o).astype(np.int32)), lists(v, o), sketch], names=["key", "set", "n", "sh", "sketch"])
+
+
 def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_words: int) -> DataFrame:
     """``key, set, n, sh, sketch``: per record its set's 128-bit hash, size and sorted shingle hashes."""
     col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -94,15 +109,9 @@ def shingled(df: DataFrame, key: Column | str, text: Column | str, k: int, min_w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v, o = shingle_sets(*flat(b.column(1)), k)
-            keys = set_keys(v, o)
-            sid = pa.StructArray.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1])], names=["a", "b"])
-            wide = parity_sketch(v, o, 2 * LANES)
-            # The narrow sketch is the wide one folded, so the upper half tells both.
-            sketch = _pack(wide[:, :LANES] ^ wide[:, LANES:], wide[:, LANES:], np.diff(o) > LONG)
-            yield pa.record_batch([b.column(0), sid, pa.array(np.diff(o).astype(np.int32)), lists(v, o), sketch], names=["key", "set", "n", "sh", "sketch"])
+            yield signed(b.column(0), *shingle_sets(*flat(b.column(1)), k))
 
-    return rows.mapInArrow(run, "key string, set struct<a:bigint,b:bigint>, n int, sh array<bigint>, sketch binary")
+    return rows.mapInArrow(run, f"key string, {SET}")
 
 
 def _counter(v: np.ndarray, counters: int) -> np.ndarray:
@@ -288,9 +297,8 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return both.mapInArrow(probe, "a bigint, b bigint, similarity double")
 
 
-def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """``members (key, sid)`` and ``links (a, b, similarity)`` between set ids."""
-    rows = cut_lineage(shingled(df, key, text, k, min_words))
+def link_sets(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``members (key, sid)`` and ``links (a, b, similarity)`` of the written table of signed sets."""
     sets = divide(rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", "sketch"))), list_lengths(rows), threshold)
     # A written id is eight bytes wide in every posting, and can't collide.
     sets = cut_lineage(sets.withColumn("sid", F.monotonically_increasing_id()))
@@ -299,6 +307,11 @@ def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int =
     return members, similar_sets(sets.drop("set"), threshold)
 
 
+def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """``members (key, sid)`` and ``links (a, b, similarity)`` between set ids."""
+    return link_sets(cut_lineage(shingled(df, key, text, k, min_words)), threshold)
+
+
 def expand(members: DataFrame, links: DataFrame) -> DataFrame:
     """``a < b``: the links as pairs of record keys, exact copies included."""
     x, y = members.select(F.col("key").alias("p"), F.col("sid").alias("a")), members.select(F.col("key").alias("q"), F.col("sid").alias("b"))

@@ -4,14 +4,12 @@ Every distinct written line of a source is a node.  Steps, all partitioned by
 (source, line) and pre-aggregated before a shuffle:
 
 1. Mask: numbers, dates and names of a node's line are masked word by word.
-2. Cluster by locality-sensitive hashing within the source.  The first band is the
-   hash of the letters alone, lower-cased: two lines that differ in numbers,
-   punctuation, layout or letter case meet there for certain and form a class.  The
-   other ``BANDS`` bands are MinHash keys over five-word shingles of the masked line
-   of each class.  In every band a member is compared with the band's centre, drawn
-   by a hash that differs from band to band, so that members of one cluster meet
-   several others; pairs whose shingle sets are alike at ``similarity`` or more are
-   linked, and clusters are the connected classes.
+2. Cluster within the source.  Lines with the same letters, lower-cased, form a class:
+   they may differ in numbers, punctuation, layout or letter case.  Each class is signed
+   by the five-word shingles of its masked line; classes with equal shingle sets fall
+   together, and all pairs of sets alike at ``similarity`` or more are linked by the exact
+   search of problem 3, to whose lists a source adds its own name.  Clusters are the
+   connected classes.
 3. Count: documents are counted out of the clusters, distinct per class and per
    cluster.  A cluster is excessive from ``min_docs`` documents on.
 4. Mark every occurrence and rebuild each text without the marked lines.
@@ -20,8 +18,8 @@ A hot source is no problem, since no step groups by source alone; a hot line is
 pre-aggregated, and its occurrences are marked in a merging semi join, whose skewed
 partitions adaptive execution splits.  Nothing is broadcast.
 
-MinHash bands find a pair at exactly ``similarity`` with 0.997; links that no band
-shows are lost, so that a near-duplicate cluster can fall apart.  Classes can't.
+The search is exact: no link at ``similarity`` or more is lost, however many lines are
+alike.
 
 Edge cases: null texts, null document keys and null sources take part in
 nothing (texts come out unchanged); lines with fewer than four letters never
@@ -41,11 +39,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorikeet.llm.components import components
-from lorikeet.llm.shingles import band_keys, flat, lists, overlaps, shingle_sets
+from lorikeet.llm.near_records import SET, link_sets, signed
+from lorikeet.llm.shingles import mix, shingle_sets
 from lorikeet.session import cut_lineage
 
 MIN_LETTERS, MIN_DOCS, SIMILARITY, SHINGLE = 4, 10, 0.8, 5
-BANDS, ROWS = 8, 3
 
 _WORD = re.compile(r"[^\W_]+")
 #: A run of words with digits, dates and amounts included; no letter is looked at twice.
@@ -78,11 +76,11 @@ def occurrences(df: DataFrame, doc: Column | str, source: Column | str, text: Co
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingle set and band keys of a line."""
+    """``key, set, n, sh, sketch`` of a class: the shingles of its line, told apart by source."""
     known: dict[str, int] = {}
     for b in batches:
         words, size = [], []
-        for line in b.column(3).to_pylist():
+        for line in b.column(2).to_pylist():
             ws = masked(line)
             for w in ws:
                 if w not in known:
@@ -92,37 +90,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > 500_000:
             known.clear()
         v, o = shingle_sets(np.array(words, dtype=np.uint64), np.concatenate(([0], np.cumsum(size))).astype(np.int64), SHINGLE)
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), lists(v, o), lists(*band_keys(v, o, BANDS, ROWS))], names=["l", "s", "n", "sh", "bands"])
-
-
-def _links(heads: DataFrame, similarity: float) -> DataFrame:
-    """``a, b`` of the classes that a band brings together and whose shingle sets are alike."""
-    banded = heads.select("class", "s", "l", F.posexplode("bands").alias("k", "band")).select(F.xxhash64("s", "k", "band").alias("band"), F.xxhash64("l.a", "k").alias("draw"), "class")
-    centre = banded.groupBy("band").agg(F.min(F.struct("draw", "class")).alias("c"), F.count("*").alias("n")).where("n > 1").select("band", F.col("c.class").alias("c"))
-    pairs = banded.select("band", "class").join(centre.hint("merge"), "band").where("class <> c").select("class", "c").distinct()
-    sets = heads.select("class", "s", "sh")
-    pairs = pairs.join(sets.hint("merge"), "class").join(sets.select(F.col("class").alias("c"), F.col("s").alias("cs"), F.col("sh").alias("csh")).hint("merge"), "c").where("s = cs").select("class", "c", "sh", "csh")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            both = overlaps(b.column(2), b.column(3))
-            total = np.diff(flat(b.column(2))[1]) + np.diff(flat(b.column(3))[1]) - both
-            keep = pa.array(both >= similarity * total - 1e-9)
-            yield pa.record_batch([b.column(k).filter(keep) for k in range(2)], names=["a", "b"])
-
-    return pairs.mapInArrow(verify, "a bigint, b bigint")
+        source = b.column(1).to_numpy().view(np.uint64)
+        with np.errstate(over="ignore"):
+            v = mix(v ^ mix(np.repeat(source, np.diff(o))))
+        # A line without words is like no other.
+        yield signed(b.column(0), v, o, alone=b.column(0))
 
 
 def clusters(occ: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``h, n, class, cluster`` of every node; ``n`` counts its occurrences."""
     nodes = cut_lineage(occ.groupBy("h").agg(F.count("*").alias("n"), F.first("l").alias("l"), F.first("source").alias("source"), F.first("line").alias("line")))
-    # The band of the letters: its bucket is a class, signed by the line of its smallest hash.
-    classes = nodes.groupBy("l").agg(F.min(F.struct("h", "source", "line")).alias("m"), F.sum("n").alias("n"))
-    heads = classes.select("l", F.xxhash64("m.source").alias("s"), "n", "m.line").mapInArrow(_sign, "l struct<a:bigint,b:bigint>, s bigint, n bigint, sh array<bigint>, bands array<bigint>")
-    # A written number stands for a class: eight bytes in every band and pair.
-    heads = cut_lineage(heads.withColumn("class", F.monotonically_increasing_id()))
-    label = components(_links(heads, similarity)).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    of = heads.select("l", "class").join(label.hint("merge"), "class", "left").select("l", "class", F.coalesce("cluster", "class").alias("cluster"))
+    # A class is signed by the line of its smallest hash.
+    classes = nodes.groupBy("l").agg(F.min(F.struct("h", "source", "line")).alias("m"))
+    rows = cut_lineage(classes.select("l", F.xxhash64("m.source").alias("s"), "m.line").mapInArrow(_sign, f"key struct<a:bigint,b:bigint>, {SET}"))
+    members, links = link_sets(rows, similarity)
+    label = components(links).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    of = members.join(label.hint("merge"), "sid", "left").select(F.col("key").alias("l"), F.coalesce("cluster", "sid").alias("cluster"))
+    # A written number stands for a class in all that follows.
+    of = cut_lineage(of.withColumn("class", F.monotonically_increasing_id()))
     return nodes.select("h", "l", "n").join(of.hint("merge"), "l").select("h", "n", "class", "cluster")
 
 

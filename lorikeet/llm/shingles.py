@@ -1,4 +1,4 @@
-"""Word shingles as hashes, MinHash bands and set overlaps, whole batches at a time.
+"""Word shingles as hashes, sketches and set overlaps, whole batches at a time.
 
 Sets travel as Arrow list columns of 64-bit hashes and are handled as one flat
 array with offsets, so the Python side runs a fixed number of vector operations
@@ -81,22 +81,6 @@ def set_keys(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def band_keys(values: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """LSH keys per row: one hash for each band of MinHash rows; none for an empty row."""
-    full = np.diff(offsets) > 0
-    starts = offsets[:-1][full]
-    out = np.zeros((int(full.sum()), bands), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * _PRIME)
-        for b in range(bands):
-            acc = np.full(len(out), b, dtype=np.uint64)
-            for r in range(rows):
-                if len(out):
-                    acc = mix(acc * _PRIME + np.minimum.reduceat(mix(values ^ seeds[b * rows + r]), starts))
-            out[:, b] = acc
-    return out.reshape(-1), np.concatenate(([0], np.cumsum(np.where(full, bands, 0))))
-
-
 def parity_sketch(values: np.ndarray, offsets: np.ndarray, lanes: int) -> np.ndarray:
     """Per row ``lanes`` words of bits, each the parity of the elements hashed to it.
 

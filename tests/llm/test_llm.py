@@ -92,6 +92,29 @@ def test_near_duplicate_lines_meet(spark):
     assert len(alike) > 500 and sum(of[a] == of[b] for a, b in alike) >= 0.99 * len(alike)
 
 
+def test_no_link_at_the_threshold_is_lost(spark):
+    """2000 pairs of lines alike at exactly 0.8, and lines in a row where each is like the next alone."""
+    from lorikeet.llm.repeated_lines import clusters, occurrences
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    lines, like = [], []
+    for _ in range(2000):
+        ws = [word() for _ in range(13)]
+        lines += [" ".join(ws), " ".join([*ws[:12], word()])]
+        like.append((len(lines) - 2, len(lines) - 1))
+    row = [word() for _ in range(160)]
+    for k in range(148):
+        lines.append(" ".join(row[k : k + 13]))
+        like += [(len(lines) - 2, len(lines) - 1)] * (k > 0)
+    rows = [(f"d{k}", "s", t) for k, t in enumerate(lines)] + [(f"o{k}", "other", t) for k, t in enumerate(lines[:40:2])]
+    occ = occurrences(spark.createDataFrame(rows, "doc string, source string, text string"), "doc", "source", "text")
+    c = {r.h: r.cluster for r in clusters(occ).collect()}
+    of = {r.doc: c[r.h] for r in occ.select("doc", "h").collect()}
+    assert all(of[f"d{a}"] == of[f"d{b}"] for a, b in like)
+    assert len(set(of.values())) == 2001 + 20  # a source links with itself only
+
+
 # ---- 3: near-duplicate records
 
 
