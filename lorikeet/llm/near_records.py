@@ -8,17 +8,21 @@ all shingles in one global order, short lists first:
 * shingles that nobody else has are left out; a record that keeps fewer than ``T``
   has no partner;
 * Divide: a record's last ``T - c`` lists are its long lists, all others its short
-  ones (``c`` is a share of the record's size, so that chance meetings of long
-  records don't suffice).  Everything that two records share up to the end of the
-  short part that ends first lies in the short lists of both, and that is at
-  least ``c`` of the smaller record;
+  ones (``c`` is a share of the smaller record's size, so that chance meetings of long
+  records don't suffice).  Of a pair, both sizes are known, and with them a larger number
+  ``A`` of shingles that it must share; so of each record of the pair, all but the last
+  ``A - c`` lists are short.  Between records of one size this is a quarter of the lists at
+  threshold 0.6, where ``T`` alone leaves 0.4, and the lists saved are the longest;
 * Merge: only short lists are merged, with a count per pair of records and the
-  cut-off ``c``.  Every posting carries a parity sketch of its whole set, whose
-  differing bits bound the difference of two sets from below: a bound that loses
-  no link ends most chance meetings in the lists of a formulaic collection at once;
-* Skip: of the few pairs left, the long lists of the record whose short part ends
-  first are decided by binary search in the other record.  Its probes and the
-  merged count add up to the exact overlap; no long list is ever read.
+  cut-off ``c``.  Every posting carries the number of lists from its own on, which bounds
+  the size of its partners, so most pairs of a list are not even formed; and it carries
+  a parity sketch of its whole set, whose differing bits bound the difference of two sets
+  from below: a bound that loses no link ends most chance meetings in the lists of a
+  formulaic collection at once;
+* Skip: everything that two records share up to the end of the short part that ends
+  first lies in the short lists of both.  Of the few pairs left, the long lists of the
+  record whose short part ends first are decided by binary search in the other record.
+  Its probes and the merged count add up to the exact overlap; no long list is ever read.
 
 In Spark terms: exact copies are collapsed to one representative first (equal
 shingle sets).  The order comes from a table of counters of fixed size, to which
@@ -42,6 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,14 +142,25 @@ def list_lengths(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def divide(sets: DataFrame, lengths: np.ndarray, threshold: float) -> DataFrame:
-    """``set, n, sketch, short, long, crowded, order, last``: the two parts of every set, both
-    empty where it can have no partner.
+def _required(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Shingles that two sets of together ``n`` must share at least."""
+    t = threshold - 1e-9
+    return np.ceil(t / (1 + t) * n - 1e-9).astype(np.int64)
+
+
+def _hits(n: np.ndarray) -> np.ndarray:
+    """The cut-off ``c`` of a pair whose smaller set has ``n`` shingles."""
+    return np.ceil(n * HITS).astype(np.int64)
+
+
+def divide(sets: DataFrame, sent: Broadcast, threshold: float) -> DataFrame:
+    """``set, n, sketch, ranked, n_short, crowded``: the lists of every set in the global order,
+    none where it can have no partner, and how many of them are short for any partner.
 
     ``crowded`` are those of the short part whose counter is over ``CELL``: no other list can
-    be that long.  ``order, last`` name the place in the global order at which the short part ends.
+    be that long.
     """
-    sent, cell = sets.sparkSession.sparkContext.broadcast(lengths), CELL
+    cell = CELL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,24 +172,22 @@ def divide(sets: DataFrame, lengths: np.ndarray, threshold: float) -> DataFrame:
             v, length, row = v[shared].view(np.int64), length[shared], row[shared]
             by_length = np.lexsort((v, length, row))
             kept = np.bincount(row, minlength=len(n))
-            need, hits = np.ceil(threshold * n - 1e-9).astype(np.int64), np.ceil(n * HITS).astype(np.int64)
+            need = np.ceil(threshold * n - 1e-9).astype(np.int64)
             first = np.cumsum(kept) - kept
-            n_short = kept - need + hits
             ok = kept >= need
-            at = np.empty(len(v), dtype=np.int64)
-            at[by_length] = np.arange(len(v)) - first[row]
-            short = at < n_short[row]
-            part = lambda m: lists(v[m & ok[row]].view(np.uint64), np.concatenate(([0], np.cumsum(np.bincount(row[m & ok[row]], minlength=len(n))))))  # noqa: E731, B023
-            end = by_length[np.minimum(first + np.maximum(n_short, 1) - 1, max(len(v) - 1, 0))] if len(v) else np.zeros(len(n), dtype=np.int64)
-            order, last = (length[end], v[end]) if len(v) else (np.zeros(len(n), dtype=np.int32), np.zeros(len(n), dtype=np.int64))
-            yield pa.record_batch([b.column(0), b.column(1), b.column(3), part(short), part(~short), part(short & (length > cell)), pa.array(order.astype(np.int32)), pa.array(last)], names=["set", "n", "sketch", "short", "long", "crowded", "order", "last"])
+            n_short = np.where(ok, kept - need + _hits(n), 0)
+            v, length = v[by_length], length[by_length]
+            at = np.arange(len(v)) - first[row]
+            part = lambda m: lists(v[m].view(np.uint64), np.concatenate(([0], np.cumsum(np.bincount(row[m], minlength=len(n))))))  # noqa: E731, B023
+            crowded = part((at < n_short[row]) & (length > cell))
+            yield pa.record_batch([b.column(0), b.column(1), b.column(3), part(ok[row]), pa.array(n_short.astype(np.int32)), crowded], names=["set", "n", "sketch", "ranked", "n_short", "crowded"])
 
-    return sets.select("set", "n", "sh", "sketch").mapInArrow(run, "set struct<a:bigint,b:bigint>, n int, sketch binary, short array<bigint>, long array<bigint>, crowded array<bigint>, order int, last bigint")
+    return sets.select("set", "n", "sh", "sketch").mapInArrow(run, "set struct<a:bigint,b:bigint>, n int, sketch binary, ranked array<bigint>, n_short int, crowded array<bigint>")
 
 
 def _meet(threshold: float):
     """Merges short lists: pairs of postings of one cell that pass all bounds, with their count."""
-    most = (1 - threshold) / (1 + threshold)
+    share = threshold / (1 + threshold)
 
     def counted(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         """Meetings of equal pairs are runs once both ids are sorted; ``n`` is the smaller size."""
@@ -183,7 +197,7 @@ def _meet(threshold: float):
         return pa.record_batch([pa.array(x[new]), pa.array(y[new]), pa.array(np.diff(np.append(new, len(x))).astype(np.int32)), pa.array(n[new])], names=["sid_x", "sid_y", "met", "n"])
 
     def pairs(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
-        tok, i, j, n, sid, block = (t.column(c).to_numpy() for c in ("t", "i", "j", "n", "sid", "block"))
+        tok, i, j, n, left, sid, block = (t.column(c).to_numpy() for c in ("t", "i", "j", "n", "left", "sid", "block"))
         narrow, upper = _unpack(t.column("sketch").chunk(0))
         halves = narrow[:, : LANES // 2], narrow[:, LANES // 2 :]
         lower = narrow ^ upper
@@ -193,8 +207,14 @@ def _meet(threshold: float):
         group = np.cumsum(new)
         order = group * (1 << 32) + n
         # Rows of a cell lie in order of size, so partners within the size bound follow closely.
-        last = np.searchsorted(order, group * (1 << 32) + np.floor(n / threshold + 1e-9).astype(np.int64), side="right")
-        count = last - np.arange(len(tok)) - 1
+        # A partner so large that this list is a long one of the pair is out of bounds, too.
+        reach = _hits(n) + left - 1
+        bound = np.minimum(n / threshold, (reach + 1e-6) / share - n) + 1e-6
+        last = np.searchsorted(order, group * (1 << 32) + np.maximum(np.floor(bound), 0).astype(np.int64), side="right")
+        count = np.maximum(last - np.arange(len(tok)) - 1, 0)
+        # Bit counts fit into 32 bits, and so do sizes.
+        n, left, reach = n.astype(np.int32), left.astype(np.int32), reach.astype(np.int32)
+        spare = _hits(n).astype(np.int32) - 1
         ends = np.cumsum(count)
         lo = 0
         while lo < len(tok):
@@ -206,8 +226,13 @@ def _meet(threshold: float):
             if not plain:
                 ok = (i[x] == j[x]) | (block[x] != block[y])
                 x, y = x[ok], y[ok]
+            both_n = n.take(x) + n.take(y)
+            need = _required(both_n, threshold).astype(np.int32)
+            # The list must be a short one of both records.
+            ok = np.flatnonzero((left.take(y) + spare.take(x) >= need) & (reach.take(x) >= need))
+            x, y, need, both_n = x.take(ok), y.take(ok), need.take(ok), both_n.take(ok)
             # Allowed difference in bits, less what the halves looked at so far differ in.
-            room = np.floor(most * (n.take(x) + n.take(y)) + 1e-9).astype(np.int32)
+            room = both_n - 2 * need
             for half in halves:
                 room -= np.bitwise_count(half.take(x, axis=0) ^ half.take(y, axis=0)).sum(axis=1, dtype=np.int32)
                 ok = np.flatnonzero(room >= 0)
@@ -217,7 +242,8 @@ def _meet(threshold: float):
                 u, v = x.take(both), y.take(both)
                 differ = sum(np.bitwise_count(w.take(u, axis=0) ^ w.take(v, axis=0)).sum(axis=1, dtype=np.int32) for w in (lower, upper))
                 ok = np.ones(len(x), dtype=bool)
-                ok[both] = differ <= most * (n[u] + n[v]) + 1e-9
+                both_n = n.take(u) + n.take(v)
+                ok[both] = differ <= both_n - 2 * _required(both_n, threshold)
                 x, y = x[ok], y[ok]
             if len(x):
                 a, b = sid[x], sid[y]
@@ -263,9 +289,15 @@ def _meet(threshold: float):
     return run
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+def _slices(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.ListArray:
+    ends = np.cumsum(size)
+    return lists(values[np.repeat(start - ends + size, size) + np.arange(int(size.sum()))], np.concatenate(([0], ends)))
+
+
+def similar_sets(sets: DataFrame, sent: Broadcast, threshold: float) -> DataFrame:
     """``a, b, similarity`` of all pairs ``a < b`` of the divided sets."""
-    posting = sets.select("sid", "n", "sketch", F.explode("short").alias("t"))
+    posting = sets.select("sid", "n", "sketch", F.size("ranked").alias("k"), F.posexplode(F.slice("ranked", 1, F.col("n_short"))).alias("at", "t"))
+    posting = posting.select("sid", "n", "sketch", (F.col("k") - F.col("at")).alias("left"), "t")
     # Lists over CELL long are cut into blocks, and every two blocks meet in one cell.
     long = cut_lineage(sets.select(F.explode("crowded").alias("t")).groupBy("t").agg(F.count("*").alias("len")).where(F.col("len") > CELL).select("t", F.ceil(F.col("len") / CELL).cast("int").alias("m")))
     n_long = long.count()
@@ -274,23 +306,31 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         posting = posting.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     else:
         posting = posting.withColumns({"block": F.lit(0), "other": F.lit(0)})
-    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "sid", "block", "sketch")
+    cells = posting.select("t", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n", "left", "sid", "block", "sketch")
     cells = cells.repartition("t", "i", "j").sortWithinPartitions("t", "i", "j", "n")
     met = cells.mapInArrow(_meet(threshold), "sid_x bigint, sid_y bigint, met int, n int").groupBy("sid_x", "sid_y").agg(F.sum("met").cast("int").alias("met"), F.first("n").alias("n"))
     met = met.where(F.col("met") >= F.ceil(F.col("n") * HITS)).drop("n")
-    side = lambda s: sets.select(F.col("sid").alias(f"sid_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("n", "short", "long", "order", "last")))
-    both = met.join(side("x").hint("merge"), "sid_x")
-    both = both.join(side("y").hint("merge"), "sid_y")
-    # The record whose short part ends first is probed with; all that it has beyond is in its long lists.
-    x_first = (F.col("order_x") < F.col("order_y")) | (F.col("order_x") == F.col("order_y")) & (F.col("last_x") <= F.col("last_y"))
-    probing = F.when(x_first, F.col("long_x")).otherwise(F.col("long_y"))
-    whole = F.when(x_first, F.concat("short_y", "long_y")).otherwise(F.concat("short_x", "long_x"))
-    both = both.select("sid_x", "sid_y", "met", (F.col("n_x") + F.col("n_y")).alias("n"), probing.alias("p"), whole.alias("w"))
+    side = lambda s: sets.select(F.col("sid").alias(f"sid_{s}"), F.col("n").alias(f"n_{s}"), F.col("ranked").alias(f"ranked_{s}"))
+    both = met.join(side("x").hint("merge"), "sid_x").join(side("y").hint("merge"), "sid_y")
+    both = both.select("sid_x", "sid_y", "met", "n_x", "n_y", "ranked_x", "ranked_y")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            common = b.column(2).to_numpy() + overlaps(b.column(4), b.column(5), sort=True)
-            sim = common / np.maximum(b.column(3).to_numpy() - common, 1)
+            if not b.num_rows:
+                continue
+            met, n_x, n_y = (b.column(c).to_numpy().astype(np.int64) for c in (2, 3, 4))
+            (vx, ox), (vy, oy) = flat(b.column(5)), flat(b.column(6))
+            # Lists of either record that are long for this pair.
+            long = _required(n_x + n_y, threshold) - _hits(np.minimum(n_x, n_y))
+            ex, ey = vx[ox[1:] - long - 1], vy[oy[1:] - long - 1]
+            lx, ly = (sent.value[_counter(e, len(sent.value))] for e in (ex, ey))
+            # The record whose short part ends first is probed with; all that it has beyond is in its long lists.
+            x_first = (lx < ly) | (lx == ly) & (ex.view(np.int64) <= ey.view(np.int64))
+            v, ends = np.concatenate((vx, vy)), (ox[1:], len(vx) + oy[1:])
+            probing = _slices(v, np.where(x_first, *ends) - long, long)
+            whole = np.where(x_first, np.diff(oy), np.diff(ox))
+            common = met + overlaps(probing, _slices(v, np.where(x_first, *ends[::-1]) - whole, whole), sort=True)
+            sim = common / np.maximum(n_x + n_y - common, 1)
             keep = pa.array(sim >= threshold - 1e-9)
             yield pa.record_batch([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(sim).filter(keep)], names=["a", "b", "similarity"])
 
@@ -299,12 +339,13 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
 def link_sets(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """``members (key, sid)`` and ``links (a, b, similarity)`` of the written table of signed sets."""
-    sets = divide(rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", "sketch"))), list_lengths(rows), threshold)
+    sent = rows.sparkSession.sparkContext.broadcast(list_lengths(rows))
+    sets = divide(rows.groupBy("set").agg(*(F.first(c).alias(c) for c in ("n", "sh", "sketch"))), sent, threshold)
     # A written id is eight bytes wide in every posting, and can't collide.
     sets = cut_lineage(sets.withColumn("sid", F.monotonically_increasing_id()))
     members = cut_lineage(rows.select("key", "set").join(sets.select("set", "sid").hint("merge"), "set").select("key", "sid"))
     release(rows)
-    return members, similar_sets(sets.drop("set"), threshold)
+    return members, similar_sets(sets.drop("set"), sent, threshold)
 
 
 def near_records(df: DataFrame, key: Column | str, text: Column | str, k: int = SHINGLE, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:

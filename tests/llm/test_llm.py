@@ -159,6 +159,20 @@ def test_near_records(spark, monkeypatch, k, threshold, cell, sent, counters):
     assert N.expand(*N.near_records(df.limit(0), "key", "text")).count() == 0
 
 
+@pytest.mark.parametrize("at,formed", [(28, 300 * 299 // 2), (29, 0), (40, 0)])
+def test_lists_long_for_a_pair_form_no_pairs(at, formed):
+    """Sets of 100 must share 75 at 0.6 and 4 in short lists: from the 30th list on, nothing meets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lorikeet.llm import near_records as N
+
+    n, zero = 300, np.zeros((300, N.LANES), dtype=np.int64)
+    same = lambda x, kind: pa.array(np.full(n, x), kind)
+    cell = {"t": same(7, pa.int64()), "i": same(0, pa.int32()), "j": same(0, pa.int32()), "n": same(100, pa.int32()), "left": same(100 - at, pa.int32()), "sid": pa.array(np.arange(n)), "block": same(0, pa.int32()), "sketch": N._pack(zero, zero, np.zeros(n, dtype=bool))}
+    assert sum(b.num_rows for b in N._meet(0.6)(iter([pa.RecordBatch.from_pydict(cell)]))) == formed
+
+
 def test_components(spark):
     from lorikeet.llm.components import components
 
